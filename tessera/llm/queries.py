@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, minhash, mixing, packing
-from tessera.llm.common import table
+from tessera.llm import exact_dedup, minhash, mixing, packing, toxicity
+from tessera.llm.common import remainder, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=held_out)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
