@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, language_id, minhash, mixing, packing, toxicity
+from tessera.llm import exact_dedup, language_id, minhash, mixing, packing, quality, toxicity
 from tessera.llm.common import remainder, table
 
 
@@ -34,6 +34,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=held_out)
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
