@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, exact_dedup, language_id, language_model, minhash, mixing, packing, quality, toxicity
+from tessera.llm import embedding_dedup, exact_dedup, language_id, language_model, licenses, minhash, mixing, packing, quality, toxicity
 from tessera.llm.common import remainder, table
 
 
@@ -18,6 +18,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), size=4)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), held_out=remainder(F.col("doc_id"), 5) == 0)
 
