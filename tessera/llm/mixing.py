@@ -46,21 +46,18 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, mos
     return s.select("source_key", "source_size", F.least("limit", F.coalesce(F.col("common") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken.
-
-    Every document of a source is taken floor(target / source_size) times, and those whose hash is under the source's
-    threshold once more, so that a source takes at most its target, short of it by less than its largest document at
-    the boundary. The hash is md5 of the id: reruns agree. A null or blank text has size 0 and takes nothing; a null source is a
-    source of its own, after the others; a null id hashes as the empty text; rows that repeat an id are taken alike. An
-    empty table gives an empty result; other columns are not read.
-    """
+def _hash(id_col: str) -> Column:
     digits = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, BITS * LEVELS // 4)
-    sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.conv(digits, 16, 10).cast("long").alias("h"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("source_key"),
-    )
-    sized = written(sized, "sized")
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def _key(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
+
+
+def thresholds(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """source_key, source_size, target, whole, low for rows (source_key, source, size, h): a source's documents are taken
+    `whole` times, and those with a hash under `low` once more."""
     goal = source_targets(sized, weights, share, most)
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0)).cast("long")
     goal = goal.withColumn("whole", whole).withColumns({"rest": F.col("target") - F.col("whole") * F.col("source_size"), "low": F.lit(0).cast("long")})
@@ -78,9 +75,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
             F.coalesce(F.col("bucket") * width, F.col("low") + width * (1 << BITS)).alias("low"),
         )
         goal = written(goal, "goal")  # a row for each source
-    out = sized.join(goal, "source_key")
-    copies = F.col("whole") + (F.col("h") < F.col("low")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(int(most))).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    return goal.drop("rest")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _hash(id_col).alias("h"), _key(source_col).alias("source_key")), "sized")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken.
+
+    Every document of a source is taken floor(target / source_size) times, and those whose hash is under the source's
+    threshold once more, so that a source takes its target at most, and less than it by no more than the document at the
+    boundary. The hash is md5 of the id: reruns agree. A null or blank text has size 0 and takes nothing; a null source is a
+    source of its own, after the others; a null id hashes as the empty text; rows that repeat an id are taken alike. An
+    empty table gives an empty result; other columns are not read.
+    """
+    sized = _sized(docs, id_col, text_col, source_col)
+    out = sized.join(thresholds(sized, weights, share, most), "source_key")
+    copies = F.least(F.col("whole") + (F.col("h") < F.col("low")).cast("long"), F.lit(int(most)))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, with all their columns, each as often as mix() takes it."""
+    goal = thresholds(_sized(docs, id_col, text_col, source_col), weights, share, most)
+    goal = goal.select(*[F.col(c).alias(f"_mix_{c}") for c in ("source_key", "whole", "low")])
+    out = docs.join(goal, _key(source_col) == F.col("_mix_source_key"))
+    copies = F.least(F.col("_mix_whole") + (_hash(id_col) < F.col("_mix_low")).cast("long"), F.lit(int(most)))
+    return out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
 
 
 SQL_MIX = """
