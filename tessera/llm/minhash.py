@@ -158,15 +158,18 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
     links = written(links.union(linked(second.select(F.col("cid").alias("u"), F.col("hub.cid").alias("v")).distinct())), "linked")
     comp, apart = joined(links)
 
-    # what is still apart: near sets share one of their rarest shingles, as many as may be missing from the other and one
+    # what is still apart: near sets share one of their rarest shingles, of as many as may be missing from the other and one more
     who = apart.groupBy("cid").agg(F.first("n").alias("n"), F.first("component").alias("component"))
     each = sets.join(who, "cid").select("cid", "n", "component", F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("often"))
     rare = F.row_number().over(Window.partitionBy("cid").orderBy("often", "s"))  # over one document's shingles
     lead = each.join(often, "s").withColumn("place", rare).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("often > 1")
-    lead = written(lead.select("cid", "n", "component", "s"), "lead")
+    lead = written(lead.select("cid", "n", "component", "s", "place"), "lead")
     a, b = lead.alias("a"), lead.alias("b")
     third = a.join(b, F.col("a.s") == F.col("b.s")).filter("a.cid > b.cid AND a.component != b.component").filter(near(F.col("a.n"), F.col("b.n")))
+    # the first shingle that a near pair shares leaves enough after it in both
+    rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    third = third.filter((rest + 1) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
     comp = components(links.union(linked(third.select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v")).distinct())))
 
     of_class = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select(*same, F.coalesce("component", "cid").alias("component_id"))
