@@ -1,3 +1,6 @@
 """Named queries over the tables, with the SQL that states the same."""
 
-QUERIES: dict = {}
+from tessera.plans import acceptance_queries, function_queries, sequence_queries, session_queries  # noqa: F401
+from tessera.plans.registry import QUERIES
+
+__all__ = ["QUERIES"]
