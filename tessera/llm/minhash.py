@@ -25,7 +25,7 @@ from tessera.llm.union_find import components
 
 #: A pair at the threshold of 0.8 shares none of 24 bands of 4 with a chance of (1 - 0.8 ** 4) ** 24, 3 in a million.
 BANDS, BAND_ROWS = 24, 4
-CACHE, CHUNK = 400_000, 150_000
+CACHE, CHUNK = 250_000, 150_000
 #: Members of a part of a bucket that share a random hub, about.
 PART = 64
 
