@@ -74,3 +74,34 @@ def cascade(paths: list[Column]) -> Column:
     for p in paths[1:]:
         out = F.zip_with(out, p, lambda a, b: a + b)
     return out
+
+
+def _times32(a: Column, b: int) -> Column:
+    """a * b modulo 2 to the 32nd without leaving 63 bits."""
+    return (a * (b & 0xFFFF) + F.shiftleft((a * (b >> 16)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(MASK))
+
+
+def splitmix32(x: Column) -> Column:
+    """D-3: mixes a 32-bit number; consecutive ones seed other generators."""
+    z = (x + 0x9E3779B9).bitwiseAND(F.lit(MASK))
+    z = _times32(z.bitwiseXOR(F.shiftrightunsigned(z, 16)), 0x85EBCA6B)
+    z = _times32(z.bitwiseXOR(F.shiftrightunsigned(z, 13)), 0xC2B2AE35)
+    return z.bitwiseXOR(F.shiftrightunsigned(z, 16))
+
+
+def _turn(x: Column, k: int) -> Column:
+    return F.shiftleft(x, k).bitwiseAND(F.lit(MASK)).bitwiseOR(F.shiftrightunsigned(x, 32 - k))
+
+
+def xoshiro128(seeds: Column, n: int) -> Column:
+    """D-3: the first n numbers of xoshiro128** from a state of four 32-bit numbers, as an array."""
+    start = F.struct(*[F.get(seeds, F.lit(k)).cast("long").alias(f"s{k}") for k in range(4)], F.array().cast("array<long>").alias("out"))
+
+    def step(s, _):
+        value = (_turn((s["s1"] * 5).bitwiseAND(F.lit(MASK)), 7) * 9).bitwiseAND(F.lit(MASK))
+        a, b = s["s2"].bitwiseXOR(s["s0"]), s["s3"].bitwiseXOR(s["s1"])
+        s1, s0 = s["s1"].bitwiseXOR(a), s["s0"].bitwiseXOR(b)
+        s2 = a.bitwiseXOR(F.shiftleft(s["s1"], 9).bitwiseAND(F.lit(MASK)))
+        return F.struct(s0.alias("s0"), s1.alias("s1"), s2.alias("s2"), _turn(b, 11).alias("s3"), F.concat(s["out"], F.array(value)).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step, lambda s: s["out"])

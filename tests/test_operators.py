@@ -135,3 +135,29 @@ def test_acceptance_holds_and_fails(spark):
 def test_weight_force_golden(spark):
     assert all(round(0.040875 * (4785 + 40 * mm)) == mn for mm, mn in golden.WEIGHT_SCALE)
     assert math.isclose(sum(q * c for own in golden.PARTS.values() for q, c in own), 14545)
+
+
+def test_xoshiro_and_splitmix_against_plain_arithmetic(spark):
+    mask = 0xFFFFFFFF
+    turn = lambda x, k: (x << k & mask) | x >> (32 - k)
+
+    def mix(x):
+        z = (x + 0x9E3779B9) & mask
+        z = (z ^ z >> 16) * 0x85EBCA6B & mask
+        z = (z ^ z >> 13) * 0xC2B2AE35 & mask
+        return z ^ z >> 16
+
+    s = [mix(12345 + k) for k in range(4)]
+    want, t = [], list(s)
+    for _ in range(20):
+        want.append(turn(t[1] * 5 & mask, 7) * 9 & mask)
+        u = t[1] << 9 & mask
+        t[2] ^= t[0]
+        t[3] ^= t[1]
+        t[1] ^= t[2]
+        t[0] ^= t[3]
+        t[2] ^= u
+        t[3] = turn(t[3], 11)
+    row = spark.range(1).select(F.array(*[process.splitmix32(F.lit(12345 + k).cast("long")) for k in range(4)]).alias("s"))
+    got = row.select("s", process.xoshiro128(F.col("s"), 20).alias("x")).first()
+    assert got.s == s and got.x == want
