@@ -10,7 +10,9 @@ from tessera.operators import sequence, session
 from tessera.plans.registry import ORDER, events, query
 from tessera.sources import golden
 
-_BY_USER = Window.partitionBy("user_id").orderBy(*ORDER)
+
+def _by_user():
+    return Window.partitionBy("user_id").orderBy(*ORDER)
 
 
 @query("""
@@ -29,7 +31,7 @@ WITH b AS (SELECT user_id, arg_min(value, (ts, event_id)) AS boot FROM events GR
 SELECT event_id, boot <= 24 AND value < 38 AS permitted FROM events JOIN b USING (user_id)""")
 def heater_permission(spark, sf_dir):
     """By the reading at boot: the device's first row, carried to the others by a window."""
-    boot = F.first("value").over(_BY_USER.rowsBetween(Window.unboundedPreceding, 0))
+    boot = F.first("value").over(_by_user().rowsBetween(Window.unboundedPreceding, 0))
     return events(spark, sf_dir).select("event_id", ((boot <= 24) & (F.col("value") < 38)).alias("permitted"))
 
 
@@ -85,7 +87,7 @@ SELECT user_id, count(*) FILTER (err > 30) AS misses, CASE WHEN count(*) FILTER
   round(max(err), 6) AS worst FROM e GROUP BY 1""")
 def integrity_visits(spark, sf_dir):
     """Ten visits' errors; one miss is tried again, more are a fault."""
-    k = F.row_number().over(_BY_USER)
+    k = F.row_number().over(_by_user())
     rows = events(spark, sf_dir).select("user_id", k.alias("k"), F.abs(F.col("value") - 50).alias("err")).filter("k <= 10")
     misses = F.count_if(F.col("err") > 30)
     return rows.groupBy("user_id").agg(misses.alias("misses"), F.when(misses == 0, "ok").when(misses == 1, "retry").otherwise("fault").alias("verdict"), F.round(F.max("err"), 6).alias("worst"))

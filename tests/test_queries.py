@@ -19,3 +19,11 @@ def test_query_without_sql_has_rows(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["event_id", "user_id", "value", "run"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_listing_queries_needs_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=120).returncode == 0
