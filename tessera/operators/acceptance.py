@@ -18,7 +18,7 @@ def rule(value: Column, ok) -> Column:
 
 
 def weighted_rank(df: DataFrame, scores: dict[str, float], key: str) -> DataFrame:
-    """D-29: the weighted sum of scores, and its rank."""
+    """D-29: the weighted sum of scores, and its rank: for a table of candidates, all of which one task ranks."""
     total = sum((F.col(c) * w for c, w in scores.items()), F.lit(0.0))
     return df.select(key, total.alias("score")).withColumn("rank", F.rank().over(Window.orderBy(F.desc("score"))))
 

@@ -53,10 +53,9 @@ WITH s AS (SELECT (4096 + k * 2654435761) % 4294967296 AS seed FROM range(200) r
 SELECT bit::INT AS bit, round(avg((seed >> bit) & 1), 6) AS ones, (SELECT count(DISTINCT seed) FROM s) AS seeds FROM b GROUP BY bit""")
 def seed_checks(spark, sf_dir):
     """D-14: distinct seeds and the share of ones in each bit."""
-    rows = golden.seeds(spark).withColumn("bits", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.expr("seed").bitwiseAND(F.shiftleft(F.lit(1).cast("long"), 1) * 0 + F.pow(F.lit(2.0), b).cast("long")) > 0))
-    each = rows.select("seed", F.posexplode("bits").alias("bit", "one"))
-    n = golden.seeds(spark).agg(F.countDistinct("seed").alias("seeds"))
-    return each.groupBy("bit").agg(F.round(F.avg(F.col("one").cast("int")), 6).alias("ones")).join(F.broadcast(n))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.floor(F.col("seed") / F.pow(F.lit(2.0), b)).cast("long") % 2)
+    each = golden.seeds(spark).select("seed", F.posexplode(bits).alias("bit", "one"))
+    return each.groupBy("bit").agg(F.round(F.avg("one"), 6).alias("ones"), F.countDistinct("seed").alias("seeds"))
 
 
 @query()
@@ -65,8 +64,8 @@ def preset_ratios(spark, sf_dir):
     rows = golden.presets(spark)
     mean = F.aggregate("means", F.lit(0.0), lambda a, x: a + x) / F.size("means")
     rows = rows.select("preset", mean.alias("mean"), "sigma", (F.col("gap_low") + F.col("gap_high")).alias("gaps"), "flight", sensor.weight_force(F.col("weight_mm")).alias("force"))
-    base = F.broadcast(rows.filter("preset = 'base'").select(*[F.col(c).alias(f"_{c}") for c in ("mean", "sigma", "gaps", "flight", "force")]))
-    return rows.join(base).select("preset", *[F.round(F.col(c) / F.col(f"_{c}"), 6).alias(c) for c in ("mean", "sigma", "gaps", "flight", "force")])
+    base = lambda c: F.max(F.when(F.col("preset") == "base", F.col(c))).over(Window.partitionBy())  # noqa: E731  four rows
+    return rows.select("preset", *[F.round(F.col(c) / base(c), 6).alias(c) for c in ("mean", "sigma", "gaps", "flight", "force")])
 
 
 @query()
