@@ -161,3 +161,37 @@ def test_xoshiro_and_splitmix_against_plain_arithmetic(spark):
     row = spark.range(1).select(F.array(*[process.splitmix32(F.lit(12345 + k).cast("long")) for k in range(4)]).alias("s"))
     got = row.select("s", process.xoshiro128(F.col("s"), 20).alias("x")).first()
     assert got.s == s and got.x == want
+
+
+def test_choose_equals_brute_force_on_random_cases(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(np.round(rng.uniform(-24, 24) * 2) / 2), float(rng.uniform(-24, 24)), *[float(v) if rng.random() < 0.8 else None for v in rng.uniform(-24, 24, 2)]) for k in range(400)]
+
+    def brute(cur, guide, *history):
+        fit = [c for s in (-1, 1) for d in range(13) if -24 <= (c := cur + s * (6 + d / 2)) <= 24 and all(h is None or abs(c - h) >= 6 for h in history)]
+        return min(fit, key=lambda c: abs(c - guide)) if fit else cur
+
+    df = spark.createDataFrame(rows, "k int, cur double, guide double, h1 double, h2 double")
+    best = sequence.choose(sequence.candidates(F.col("cur"), 6.0, 12.0, 0.5), F.col("guide"), -24.0, 24.0, [F.col("h1"), F.col("h2")], 6.0, F.col("cur"))
+    got = {r.k: r.best for r in df.select("k", best.alias("best")).collect()}
+    assert all(got[k] == brute(*args) for k, *args in rows)
+
+
+def test_runs_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(5)), k, bool(rng.random() < 0.6)) for k in range(500)]
+    run, want = {}, []
+    for user, k, hit in rows:
+        run[user] = run.get(user, 0) + 1 if hit else 0
+        if run[user] >= 3:
+            want.append((k, run[user]))
+    df = spark.createDataFrame(rows, "user_id int, k int, hit0 boolean")
+    got = sequence.consecutive(df, F.col("hit0"), 3, "user_id", ["k"])
+    assert sorted((r.k, r.run) for r in got.collect()) == sorted(want)
+
+
+def test_confirmed_press_of_a_bouncing_switch(spark):
+    levels = [(0, False), (100, True), (105, False), (110, True), (600, False), (603, True), (606, False), (1300, True), (1400, False), (2200, False)]
+    df = spark.createDataFrame([(1, ms, down) for ms, down in levels], "user_id int, ms long, down boolean").withColumn("ts", F.timestamp_millis("ms"))
+    got = sequence.confirmed_press(df, "down", "ts", "user_id").select(F.unix_millis("pressed_at").alias("a"), F.unix_millis("released_at").alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(110, 606)]  # the second press is too short
