@@ -1,6 +1,6 @@
 """Language-model scoring: a log-bilinear neural model with noise-contrastive estimation, over counts of the whole corpus.
 
-The commonest words, the end of a text and "any other word" are the model's symbols. The vector of the next symbol is
+The commonest words, the end of a text and classes of all other words, by their last two bytes, are the symbols. The vector of the next symbol is
 predicted from those of the last two; a symbol's score is the product with its own vector and a bias. Each task trains
 on the symbols of its own texts, from the same start, telling them from noise drawn by frequency; the parameters are
 then averaged by the tokens behind them. Batched matrix products over all contexts give each its normaliser, so token
@@ -19,13 +19,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import session, written
 
-#: Symbols: another word, the end of a text (and what precedes its first word), then the commonest words.
-OTHER, END = 0, 1
+#: Symbols: CLASSES of other words, the end of a text (and what precedes its first word), then the commonest words.
+CLASSES = 61
+END = CLASSES
 WIDTH, NOISE, BATCH, EPOCHS, RATE = 24, 96, 4096, 2, 0.15
 #: Words with at least a HOT-th of all tokens are known to every task: HOT words at most. The others are joined by the word.
 HOT = 1_000_000
@@ -41,8 +42,26 @@ class Vocabulary:
     noise: np.ndarray  # probability of each symbol
     tokens: int  # all training tokens
     types: int  # distinct ones
-    other_tokens: int
-    other_types: int
+    other_tokens: np.ndarray  # by class, without the commonest words
+    other_types: np.ndarray
+    texts: int
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers (-1: not known to every task) and symbols."""
+        number = np.fromiter(map(self.hot.get, words, repeat(-1)), np.int64, len(words))
+        symbol = np.append(self.symbols, 0)[number]
+        rare = np.flatnonzero(number < 0)
+        symbol[rare] = np.fromiter((word_class(words[k]) for k in rare), np.int32, len(rare))
+        return number, symbol
+
+
+def word_class(word: bytes) -> int:
+    return int.from_bytes(word[-2:], "big") % CLASSES
+
+
+def class_of(word: Column) -> Column:
+    """word_class() in SQL."""
+    return (F.conv(F.hex(F.substring(word, -2, 2)), 16, 10).cast("int") % CLASSES).alias("class")
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,16 +81,19 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(counts: DataFrame, n_texts: int, most_symbols: int) -> Vocabulary:
-    total = counts.agg(F.sum("c"), F.count("*")).first()
-    tokens, types = (total[0] or 0) + n_texts, total[1] + (n_texts > 0)
-    rows = sorted(((r["word"], r["c"]) for r in counts.filter(F.col("c") >= tokens / HOT).collect()), key=lambda r: (-r[1], r[0]))
-    c = np.array([r[1] for r in rows], np.int64)
+    other_tokens, other_types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for r in counts.groupBy(class_of(F.col("word"))).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        other_tokens[r["class"]], other_types[r["class"]] = r["c"], r["n"]
+    tokens, types = int(other_tokens.sum()) + n_texts, int(other_types.sum()) + (n_texts > 0)
+    rows = sorted(((bytes(r["word"]), r["c"]) for r in counts.filter(F.col("c") >= tokens / HOT).collect()), key=lambda r: (-r[1], r[0]))
+    c = np.array([n for _, n in rows], np.int64)
     short = min(most_symbols, len(rows))
-    symbols = np.full(len(rows), OTHER, np.int32)
-    symbols[:short] = np.arange(short) + 2
-    rest = tokens - n_texts - int(c[:short].sum())
-    noise = np.concatenate([[rest + 1, n_texts + 1], c[:short] + 1]).astype(float)
-    return Vocabulary({bytes(w): k for k, (w, _) in enumerate(rows)}, c, symbols, noise / noise.sum(), tokens, types, rest, types - (n_texts > 0) - short)
+    symbols = np.array([END + 1 + k if k < short else word_class(w) for k, (w, _) in enumerate(rows)], np.int32)
+    for w, n in rows[:short]:
+        other_tokens[word_class(w)] -= n
+        other_types[word_class(w)] -= 1
+    noise = np.concatenate([other_tokens + 1, [n_texts + 1], c[:short] + 1]).astype(float)
+    return Vocabulary({w: k for k, (w, _) in enumerate(rows)}, c, symbols, noise / noise.sum(), tokens, types, other_tokens, other_types, n_texts)
 
 
 def start(v: Vocabulary) -> list[np.ndarray]:
@@ -116,7 +138,6 @@ def train(p: list[np.ndarray], triples: np.ndarray, weight: np.ndarray, noise: n
 def _trained(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.RecordBatch]:
     """text -> one row: the task's parameters, and the tokens behind them."""
     n, seen, pending = len(v.noise), [], 0
-    get = v.hot.get
 
     def put_together() -> None:
         nonlocal pending
@@ -124,12 +145,11 @@ def _trained(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.Re
         seen[:] = [(code, np.bincount(place, np.concatenate([w for _, w in seen]), len(code)))]
         pending = 0
 
-    symbols = np.append(v.symbols, OTHER)  # number -1: not known here
     for batch in batches:
         for text in batch.column("text").to_pylist():
             words = text.lower().split()
             s = np.full(len(words) + 3, END, np.int64)
-            s[2:-1] = symbols[np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))]
+            s[2:-1] = v.of(words)[1]
             code = (s[:-2] * n + s[1:-1]) * n + s[2:]
             seen.append((code, np.ones(len(code))))
             pending += len(code)
@@ -185,25 +205,22 @@ class Tables:
 
 def _scored(batches: Iterator[pa.RecordBatch], v: Vocabulary, t: Tables) -> Iterator[pa.RecordBatch]:
     """What a task knows of each text's scores, and the words and their counts that it doesn't know."""
-    get, symbols = v.hot.get, np.append(v.symbols, OTHER)
     logs = np.append(np.log10(v.counts + 1.0), 0.0)
-    shared = np.log10(v.other_tokens + v.other_types + 1.0)
-    n_texts = v.tokens - int(v.counts[v.symbols > 1].sum()) - v.other_tokens
+    shared = np.zeros(len(v.noise))  # what a class's words share its probability by
+    shared[:CLASSES] = np.log10(v.other_tokens + v.other_types + 1.0)
     row = TaskContext.get().partitionId() << 36
     for batch in batches:
         out: list[tuple] = []
         for text in batch.column("text").to_pylist():
             words = text.lower().split()
-            number = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
             s = np.full(len(words) + 3, END, np.int64)
-            s[2:-1] = symbols[number]
+            number, s[2:-1] = v.of(words)
             score = float((t.near[s[1:-1], s[2:]] + t.far[s[:-2], s[2:]] - t.normal[s[:-2], s[1:-1]]).sum(dtype=np.float64))
-            other = s[2:-1] == OTHER
-            score += float(logs[number[other]].sum()) - shared * int(other.sum())
-            base = float(logs[number].sum()) + np.log10(n_texts + 1.0)
+            score += float(logs[number[s[2:-1] < CLASSES]].sum()) - float(shared[s[2:]].sum())
+            base = float(logs[number].sum()) + np.log10(v.texts + 1.0)
             rare = Counter(compress(words, (number < 0).tolist()))
             row += 1
-            out.append((row, len(words) + 1, int((number >= 0).sum()) + (n_texts > 0), base, score, list(rare), list(rare.values())))
+            out.append((row, len(words) + 1, int((number >= 0).sum()) + (v.texts > 0), base, score, list(rare), list(rare.values())))
         if out:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
