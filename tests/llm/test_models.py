@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, language_model, licenses, quality, toxicity
@@ -63,7 +64,10 @@ def test_toxicity_without_labels_of_a_kind(spark):
     assert toxicity.toxicity(df.limit(0), lab.limit(0)).count() == 0
 
 
-def test_kernel_is_that_of_gapped_subsequences():
+@pytest.mark.parametrize("dense", [0, 128])
+def test_kernel_is_that_of_gapped_subsequences(monkeypatch, dense):
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+
     def phi(s):
         out = {}
         for i in range(len(s)):
@@ -159,10 +163,12 @@ def test_language_model_counts_equal_brute_force(spark):
 
 
 def test_symbol_probabilities_add_up_to_one():
-    v = language_model.Vocabulary({}, np.array([50, 30, 20]), np.array([2, 3, 4]), np.array([0.2, 0.1, 0.35, 0.2, 0.15]), 130, 9, 20, 5)
+    noise = np.array([0.2, 0.1, 0.35, 0.2, 0.15])
+    none = np.zeros(0, int)
+    v = language_model.Vocabulary({}, none, none, noise, 130, 9, none, none, 10)
     p = language_model.start(v)
     triples = np.array([[1, 1, 2], [1, 2, 3], [2, 3, 4], [3, 4, 1], [1, 2, 0]])
-    language_model.train(p, triples, np.array([9.0, 8, 7, 6, 1]), v.noise, 1)
+    language_model.train(p, triples, np.array([9.0, 8, 7, 6, 1]), noise, 1)
     t = language_model.Tables.of(p)
     for u in range(5):
         for w in range(5):
@@ -170,6 +176,31 @@ def test_symbol_probabilities_add_up_to_one():
     assert 10.0 ** (t.near[2, 3] + t.far[1, 3] - t.normal[1, 2]) > 0.4
 
 
+def test_word_classes_in_sql_and_python_agree(spark):
+    words = [b"a", b"ab", b"abc", "ión".encode(), "ß".encode(), b"|", b"\xff\xfe"]
+    got = spark.createDataFrame([(bytearray(w),) for w in words], "word binary").select(language_model.class_of(F.col("word"))).collect()
+    assert [r[0] for r in got] == [language_model.word_class(w) for w in words]
+
+
+def test_probabilities_of_all_words_add_up_to_one(spark):
+    """The next word's over all known words and, in each class, one unseen: from the scores of texts of one word."""
+    rng = random.Random(11)
+    pool = [a + b for a in ("ka", "lo", "mi", "tu") for b in ("ng", "en", "on", "s")]
+    docs = [(k, " ".join(rng.choices(pool, weights=range(1, 17), k=12))) for k in range(120)]
+    classes = {language_model.word_class(w.encode()) for w in pool}
+    unseen = {}
+    for a in "bcdfghjklmnpqrstvwxz":
+        for b in "abcdefghijklmnopqrstuvwxyz0123456789":
+            unseen.setdefault(language_model.word_class(f"{a}{b}".encode()), f"zz{a}{b}")
+    assert len(unseen) == language_model.CLASSES and classes <= set(unseen)
+    probes = {1000 + k: w for k, w in enumerate([*pool, *unseen.values()])} | {2000: ""}
+    rows = language_model.score(spark.createDataFrame(docs + list(probes.items()), "doc_id long, text string"), held_out=F.col("doc_id") >= 1000, most_symbols=6).collect()
+    got = {r.doc_id: r.score for r in rows}
+    both = {i: 10 ** got[i] for i in probes}  # each word, then the end
+    assert 0 < sum(both.values()) < 1 and both[2000] < 0.2
+    assert all(np.isfinite(list(got.values())))
+
+
 def test_language_model_of_nothing(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = language_model.score(df, held_out=F.lit(True)).collect()
