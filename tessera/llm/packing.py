@@ -24,7 +24,7 @@ from tessera.llm.common import Words, session
 #: Pieces that wait for a place, at most, besides those of one batch.
 POOL = 256
 #: Words whose ids a task remembers, and rows it gathers before it hands them on.
-CACHE, ROWS = 400_000, 4096
+CACHE, ROWS = 700_000, 4096
 #: Parts words that are encoded in one call; a sign that is a token of its own.
 MARK = "\x01"
 #: Encoders of this Python worker: its next task knows the words of the last one.

@@ -2,7 +2,7 @@
 
 Each round first unites the links of a partition by a local union-find, which leaves a link for each node, and then
 joins what partitions know of each other: every node tells its larger neighbours, then its smaller ones, of the least
-node it sees (large-star and small-star). A round reads and writes a table of links; it ends when a round changes none.
+node it sees (large-star and small-star). A link (u, v) has u > v. A round reads and writes a table of links; it ends when a round changes none.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import discard, session, written
 
 
+#: Parts that a node's links are dealt out in.
+SALTS = 16
+
+
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v) -> (u, least node that this partition links u with), for each u that isn't the least itself."""
     parent: dict[int, int] = {}
@@ -43,9 +47,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     session(links.sparkSession)
     now, seen = written(links.select("u", "v").mapInArrow(_unite, "u long, v long"), "links"), None
     for _ in range(most_rounds):
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        # what the least neighbour of a parent is matters where the parent is a child itself: few nodes, so that these go
+        # to every part of a parent's links, which a hub may have very many of
+        above = now.groupBy("u").agg(F.min("v").alias("m"))
+        middle = above.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select(F.col("u").alias("v"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        parts = now.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+        large = parts.join(middle, ["v", "salt"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
         new = written(small, "links")
