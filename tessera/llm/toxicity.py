@@ -31,6 +31,8 @@ HOLDS = 0.95
 EVIDENCE = 11.5
 #: Words whose numbers a task remembers, and those compared at a time.
 CACHE, PART = 250_000, 8192
+#: Similarities (of strings with landmarks) in memory at a time in a task, and at most those the machine learns from.
+CELLS, MOST_CELLS = 1 << 21, 1 << 24
 #: The most letters in landmarks for which their subsequences are looked up in a table of all.
 DENSE = 128
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -66,41 +68,51 @@ class Kernel:
         self.number = np.zeros(max([ord(c) for c in alphabet], default=0) + 2, np.int64)
         for k, c in enumerate(alphabet):
             self.number[ord(c)] = k + 1
-        m = len(landmarks)
-        phi: dict[int, np.ndarray] = {}
-        for own, code, weight in _subsequences(landmarks, self.number, self.size) if m else ():
-            for o, c in zip(own, code, strict=True):
-                phi.setdefault(int(c), np.zeros(m))[o] += weight
-        table = np.array(list(phi.values())).reshape(len(phi), m)
-        self.own = np.maximum(table.sum(0), 1e-9)
-        shared = np.array([np.minimum(table, table[:, [k]]).sum(0) for k in range(m)]).reshape(m, m)
-        self.gram = (shared / np.sqrt(np.outer(self.own, self.own))) ** DEGREE
+        self.m = m = len(landmarks)
+        found = list(_subsequences(landmarks, self.number, self.size)) if m else []
         # a subsequence occurs in few landmarks: for each, where its entries begin, their landmarks and weights
-        row, self.landmark = np.nonzero(table)
-        self.weight = table[row, self.landmark]
-        self.code = np.array(list(phi), np.int64)
-        self.count = np.append(np.bincount(row, minlength=len(phi)), 0)  # the last one: of a subsequence in no landmark
-        self.begin = np.cumsum(self.count) - self.count
-        self.order = np.argsort(self.code)
+        keys = np.concatenate([code * m + own for own, code, _ in found] or [np.empty(0, np.int64)])
+        entries, place = np.unique(keys, return_inverse=True)
+        self.weight = np.bincount(place, np.concatenate([np.full(len(own), weight) for own, _, weight in found] or [np.empty(0)]), len(entries))
+        self.landmark = entries % max(m, 1)
+        self.code, self.begin, count = np.unique(entries // max(m, 1), return_index=True, return_counts=True)
+        self.count = np.append(count, 0)  # the last one: of a subsequence in no landmark
+        self.begin = np.append(self.begin, 0)
+        self.own = np.maximum(np.bincount(self.landmark, self.weight, m), 1e-9)
         self.dense = None
         if self.size <= DENSE:
-            self.dense = np.full(self.size**3, len(phi), np.int32)
-            self.dense[self.code] = np.arange(len(phi))
+            self.dense = np.full(self.size**3, len(self.code), np.int32)
+            self.dense[self.code] = np.arange(len(self.code))
+
+    def gram(self) -> np.ndarray:
+        """The similarities of the landmarks with each other, made symmetric."""
+        shared = np.zeros((self.m, self.m))
+        for begin, count in zip(self.begin[:-1], self.count[:-1], strict=True):
+            own, weight = self.landmark[begin : begin + count], self.weight[begin : begin + count]
+            shared[np.ix_(own, own)] += np.minimum.outer(weight, weight)
+        return (shared / np.sqrt(np.outer(self.own, self.own))) ** DEGREE
 
     def _rows(self, code: np.ndarray) -> np.ndarray:
         """The number of each subsequence's entries; the last one for those in no landmark."""
         if self.dense is not None:
             return self.dense[code]
-        at = self.order[np.minimum(np.searchsorted(self.code, code, sorter=self.order), len(self.order) - 1)]
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
         return np.where(self.code[at] == code, at, len(self.code))
 
     def __call__(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the strings with a similarity of LEAST or more (before the power), and their similarities."""
-        parts = [self._part(strings[k : k + PART]) for k in range(0, max(1, len(strings)), PART)]
-        return np.concatenate([k * PART + which for k, (which, _) in enumerate(parts)]), np.concatenate([rows for _, rows in parts])
+        parts = list(self.parts(strings))
+        return np.concatenate([which for which, _ in parts]), np.concatenate([rows for _, rows in parts])
+
+    def parts(self, strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for some strings after others: the more landmarks, the fewer at a time."""
+        part = max(1, min(PART, CELLS // max(self.m, 1)))
+        for k in range(0, max(1, len(strings)), part):
+            which, rows = self._part(strings[k : k + part])
+            yield k + which, rows
 
     def _part(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        m, keys, weights = len(self.gram), [], []
+        m, keys, weights = self.m, [], []
         for own, code, weight in _subsequences(strings, self.number, self.size) if strings and m else ():
             hit = self._rows(code) < len(self.code)
             keys.append(own[hit] * self.size**3 + code[hit])
@@ -167,9 +179,9 @@ class Scanner:
             self.forget()
         numbers = self.reader(texts)
         fresh = self.reader.strings[len(self.value) :]
-        which, rows = self.kernel(fresh)
         value = np.full(len(fresh), np.nan, np.float32)
-        value[which] = rows @ self.model.weights + self.model.bias
+        for which, rows in self.kernel.parts(fresh):
+            value[which] = rows @ self.model.weights + self.model.bias
         self.value = np.concatenate([self.value, value])
         out = np.full((len(texts), 2), np.nan)
         for k, n in enumerate(numbers):
@@ -207,8 +219,8 @@ def _similar(batches: Iterator[pa.RecordBatch], landmarks: list[str]) -> Iterato
     """Those of the counted words that are similar to a landmark."""
     kernel = Kernel(landmarks)
     for batch in batches:
-        which, _ = kernel([w.rstrip("$") for w in batch.column("string").to_pylist()])
-        yield batch.take(pa.array(which))
+        for which, _ in kernel.parts([w.rstrip("$") for w in batch.column("string").to_pylist()]):
+            yield batch.take(pa.array(which))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -268,15 +280,21 @@ def odds_line(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarra
 
 
 def choose_landmarks(counts: list[tuple], n_toxic: int, n_clean: int, most: int) -> list[str]:
-    """Strings that set toxic texts apart, the clearest first, each but once with what it begins or what begins it."""
-    chosen: list[str] = []
+    """Strings that set toxic texts apart, the clearest first, each but once with what it begins or what begins it.
+
+    All of them: where there are more than most, a ValueError says so.
+    """
+    chosen: dict[str, None] = {}
+    beginnings: set[str] = set()
     for string, toxic, clean in sorted(counts, key=lambda r: (r[2] * 40 - r[1], -len(r[0]), r[0])):
         bare = string.rstrip("$")
-        if toxic / n_toxic > 30 * (clean + 0.5) / (n_clean + 1) and not any(bare.startswith(c) or c.startswith(bare) for c in chosen):
-            chosen.append(bare)
-        if len(chosen) == most:
-            break
-    return chosen
+        own = [bare[:k] for k in range(1, len(bare) + 1)]
+        if toxic / n_toxic > 30 * (clean + 0.5) / (n_clean + 1) and bare not in beginnings and not any(b in chosen for b in own):
+            chosen[bare] = None
+            beginnings.update(own)
+    if len(chosen) > most:
+        raise ValueError(f"{len(chosen)} landmarks set toxic texts apart, more than the {most} that most_landmarks allows")
+    return list(chosen)
 
 
 def _taught(landmarks: list[str], words: list[tuple[str, int, int]]) -> tuple[Model, np.ndarray]:
@@ -287,32 +305,35 @@ def _taught(landmarks: list[str], words: list[tuple[str, int, int]]) -> tuple[Mo
     and of the toxic sentences' words.
     """
     kernel = Kernel(landmarks)
+    forms = [(k, s[:i] + "\0" + s[i:]) for k, s in enumerate(landmarks) for i in range(1, len(s) + 1)]
+    if (cells := (len(words) + len(forms)) * len(landmarks)) > MOST_CELLS:
+        raise ValueError(f"{len(words)} words and {len(forms)} examples with {len(landmarks)} landmarks: {cells} similarities, more than {MOST_CELLS}")
     which, rows = kernel([w for w, _, _ in words])
     toxic, clean = (np.array([words[k][c] for k in which], float) for c in (1, 2))
     holds = rows.max(1, initial=0) >= HOLDS**DEGREE
     bad, good = (clean == 0) & holds, clean > 0
     most = rows[good].max(0, initial=0)
-    forms = [(k, s[:i] + "\0" + s[i:]) for k, s in enumerate(landmarks) for i in range(1, len(s) + 1)]
     hit, made = kernel([f for _, f in forms])
     of = np.array([forms[k][0] for k in hit], int)
     made = made[made[np.arange(len(made)), of] > 1.1 * most[of]]
     x = np.vstack([rows[bad], made, rows[good]]).astype(float)
     y = np.concatenate([np.ones(bad.sum() + len(made)), np.zeros(good.sum())])
     weight = np.concatenate([np.log1p(toxic[bad]), np.ones(len(made)), np.log1p(clean[good])])
-    value, vector = np.linalg.eigh(kernel.gram + 1e-3 * np.eye(len(landmarks)))
+    value, vector = np.linalg.eigh(kernel.gram() + 1e-3 * np.eye(len(landmarks)))
     whiten = vector / np.sqrt(value) @ vector.T
     w, bias = machine(x @ whiten, y, weight)
     model = Model(landmarks, whiten @ w, bias, np.zeros(3), 0.0)
     return model, x[y > 0] @ model.weights + bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean: int = 8000, most_landmarks: int = 64) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean: int = 8000, most_landmarks: int = 1024) -> Model:
     """Learns from docs (doc_id, text: binary) that have a label (doc_id, toxic).
 
     From about most_toxic and most_clean labelled rows at most, chosen by a hash of the id: these bound what reaches
     the driver (words similar to a landmark, with counts). A document with several labels is toxic if one
     says so; null labels and ids are left out. Without any toxic or any clean row, or any string that sets them apart,
-    every text gets the same score.
+    every text gets the same score. Every string with the evidence is a landmark or covered by one; more than
+    most_landmarks, or 20 times as many candidates, which the driver's memory is laid out for, raise a ValueError.
     """
     own = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
@@ -334,7 +355,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean:
     p, total = n_toxic / (n_toxic + n_clean), F.col("toxic") + F.col("clean")
     nats = F.col("toxic") * F.log(F.col("toxic") / (total * p)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (total * (1 - p)))).otherwise(0.0)
     apart = counts.filter((F.col("toxic") > 0) & (F.col("toxic") / n_toxic > 30 * (F.col("clean") + 0.5) / (n_clean + 1)) & (nats >= EVIDENCE))
-    best = apart.orderBy(F.col("clean") * 40 - F.col("toxic"), F.desc(F.length("string")), "string").limit(20 * most_landmarks).collect()
+    best = apart.limit(20 * most_landmarks + 1).collect()
+    if len(best) > 20 * most_landmarks:
+        raise ValueError(f"more than {20 * most_landmarks} strings set toxic texts apart: raise most_landmarks")
     landmarks = choose_landmarks([tuple(r) for r in best], n_toxic, n_clean, most_landmarks)
     if not landmarks:
         return alike

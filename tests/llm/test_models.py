@@ -57,6 +57,22 @@ def test_toxicity_catches_gaps_and_inserted_letters(spark):
     assert clean.columns == df.columns and 0 < clean.count() < len(docs)
 
 
+def test_toxicity_knows_every_stem_that_the_labels_show(spark):
+    rng = random.Random(6)
+    stems = sorted({"".join(rng.choices("bdfghjkpqvwxz", k=7)) for _ in range(90)})
+    docs = [(k, sentences(rng, 2) + (f" {stems[k // 2 % 90]}" if k % 2 else "")) for k in range(3600)]
+    lab = spark.createDataFrame([(k, k % 2) for k, _ in docs], "doc_id long, toxic int")
+    docs += [(10_000 + k, sentences(rng, 2) + f" {s}") for k, s in enumerate(stems)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(df, lab).collect()}
+    missed = [s for k, s in enumerate(stems) if not got[10_000 + k]]
+    assert not missed, missed
+    counts = [(f"^{s}$", 20, 0) for s in stems]
+    assert len(toxicity.choose_landmarks(counts, 1800, 1800, 90)) == 90
+    with pytest.raises(ValueError):
+        toxicity.choose_landmarks(counts, 1800, 1800, 89)
+
+
 def test_toxicity_without_labels_of_a_kind(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     lab = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
