@@ -23,8 +23,10 @@ from tessera.llm.common import Words, session, written
 
 #: Weight of a skipped letter, the furthest that a subsequence reaches, the power that the similarity is raised to.
 DECAY, REACH, DEGREE = 0.6, 5, 4
-#: Letters of a word that are looked at, word beginnings that can be landmarks, the least similarity that counts.
+#: Letters of a string that the kernel sees at a time, word beginnings that can be landmarks, the least similarity that counts.
 LONGEST, BEGINNINGS, LEAST = 24, range(3, 9), 0.4
+#: Letters from one of a long word's strings to the next, letters of a token that is joined with its neighbours.
+STEP, SHORT = 12, 3
 #: The similarity, before the power, from which a word of a toxic text is taken to hold the landmark.
 HOLDS = 0.95
 #: Nats that the label counts of a string must give before it can be a landmark.
@@ -38,9 +40,18 @@ DENSE = 128
 NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
-def letters(word: bytes) -> str:
-    """A word as the kernel sees it: its letters in lower case after a mark for the beginning."""
-    return "^" + NOT_LETTER.sub("", word.decode("utf-8", "replace").lower())[:LONGEST]
+def pieces(word: bytes) -> list[str]:
+    """A word as the kernel sees it: letters in lower case, after a mark where the word or what follows a sign begins.
+
+    Each of these beginnings goes on over the signs after it. Strings that overlap reach to the end of a long word.
+    """
+    parts = [p for p in NOT_LETTER.split(word.decode("utf-8", "replace").lower()) if p]
+    whole, begin = "".join(parts), [0]
+    for p in parts[:-1]:
+        begin.append(begin[-1] + len(p))
+    inner = set(range(STEP, len(whole) - STEP, STEP)).difference(begin) if len(whole) > LONGEST else ()
+    marked = ["^" + whole[k : k + LONGEST] for k in begin if k == 0 or k + 3 <= len(whole)]
+    return list(dict.fromkeys([*marked, *(whole[k : k + LONGEST] for k in sorted(inner))]))
 
 
 def _subsequences(strings: list[str], number: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -131,27 +142,38 @@ class Kernel:
 
 
 class Reader:
-    """Numbers of the words in whole texts; single letters in a row count as one word more."""
+    """Numbers of the words in whole texts; short tokens in a row, whatever signs are between, count as one word more."""
 
     def __init__(self) -> None:
-        self.words, self.strings, self.single = Words(), [], np.empty(0, bool)
+        self.words, self.strings, self.size = Words(), [], np.empty(0, np.int64)  # strings: of each word
+        self.joined: dict[bytes, bytes] = {}
+        self.total = 0
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        numbers = [self.words.numbers(x.split()) for x in texts]
+        split = [x.split() for x in texts]
+        numbers = [self.words.numbers(x) for x in split]
         self._learn()
         for k, n in enumerate(numbers):
-            alone = self.single[n]
-            if alone.sum() > 2:
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], alone, [False]]).astype(np.int8)))
-                spelt = ["".join(self.strings[i][1:] for i in n[a:b]).encode() for a, b in edge.reshape(-1, 2) if b - a > 2]
-                numbers[k] = np.concatenate([n, self.words.numbers(spelt)])
+            place = np.flatnonzero(self.size[n])
+            size = self.size[n[place]]
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], size <= SHORT, [False]]).astype(np.int8)))
+            runs = []
+            for a, b in edge.reshape(-1, 2):
+                if b - a > 1:
+                    key = n[place[a:b]].tobytes()
+                    if key not in self.joined:
+                        self.joined[key] = b" ".join(split[k][i] for i in place[a:b])
+                    runs.append(self.joined[key])
+            if runs:
+                numbers[k] = np.concatenate([n, self.words.numbers(runs)])
         self._learn()
         return numbers
 
     def _learn(self) -> None:
-        fresh = [letters(w) for w in self.words.take()]
-        self.strings += fresh
-        self.single = np.concatenate([self.single, np.fromiter((len(s) == 2 for s in fresh), bool, len(fresh))])
+        fresh = self.words.take()
+        self.strings += map(pieces, fresh)
+        self.total += sum(map(len, self.strings[len(self.size) :]))
+        self.size = np.concatenate([self.size, np.fromiter((len(NOT_LETTER.sub("", w.decode("utf-8", "replace"))) for w in fresh), np.int64, len(fresh))])
 
 
 @dataclass
@@ -175,13 +197,14 @@ class Scanner:
         self.reader, self.value = Reader(), np.empty(0, np.float32)
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
-        if len(self.reader.strings) > CACHE:
+        if self.reader.total > CACHE:
             self.forget()
         numbers = self.reader(texts)
         fresh = self.reader.strings[len(self.value) :]
         value = np.full(len(fresh), np.nan, np.float32)
-        for which, rows in self.kernel.parts(fresh):
-            value[which] = rows @ self.model.weights + self.model.bias
+        owner = np.repeat(np.arange(len(fresh)), [len(p) for p in fresh])
+        for which, rows in self.kernel.parts([s for p in fresh for s in p]):
+            np.fmax.at(value, owner[which], rows @ self.model.weights + np.float32(self.model.bias))  # a word's most toxic string
         self.value = np.concatenate([self.value, value])
         out = np.full((len(texts), 2), np.nan)
         for k, n in enumerate(numbers):
@@ -203,8 +226,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     for batch in batches:
         for toxic, n in zip(batch.column("toxic").to_pylist(), reader(batch.column("text").to_pylist()), strict=True):
-            for s in reader.strings[len(of_word) :]:
-                of_word.append(index.numbers([s + "$", *(s[: k + 1] for k in BEGINNINGS if k < len(s))] if len(s) > 3 else []))
+            for word in reader.strings[len(of_word) :]:
+                of_word.append(np.unique(index.numbers([x for s in word if len(s) > 3 for x in (s + "$", *(s[: k + 1] for k in BEGINNINGS if k < len(s) and s[0] == "^"))])))
             if len(index) > len(totals[0]):
                 totals = [np.concatenate([t, np.zeros(len(index) - len(t) + 100_000, np.int64)]) for t in totals]
             if len(n):

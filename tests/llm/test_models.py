@@ -57,6 +57,23 @@ def test_toxicity_catches_gaps_and_inserted_letters(spark):
     assert clean.columns == df.columns and 0 < clean.count() < len(docs)
 
 
+def test_toxicity_looks_at_all_of_long_tokens_and_of_gapped_words(spark):
+    docs, labels = toxic_corpus()
+    rng = random.Random(12)
+    clean = [sentences(rng, 3) for _ in range(9)]
+    long = "_".join(sentences(rng, 1).strip(".").split())
+    forms = [f"{long}_grobnak", f"{long}/schlif-{long}", f"http://{long}.dumwit.{long}", "gr ob nak", "s - c - h - l - i - f", "dum wit", " ".join(long.replace("_", "") + "dumwit")]
+    held = {10_000 + k: f for k, f in enumerate(forms)}
+    docs += [(i, clean[i - 10_000] + " " + f) for i, f in held.items()] + [(20_000 + k, f"{t} {long} - {' '.join(long)}") for k, t in enumerate(clean)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(df, lab).collect()}
+    missed = [f for i, f in held.items() if not got[i]]
+    assert not missed, missed
+    assert not any(got[20_000 + k] for k in range(9))
+    word = "abcdefghijklmnopqrstuvwxyz" * 3
+    assert all(any(word[k : k + 12] in s for s in toxicity.pieces(word.encode())) for k in range(len(word) - 11))
+
+
 def test_toxicity_knows_every_stem_that_the_labels_show(spark):
     rng = random.Random(6)
     stems = sorted({"".join(rng.choices("bdfghjkpqvwxz", k=7)) for _ in range(90)})
