@@ -108,7 +108,7 @@ def _compared(key: tuple, rows: pd.DataFrame, threshold: float, width: int, radi
     return pd.DataFrame({"vec_id": ids[some], "n_links": links[some], "least": ids[[find(k) for k in some]] if len(some) else ids[:0]})
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, most_fitted: int = 20_000, width: int | None = None, radius: int | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, most_fitted: int = 20_000, width: int = 8, radius: int = 0) -> DataFrame:
     """One row for each row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors with equal labels, not null, and equal lengths are linked when their cosine in doubles is threshold or more.
@@ -117,18 +117,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, most_fitted: int =
     empty result; other columns are not read.
 
     The rotation is learnt on about most_fitted vectors of the commonest length, chosen by a hash of the id. width and
-    radius: bits of a table's part, and in how many of them two vectors may differ there. None: parts of 8 bits that
-    agree, and for more than four million vectors parts of 16 bits that differ in one at most, which keeps buckets
-    small; two unit vectors at a cosine of 0.98 differ in 4 of 64 bits on average and are found by either with a chance
-    of 0.995 or more.
+    radius: bits of a table's part, and in how many of them two vectors may differ there; the same for any number of
+    vectors, so that a row more never takes away a link. Two unit vectors at a cosine of 0.98 in random directions
+    differ in 4 of 64 bits on average; parts of 8 bits miss them with a chance of 0.0008.
     """
     session(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND size(embedding) > 0")
     sizes = good.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     total = sizes[0]["count"] if sizes else 0
-    if width is None:
-        width, radius = (8, 0) if total <= 4_000_000 else (16, 1)
     models = {}
     if sizes:
         length, count = sizes[0]

@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -138,3 +139,9 @@ def test_near_vectors_recall_in_the_tables(spark, sf):
     rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
     assert sum(r.n_links for r in embedding_dedup.near_vectors(df).collect()) >= 0.99 * 2 * len(links_of(rows))
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_near_vectors_have_one_table_layout_at_every_size():
+    defaults = inspect.signature(embedding_dedup.near_vectors).parameters
+    assert (defaults["width"].default, defaults["radius"].default) == (8, 0)
+    assert "4_000_000" not in inspect.getsource(embedding_dedup)
