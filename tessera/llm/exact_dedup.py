@@ -92,9 +92,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that stay, with all their columns: exactly one of each group, also where ids repeat or are null.
+
+    The row with the largest id stays; of several such rows, one. Each row's number is written once, with the row.
+    """
+    session(docs.sparkSession)
+    row = "_row" + "_" * max(map(len, docs.columns))  # no column of docs has this name
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = exact_groups(keyed.select(F.struct(F.col(id_col), F.col(row).alias("row")).alias("doc_id"), F.col(text_col).alias("text")))
+    kept = groups.filter("kept").select(F.col("doc_id.row").alias(row))
+    return keyed.join(kept, row, "left_semi").select(*docs.columns)
 
 
 SQL_GROUPS = """

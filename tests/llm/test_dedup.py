@@ -35,6 +35,13 @@ def test_exact_dedup_without_ids_empty_and_clashing_columns(spark):
     assert exact_dedup.exact_groups(df.limit(0)).count() == 0
 
 
+def test_exact_dedup_keeps_one_row_of_each_group(spark):
+    docs = [(None, "a"), (5, "A"), (None, "b"), (1, "c"), (1, "C"), (1, "d"), (None, "e"), (None, "e"), (7, None), (7, "")]
+    kept = exact_dedup.exact_dedup(frame(spark, docs).repartition(3))
+    rows = [(r.doc_id, (r.text or "").lower()) for r in kept.collect()]
+    assert sorted(rows, key=str) == sorted([(5, "a"), (None, "b"), (1, "c"), (1, "d"), (None, "e"), (7, "")], key=str)
+
+
 def copies(rng, n, length=60):
     """Texts with near copies: edits of a few words, chains of edits, shared passages and short texts."""
     pool = [f"w{k}" for k in range(500)]
