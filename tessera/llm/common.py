@@ -3,30 +3,42 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch: texts may be long, so few of them are in Python at a time.
+#: Rows that a Python stage handles at a time: texts may be long, so few of them are Python objects at once.
 BATCH_ROWS = 512
+#: The folder below the shared one that written() uses, as workspace() sets it.
+_AT: list[str] = []
 
 
-def session(spark: SparkSession) -> SparkSession:
-    """Sets what the Python stages rely on: small Arrow batches bound the memory of a task."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return spark
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of BATCH_ROWS at most, without empty ones. Spark itself bounds a batch's bytes."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(k, BATCH_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one set by SparkContext.setCheckpointDir.
+
+    Where neither is set, a local folder serves a local master; on a cluster, where each executor would write to its own
+    disk, that is an error.
+    """
     if told := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return told
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -40,10 +52,13 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, and a lost executor loses nothing of it."""
+def written(df: DataFrame, name: str, above: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, and a lost executor loses nothing of it.
+
+    above: outside the innermost workspace().
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = "/".join([shared_folder(spark), "tessera", *(_AT[:-1] if above else _AT), f"{name}-{uuid.uuid4().hex}"])
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     again = spark.read.schema(df.schema).parquet(path)
@@ -51,6 +66,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return again
 
 
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """What is written within, by the driver's thread, is deleted at the end, whatever that is."""
+    _AT.append(uuid.uuid4().hex)
+    path = "/".join([shared_folder(spark), "tessera", *_AT])
+    try:
+        yield
+    finally:
+        _AT.pop()
+        _delete(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The written result of make(), without the tables that it took to make it."""
+    outside = list(_AT)
+    with workspace(spark):
+        return written(make(), name, above=True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more."""
     if path := getattr(df, "_tessera_path", None):
@@ -74,9 +108,13 @@ def remainder(doc_id: Column, of: int) -> Column:
 class Words(dict):
     """Numbers words in order of first sight; `fresh` holds those since the last call of take()."""
 
+    #: Bytes of words beyond which it is full, however few they are.
+    MOST_BYTES = 32 << 20
+
     def __init__(self) -> None:
         super().__init__()
         self.fresh: list[bytes] = []
+        self.bytes = 0
 
     def __missing__(self, word):
         n = self[word] = len(self)
@@ -85,8 +123,12 @@ class Words(dict):
 
     def take(self) -> list:
         fresh, self.fresh = self.fresh, []
+        self.bytes += sum(map(len, fresh))
         return fresh
 
+    def full(self, most: int) -> bool:
+        return len(self) > most or self.bytes > self.MOST_BYTES
+
     def numbers(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 

@@ -1,13 +1,20 @@
 """Near duplicates of vectors by iterative quantisation and multi-index Hamming tables.
 
-A rotation of the principal directions is learnt on a bounded sample so that signs of the rotated coordinates are
-balanced binary codes. A code is cut into parts; a table for each part finds the vectors that agree on it, or differ in
-one bit at most. Vectors of a bucket are compared in blocks by matrix products of the original vectors; a pair that
-several tables find counts in the first of them only. Counts and a spanning forest of the links leave a block, no pairs.
+Rotations of the principal directions are learnt on a bounded sample so that signs of the rotated coordinates are
+balanced binary codes. The codes are cut into parts; a table for each part finds the vectors that agree on it. Equal
+vectors are one class from the start. Classes of a bucket are compared in blocks by matrix products of the original
+vectors; a pair that several tables find counts in the first of them only. Counts and a spanning forest of the links
+leave a block, no pairs.
+
+One rule sets the tables for any number of vectors: a part has a bit for each doubling of the vectors of the largest
+label over BUCKET, so that a bucket stays as large as it is and all work grows with the vectors; and parts are added
+until, of sampled vectors each turned away by just the threshold's angle, at most MISSED are found by none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -16,145 +23,186 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import session, written
+from tessera.llm.common import small, written
 from tessera.llm.union_find import components
 
-BITS, BLOCK, SHELF = 64, 512, 16_384
+#: Vectors in a bucket, about, and in a block of one; rows of a block that are compared at a time; vectors of small buckets in a group.
+BUCKET, BLOCK, STRIP, SHELF = 4096, 4096, 512, 16_384
+#: The most bits of a part, the most tables, and the share of turned vectors that no table may find.
+MOST_WIDTH, MOST_TABLES, MISSED = 24, 96, 0.001
 
 
-def rotation(x: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) so that the signs of (x - mean) @ projection are the codes: at most BITS of them."""
+def rotation(x: np.ndarray, seed: int = 5, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection) so that the signs of (x - mean) @ projection are balanced codes: 64 bits at most."""
     mean = x.mean(0)
     _, vectors = np.linalg.eigh((x - mean).T @ (x - mean))
-    main = vectors[:, ::-1][:, :BITS]
+    main = vectors[:, ::-1][:, :64]
     v = (x - mean) @ main
-    r = np.linalg.qr(np.random.default_rng(5).normal(size=(v.shape[1], v.shape[1])))[0]
+    r = np.linalg.qr(np.random.default_rng(seed).normal(size=(v.shape[1], v.shape[1])))[0]
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
         r = (u @ w).T
     return mean, main @ r
 
 
-def _coded(batches, models: dict[int, tuple]):
-    """vec_id, label, embedding -> with the unit vector (doubles) and its code; what can't be compared is left out."""
-    for batch in batches:
-        ids, labels, out = batch.column("vec_id").to_pylist(), batch.column("label").to_pylist(), []
-        for i, label, e in zip(ids, labels, batch.column("embedding").to_pylist(), strict=True):
-            if e is None or any(x is None for x in e):
-                continue
-            x = np.array(e, float)
-            size = np.linalg.norm(x / (most := np.abs(x).max() or 1.0)) * most if np.isfinite(x).all() else 0.0
-            if size > 0:
-                x = x / size
-                mean, turn = models.get(len(x), (0.0, np.eye(len(x))[:, :BITS]))
-                bits = ((x - mean) @ turn >= 0)[:BITS]
-                code = np.packbits(np.pad(bits, (0, BITS - len(bits)))).tobytes()
-                out.append((i, label, len(x), x.tobytes(), int.from_bytes(code, "big", signed=True)))
-        if out:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["vec_id", "label", "size", "unit", "code"])
-
-
-def _first_here(a: np.ndarray, b: np.ndarray, table: int, mask: int, width: int, radius: int) -> np.ndarray:
-    """Whether this table (and the mask of this bit) is the first that finds the pair, for all pairs of codes a and b."""
-    differ = a[:, None] ^ b[None, :]
-    full = np.uint64((1 << width) - 1)
-    part = lambda t: (differ >> np.uint64(BITS - width * (t + 1))) & full
-    here = part(table)
-    if radius == 0:
-        ok = here == 0
-    else:  # equal parts meet under every mask: they count under the first
-        ok = (here == np.uint64(1 << mask)) | ((here == 0) & (mask == 0))
-    for t in range(table):
-        ok &= np.bitwise_count(part(t)) > radius
-    return ok
-
-
-def _compared(key: tuple, rows: pd.DataFrame, threshold: float, width: int, radius: int) -> pd.DataFrame:
-    """Links within small buckets, or of two blocks of a large one: vec_id, how many, the least vector it is united with here."""
-    _, _, table, mask, _, low, high = key
-    rows = rows.sort_values(["part", "vec_id"], kind="stable")
-    x = np.frombuffer(b"".join(rows["unit"])).reshape(len(rows), -1)
-    code = rows["code"].to_numpy().view(np.uint64)
-    block, ids, part = (rows[c].to_numpy() for c in ("block", "vec_id", "part"))
-    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
+@dataclass
+class Index:
+    """Tables for unit vectors of one length: parts of `width` bits of codes by several rotations."""
+
+    size: int
+    width: int
+    tables: int
+    rotations: list[tuple[np.ndarray, np.ndarray]]
+
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """The part of each row in each table."""
+        if not self.width:
+            return np.zeros((len(x), 1), np.int64)
+        out = []
+        for mean, turn in self.rotations:
+            bits = (x - mean) @ turn >= 0
+            for k in range(0, bits.shape[1] - self.width + 1, self.width):
+                out.append(bits[:, k : k + self.width] @ (1 << np.arange(self.width, dtype=np.int64)))
+        return np.stack(out[: self.tables], 1)
+
+
+def index(sample: np.ndarray, threshold: float, width: int) -> Index:
+    """Rotations and tables enough that of the sample's rows, turned by the threshold's angle, MISSED or fewer are lost."""
+    size = sample.shape[1]
+    width = min(width, size)
+    if not width or len(sample) < 2 or threshold <= 0:
+        return Index(size, 0, 1, [])
+    some = sample[np.linspace(0, len(sample) - 1, min(len(sample), 4096)).astype(int)]
+    aside = np.random.default_rng(11).normal(size=some.shape)
+    aside -= (aside * some).sum(1, keepdims=True) * some
+    aside /= np.maximum(np.sqrt((aside**2).sum(1, keepdims=True)), 1e-12)
+    turned = min(threshold, 1.0) * some + np.sqrt(max(0.0, 1 - threshold**2)) * aside
+    made, lost = Index(size, width, MOST_TABLES, []), np.ones(len(some), bool)
+    while True:
+        made.rotations.append(rotation(sample, 5 + len(made.rotations)))
+        one = Index(size, width, MOST_TABLES, made.rotations[-1:])
+        before = (len(made.rotations) - 1) * one.parts(some[:1]).shape[1]
+        for k, same in enumerate((one.parts(some) == one.parts(turned)).T):
+            lost &= ~same
+            if lost.mean() <= MISSED:
+                made.tables = before + k + 1
+                return made
+        if before + one.parts(some[:1]).shape[1] >= MOST_TABLES:
+            return index(sample, threshold, width - 1)  # so wide a part would take too many tables
+
+
+def _coded(batches: Iterator[pa.RecordBatch], known: Index | None) -> Iterator[pa.RecordBatch]:
+    """label, size, p1, p2, embedding -> the vector's parts in its place."""
+    for batch in small(batches):
+        lists, size = batch.column("embedding"), np.asarray(batch.column("size"))
+        flat, begin = np.asarray(lists.flatten()), np.cumsum(size) - size
+        parts: list[list[int]] = [[0]] * len(size)
+        if known is not None and (rows := np.flatnonzero(size == known.size)).size:
+            x = unit(flat[begin[rows, None] + np.arange(known.size)].astype(float))
+            for k, p in zip(rows, known.parts(x).tolist(), strict=True):
+                parts[k] = p
+        names = ["label", "size", "p1", "p2"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(parts, pa.list_(pa.int64()))], names=[*names, "parts"])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x**2).sum(1, keepdims=True))
+
+
+def _compared(rows: pd.DataFrame, threshold: float, known: Index | None) -> pd.DataFrame:
+    """Links within small buckets, or of two blocks of a large one: class, vectors linked, the least class it is united with here.
+
+    No more than a strip of a block's pairs is in memory at a time.
+    """
+    rows = rows.sort_values(["part", "cid", "p1", "p2"], kind="stable")
+    table, low, high = (int(rows[c].iloc[0]) for c in ("table", "low", "high"))
+    x = unit(np.stack(rows["embedding"].to_numpy()).astype(float))
+    parts = known.parts(x)[:, :table] if table else None
+    block, part, n = rows["block"].to_numpy(), rows["part"].to_numpy(), rows["n"].to_numpy().astype(float)
+    links, root = np.zeros(len(rows)), np.arange(len(rows))
     starts = np.flatnonzero(np.diff(part, prepend=part[0] - 1, append=part[-1] + 1))
     for first, last in zip(starts[:-1], starts[1:], strict=True):
         here = np.arange(first, last)
         a, b = here[block[here] == low], here[block[here] == high]
-        for begin in range(0, len(a), BLOCK):
-            own = a[begin : begin + BLOCK]
+        for begin in range(0, len(a), STRIP):
+            own = a[begin : begin + STRIP]
             linked = x[own] @ x[b].T >= threshold
             if low == high:
                 linked &= own[:, None] < b[None, :]
+            if table and linked.any():  # a pair that an earlier table finds counts there
+                i, j = np.nonzero(linked)
+                met = (parts[own[i]] == parts[b[j]]).any(1)
+                linked[i[met], j[met]] = False
             if not linked.any():
                 continue
-            linked &= _first_here(code[own], code[b], table, mask, width, radius)
-            links[own] += linked.sum(1)
-            links[b] += linked.sum(0)
+            links[own] += linked @ n[b]
+            links[b] += n[own] @ linked
             for k in np.flatnonzero(linked.any(1)):
-                near = find(own[k])
-                for other in b[linked[k]]:
-                    if root[other] != near and (far := find(other)) != near:
-                        root[max(near, far)], near = min(near, far), min(near, far)
+                met = np.unique(np.append(root[b[linked[k]]], root[own[k]]))
+                if len(met) > 1:
+                    within = root[first:last]
+                    within[np.isin(within, met[1:])] = met[0]
     some = np.flatnonzero(links)
-    return pd.DataFrame({"vec_id": ids[some], "n_links": links[some], "least": ids[[find(k) for k in some]] if len(some) else ids[:0]})
+    own, least = rows.iloc[some], rows["cid"].to_numpy()[root[some]]
+    return pd.DataFrame({"p1": own["p1"].to_numpy(), "p2": own["p2"].to_numpy(), "cid": own["cid"].to_numpy(), "n_links": links[some].astype(np.int64), "least": least})
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, most_fitted: int = 20_000, width: int = 8, radius: int = 0) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, most_fitted: int = 20_000, width: int | None = None) -> DataFrame:
     """One row for each row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
-    Vectors with equal labels, not null, and equal lengths are linked when their cosine in doubles is threshold or more.
-    A null, zero or non-finite vector, one with a null component, without a label or without an id is linked with
-    nothing. Rows that repeat an id are linked like others; an id's links are summed, then. An empty table gives an
-    empty result; other columns are not read.
+    Vectors with equal labels, not null, and equal lengths are linked when their cosine in doubles is threshold or more;
+    equal vectors always are. A null, zero or non-finite vector, one with a null component, without a label or without
+    an id is linked with nothing. Rows that repeat an id are vectors of their own, each with its own links and component.
+    An empty table gives an empty result; other columns are not read.
 
-    The rotation is learnt on about most_fitted vectors of the commonest length, chosen by a hash of the id. width and
-    radius: bits of a table's part, and in how many of them two vectors may differ there; the same for any number of
-    vectors, so that a row more never takes away a link. Two unit vectors at a cosine of 0.98 in random directions
-    differ in 4 of 64 bits on average; parts of 8 bits miss them with a chance of 0.0008.
+    The rotations are learnt on about most_fitted vectors of the commonest length, chosen by a hash of the id; vectors
+    of other lengths meet in one bucket for each label and length. width: bits of a part; None: by the rule above.
     """
-    session(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    good = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND size(embedding) > 0")
-    sizes = good.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    total = sizes[0]["count"] if sizes else 0
-    models = {}
-    if sizes:
-        length, count = sizes[0]
-        share = int((1 << 20) * most_fitted / count)
-        fine = good.filter((F.size("embedding") == length) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-        sample = np.array([r["embedding"] for r in fine.select("embedding").collect()], float).reshape(-1, length)
-        scale = np.sqrt((sample**2).sum(1))
-        sample = sample[scale > 0] / scale[scale > 0, None]
-        if len(sample) > 1:
-            models[length] = rotation(sample)
-    coded = written(good.mapInArrow(partial(_coded, models=models), "vec_id long, label long, size int, unit binary, code long"), "codes")
-
-    part = [F.shiftrightunsigned("code", BITS - width * (t + 1)).bitwiseAND(F.lit((1 << width) - 1)) for t in range(BITS // width)]
-    masks = range(width) if radius else range(1)
-    keys = [F.struct(F.lit(t).alias("table"), F.lit(m).alias("mask"), (p.bitwiseAND(F.lit(~(1 << m))) if radius else p).alias("part")) for t, p in enumerate(part) for m in masks]
-    bucket = ["label", "size", "table", "mask", "part"]
-    each = coded.select("vec_id", "label", "size", F.explode(F.array(*keys)).alias("k")).select("vec_id", "label", "size", "k.*")
-    several = each.groupBy(*bucket).agg(F.count("*").alias("members")).filter("members > 1")
+    inner = vectors.schema["embedding"].dataType.elementType.simpleString()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>" if inner == "float" else "array<double>").alias("embedding"))
+    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda v: v != 0)
+    rows = rows.withColumn("embedding", F.when(good, F.col("embedding")))
+    key = [F.xxhash64("label", "embedding").alias("p1"), F.xxhash64("embedding", "label", F.lit(1)).alias("p2")]
+    classes = rows.filter("embedding IS NOT NULL").groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n"))
+    classes = written(classes.select("cid", "label", F.size("embedding").alias("size"), "n", *key, "embedding"), "vectors")
+
+    by_label = classes.groupBy("size", "label").count().groupBy("size").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
+    commonest, known, total = by_label.orderBy(F.desc("all"), "size").limit(1).collect(), None, 0
+    if commonest:
+        size, most, total = commonest[0]
+        bits = max(0, int(np.ceil(np.log2(most / BUCKET)))) if width is None else width
+        sample = np.empty((0, size))
+        if bits:
+            share = int((1 << 20) * most_fitted / total)
+            chosen = classes.filter((F.col("size") == size) & (F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < share)).select("cid", "p1", "embedding")
+            sample = np.array([r["embedding"] for r in sorted(chosen.collect(), key=lambda r: (r["cid"], r["p1"]))], float).reshape(-1, size)
+        known = index(unit(sample) if len(sample) else sample, threshold, min(bits, MOST_WIDTH))
+    coded = classes.select("label", "size", "p1", "p2", "embedding").mapInArrow(partial(_coded, known=known), "label long, size int, p1 long, p2 long, parts array<long>")
+    each = written(coded.select("p1", "p2", "label", "size", F.posexplode("parts").alias("table", "part")), "parts")
+
+    # only parts are dealt out to count a bucket's members; vectors follow to buckets that hold several
+    bucket = ["label", "size", "table", "part"]
+    several = written(each.groupBy(*bucket).agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    full = coded.select("*", F.explode(F.array(*keys)).alias("k")).select("vec_id", "label", "size", "unit", "code", "k.*")
-    placed = full.join(several, bucket).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    placed = each.join(several, bucket).withColumn("blocks", blocks).withColumn("block", F.pmod("p2", F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
     # small buckets share a shelf, so that a group has some thousand vectors; a large one has its own for each pair of blocks
     shelf = F.when(F.col("blocks") == 1, F.pmod("part", F.lit(1 + total // SHELF))).otherwise(F.col("part") + (1 << 40))
-    meet = placed.withColumns({"p": F.explode(pairs), "shelf": shelf}).select("vec_id", "unit", "code", "block", "shelf", *bucket, "p.low", "p.high")
-    found = meet.groupBy("label", "size", "table", "mask", "shelf", "low", "high").applyInPandas(partial(_compared, threshold=threshold, width=width, radius=radius), "vec_id long, n_links long, least long")
+    placed = placed.withColumns({"p": F.explode(pairs), "shelf": shelf}).select("p1", "p2", "block", "shelf", "table", "part", "p.low", "p.high")
+    meet = classes.join(placed, ["p1", "p2"])
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        return _compared(rows, threshold, known)
+
+    found = meet.groupBy("label", "size", "table", "shelf", "low", "high").applyInPandas(compared, "p1 long, p2 long, cid long, n_links long, least long")
     found = written(found, "links")
-    comp = components(found.filter("vec_id != least").select(F.col("vec_id").alias("u"), F.col("least").alias("v")))
-    links = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
-    out = rows.select("vec_id").join(links, "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    comp = components(found.filter("cid != least").select(F.greatest("cid", "least").alias("u"), F.least("cid", "least").alias("v")))
+    links = found.groupBy("p1", "p2").agg(F.sum("n_links").alias("n_links"))
+    of_class = classes.select("p1", "p2", "cid", "n").join(links, ["p1", "p2"], "left").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
+    of_class = written(of_class.select("p1", "p2", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component")), "classes")
+    ids = rows.select("vec_id", *[F.when(F.col("embedding").isNotNull(), k).alias(n) for k, n in zip(key, ("p1", "p2"), strict=True)])
+    out = ids.join(of_class, ["p1", "p2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

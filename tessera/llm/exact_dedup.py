@@ -1,70 +1,71 @@
 """Exact duplicates by content sort.
 
-Sampled splitters deal the texts out by their normalised bytes (a leading part, then the digest, then a salt, so that a
+Sampled splitters deal the texts out by their normalised bytes (a leading part, then a hash of all, then a salt, so that a
 text that makes up a third of all rows still spreads over many tasks). Each task sorts its range, which spills to disk,
 so equal texts are neighbours; whole neighbouring texts are compared. Only the first and the last run of a task can go
-on in the next one: those few are put together at the end.
+on in the next one: those few are put together at the end by their whole texts, and each task's rows learn of it by the
+task's number, so that no key holds more rows than a task had.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lowered, session, written
+from tessera.llm.common import lowered, small, written
 
 #: Leading bytes of a text by which the ranges are cut first.
 HEAD_BYTES = 48
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of content -> the same rows with their run's largest id, its size, and whether it may go on elsewhere."""
-    names = ["doc_id", "keep_id", "group_size", "first", "text_sha256", "edge"]
-    text: bytes | None = None  # of the open run
-    open_ids: list[pa.Array] = []
-    sha: pa.Scalar | None = None
-    at_start = True
+    """Rows in order of content -> the same rows with their run's largest id, size and digest.
 
-    def closed() -> pa.RecordBatch:
-        ids = pa.concat_arrays(open_ids)
-        n = len(ids)
-        zeros = pa.array(np.zeros(n, np.int64))
-        return pa.RecordBatch.from_arrays([ids, ids.take(zeros), pa.array(np.full(n, n)), pa.array(np.arange(n) == 0), pa.array([sha.as_py()] * n, pa.string()), pa.array([True] * n)], names=names)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, norm, shas = batch.column("doc_id"), batch.column("norm").to_pylist(), batch.column("text_sha256")
-        n = len(norm)
-        starts = np.flatnonzero(np.fromiter((a != b for a, b in zip(norm, [text, *norm[:-1]], strict=True)), bool, n))
-        if not len(starts):
-            open_ids.append(ids)
-            continue
-        if text is not None:
-            if starts[0]:
-                open_ids.append(ids.slice(0, starts[0]))
-            out = closed()
-            if not at_start:
-                out = out.set_column(5, "edge", pa.array([False] * out.num_rows))
-            yield out
-            at_start = False
-        inner, last = starts[:-1], starts[-1]
-        if len(inner):
-            sizes = np.diff(starts)
-            begin = np.repeat(inner, sizes)
-            edge = np.zeros(len(begin), bool)
-            if at_start:  # the first run of the task is among them
-                edge[: sizes[0]] = True
-            part = ids.slice(inner[0], last - inner[0])
-            yield pa.RecordBatch.from_arrays([part, ids.take(pa.array(begin)), pa.array(np.repeat(sizes, sizes)), pa.array(np.arange(inner[0], last) == begin), shas.slice(inner[0], last - inner[0]), pa.array(edge)], names=names)
-            at_start = False
-        text, sha, open_ids = norm[-1], shas[n - 1], [ids.slice(last)]
-    if text is not None:
-        yield closed()
+    place: the task's number and the run's in it, for those runs that may go on in another task (null for others): runs
+    of the first or the last hash here. The first row of such a run has the whole text.
+    """
+    task, n_runs = TaskContext.get().partitionId(), 0
+    hashed: int | None = None  # of the last run
+    at_start = True
+    waiting: list[list] = []  # runs of the last hash: text, ids in parts
+
+    def rows(text: bytes, ids: pa.Array, edge: bool) -> pa.RecordBatch:
+        nonlocal n_runs
+        n, n_runs = len(ids), n_runs + 1
+        same = lambda value, kind: pa.array([value], kind).take(pa.array(np.zeros(n, np.int64)))
+        whole = pa.array([text if edge else None] + [None] * (n - 1), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [ids, ids.take(pa.array(np.zeros(n, np.int64))), same(n, pa.int64()), same(hashlib.sha256(text).hexdigest(), pa.string()), same((task << 32) + n_runs if edge else None, pa.int64()), whole],
+            names=["doc_id", "keep_id", "group_size", "text_sha256", "place", "norm"],
+        )
+
+    def closed(edge: bool) -> pa.RecordBatch:
+        return pa.Table.from_batches([rows(text, pa.concat_arrays(parts), edge) for text, parts in waiting]).combine_chunks().to_batches()[0]
+
+    for batch in small(batches):
+        ids, norm, hashes = batch.column("doc_id"), batch.column("norm").to_pylist(), batch.column("hash").to_pylist()
+        last = waiting[-1][0] if waiting else None
+        starts = [k for k, text in enumerate(norm) if text != (norm[k - 1] if k else last)]
+        if not starts or starts[0]:
+            waiting[-1][1].append(ids.slice(0, starts[0] if starts else len(norm)))
+        done: list[pa.RecordBatch] = []
+        for a, b in zip(starts, [*starts[1:], len(norm)], strict=True):
+            if hashes[a] != hashed:
+                if waiting:
+                    done.append(closed(at_start))
+                    at_start, waiting = False, []
+                hashed = hashes[a]
+            waiting.append([norm[a], [ids.slice(a, b - a)]])
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+    if waiting:
+        yield closed(True)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,29 +75,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lower-casing A-Z. The row with the largest id stays; a null id is smaller than any other. Rows that repeat an id
     count as rows of the group and say the same of it. An empty table gives an empty result; other columns are not read.
     """
-    spark = session(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    norm = lowered(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), norm.cast("binary").alias("norm"), F.sha2(norm, 256).alias("text_sha256"))
-    rows = rows.withColumns({"head": F.substring("norm", 1, HEAD_BYTES), "salt": F.xxhash64("doc_id")})
-    order = ["head", "text_sha256", "norm", F.desc_nulls_last("doc_id")]
-    placed = rows.repartitionByRange("head", "text_sha256", "salt").sortWithinPartitions(*order)
-    runs = placed.select("doc_id", "norm", "text_sha256").mapInArrow(_runs, f"doc_id {kind}, keep_id {kind}, group_size long, first boolean, text_sha256 string, edge boolean")
+    rows = docs.select(F.col(id_col).alias("doc_id"), lowered(F.col(text_col)).cast("binary").alias("norm"))
+    rows = rows.withColumns({"head": F.substring("norm", 1, HEAD_BYTES), "hash": F.xxhash64("norm"), "salt": F.xxhash64("doc_id")})
+    placed = rows.repartitionByRange("head", "hash", "salt").sortWithinPartitions("head", "hash", "norm", F.desc_nulls_last("doc_id"))
+    runs = placed.select("doc_id", "norm", "hash").mapInArrow(_runs, f"doc_id {kind}, keep_id {kind}, group_size long, text_sha256 string, place long, norm binary")
     runs = written(runs, "runs")
-    # two runs at most from each task
-    edges = runs.filter("edge").groupBy("text_sha256").agg(F.max("doc_id").alias("edge_keep"), F.count("*").alias("edge_size"))
-    keep = F.when(F.col("edge"), F.col("edge_keep")).otherwise(F.col("keep_id"))
-    size = F.when(F.col("edge"), F.col("edge_size")).otherwise(F.col("group_size"))
-    out = runs.join(F.broadcast(edges), "text_sha256", "left").select("doc_id", keep.alias("keep_id"), size.alias("group_size"), "text_sha256")
+    # a row for each run at the edge of a task, most often two of each
+    edges = runs.filter("norm IS NOT NULL").select("norm", "place", F.col("keep_id").alias("keep"), F.col("group_size").alias("size"))
+    whole = edges.groupBy("norm").agg(F.max("keep").alias("keep_id"), F.sum("size").alias("group_size"))
+    known = edges.select("norm", "place").join(whole, "norm").drop("norm")
+    at_edge = runs.filter("place IS NOT NULL").select("doc_id", "text_sha256", "place").join(known, "place")
+    out = runs.filter("place IS NULL").select("doc_id", "keep_id", "group_size", "text_sha256").unionByName(at_edge.drop("place"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: exactly one of each group, also where ids repeat or are null.
 
-    The row with the largest id stays; of several such rows, one. Each row's number is written once, with the row.
+    The row with the largest id stays, a null id being the smallest; of several such rows, one. A null text is an empty
+    one. Columns may have any names; an empty table gives an empty result. Each row's number is written once, with the row.
     """
-    session(docs.sparkSession)
     row = "_row" + "_" * max(map(len, docs.columns))  # no column of docs has this name
     keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     groups = exact_groups(keyed.select(F.struct(F.col(id_col), F.col(row).alias("row")).alias("doc_id"), F.col(text_col).alias("text")))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, mix64, session, sums, written
+from tessera.llm.common import Words, mix64, small, sums, written
 
 NOT_LETTER = re.compile(r"[\W\d_]+")
 #: The longest n-grams, letters of a word that are looked at, added to every count.
@@ -82,7 +82,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, text -> lang, word, count: words of a partition that is part of a bounded sample."""
     counts: dict[str, Counter] = {}
     seen: dict[bytes, str] = {}
-    for batch in batches:
+    for batch in small(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             own = counts.setdefault(lang, Counter())
             for word, n in Counter(text.split()).items():
@@ -99,7 +99,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, word, count -> lang, n, key, count."""
-    for batch in batches:
+    for batch in small(batches):
         words, count = batch.column("word").to_pylist(), np.asarray(batch.column("count"))
         langs = np.array(batch.column("lang").to_pylist(), object)
         for lang in set(langs):
@@ -151,9 +151,9 @@ def fit(docs: DataFrame, most_per_language: int = 2500, most_words: int = 40_000
 
 def _identified(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     words, table, lettered = Words(), [], np.empty(0, bool)
-    for batch in batches:
+    for batch in small(batches):
         texts = batch.column("text").to_pylist()
-        if len(words) > CACHE:
+        if words.full(CACHE):
             words, table, lettered = Words(), [], np.empty(0, bool)
         numbers = [words.numbers(x.split()) if x else np.empty(0, np.int32) for x in texts]
         fresh = [bare(w) for w in words.take()]
@@ -181,7 +181,6 @@ def identify(docs: DataFrame, held_out=None, **bounds) -> DataFrame:
     or have none are rows like others. Columns other than doc_id, text and lang are not read. An empty table gives an
     empty result.
     """
-    session(docs.sparkSession)
     held = F.lit(False) if held_out is None else held_out
     rows = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text"), "lang")
     model = fit(rows.filter(~F.col("held_out")).drop("held_out"), **bounds)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import session, written
+from tessera.llm.common import small, written
 
 #: Symbols: CLASSES of other words, the end of a text (and what precedes its first word), then the commonest words.
 CLASSES = 61
@@ -72,7 +72,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         return rows
 
-    for batch in batches:
+    for batch in small(batches):
         for text in batch.column("text").to_pylist():
             counts.update(text.lower().split())
         if len(counts) > GATHER:
@@ -145,7 +145,7 @@ def _trained(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.Re
         seen[:] = [(code, np.bincount(place, np.concatenate([w for _, w in seen]), len(code)))]
         pending = 0
 
-    for batch in batches:
+    for batch in small(batches):
         for text in batch.column("text").to_pylist():
             words = text.lower().split()
             s = np.full(len(words) + 3, END, np.int64)
@@ -209,7 +209,7 @@ def _scored(batches: Iterator[pa.RecordBatch], v: Vocabulary, t: Tables) -> Iter
     shared = np.zeros(len(v.noise))  # what a class's words share its probability by
     shared[:CLASSES] = np.log10(v.other_tokens + v.other_types + 1.0)
     row = TaskContext.get().partitionId() << 36
-    for batch in batches:
+    for batch in small(batches):
         out: list[tuple] = []
         for text in batch.column("text").to_pylist():
             words = text.lower().split()
@@ -235,7 +235,6 @@ def score(docs: DataFrame, held_out=None, most_symbols: int = 640) -> DataFrame:
     scored each. With nothing to learn from, every token has the same probability. Columns other than doc_id and text
     are not read. An empty table gives an empty result.
     """
-    session(docs.sparkSession)
     held = F.lit(False) if held_out is None else held_out
     rows = docs.select("doc_id", held.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     known = rows.filter(~F.col("held_out"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import session
+from tessera.llm.common import small
 
 #: License notices as their publishers word them.
 TEMPLATES = {
@@ -148,7 +148,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], templates: dict[str, str], cover
     keys = {t.words[k] for t in all_ for k in t.keys}
     # a key as part of a white-space word: only words that hold one are taken apart
     seen: dict[bytes, bool] = {}
-    for batch in batches:
+    for batch in small(batches):
         rows: list[tuple] = []
         for number, text in enumerate(batch.column("text").to_pylist()):
             raw = set(text.lower().split())
@@ -184,7 +184,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     counts, the first of equals. A null, empty or blank text holds no license. Rows that repeat an id, or have none, are
     scanned each. An empty table gives an empty result; columns other than doc_id and text are not read.
     """
-    session(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     task = partial(_scanned, templates=TEMPLATES if templates is None else templates, coverage=coverage)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Words, discard, mix64, session, written
+from tessera.llm.common import Words, discard, mix64, small, written
 from tessera.llm.union_find import components
 
 #: A pair at the threshold of 0.8 shares none of 24 bands of 4 with a chance of (1 - 0.8 ** 4) ** 24, 3 in a million.
@@ -37,7 +37,7 @@ class Shingler:
         self.size, self.words, self.hashes = size, Words(), np.empty(0, np.uint64)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.words) > CACHE:
+        if self.words.full(CACHE):
             self.words, self.hashes = Words(), np.empty(0, np.uint64)
         numbers = [self.words.numbers(x.lower().split()) for x in texts]
         fresh = self.words.take()
@@ -81,7 +81,7 @@ def superminhash(flat: np.ndarray, owner: np.ndarray, n_sets: int, places: int)
 def _signed(batches: Iterator[pa.RecordBatch], size: int, bands: int, band_rows: int) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> doc_id, n_shingles, two fingerprints of the set, its bands."""
     shingles = Shingler(size)
-    for batch in batches:
+    for batch in small(batches):
         sets = shingles(batch.column("text").to_pylist())
         n = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -101,7 +101,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, bands: int, band_rows:
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     shingles = Shingler(size)
-    for batch in batches:
+    for batch in small(batches):
         sets = shingles(batch.column("text").to_pylist())
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
@@ -116,7 +116,6 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
     row without an id is linked with nothing and stays. Rows that repeat an id are one document, linked by any of their
     texts. Equal texts are linked through their class. An empty table gives an empty result; other columns are not read.
     """
-    session(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     signed = written(rows.mapInArrow(partial(_signed, size=size, bands=bands, band_rows=band_rows), "doc_id long, n_shingles long, print1 long, print2 long, bands array<long>"), "signed")
     same = ["n_shingles", "print1", "print2"]
@@ -126,7 +125,10 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
     # the members of buckets of two or more classes
     in_bucket = classes.select("cid", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     several = in_bucket.groupBy("bucket").agg(F.min("cid").alias("hub"), F.min_by("n", "cid").alias("hub_n"), F.count("*").alias("members")).filter("members > 1")
-    members = written(in_bucket.join(several, "bucket"), "members")
+    # a written table: the join's two sides are then plain shuffles, of which Spark deals out a hot bucket's rows anew
+    several = written(several, "buckets")
+    part = F.pmod(F.xxhash64("cid", F.lit(1)), F.ceil(F.col("members") / PART))
+    members = written(in_bucket.join(several, "bucket").withColumn("part", part), "members")
     needed = members.select("cid").distinct()
     texts = rows.join(needed, rows["doc_id"] == needed["cid"], "left_semi")
     sets = written(texts.mapInArrow(partial(_sets, size=size), "cid long, shingles array<long>"), "sets")
@@ -144,17 +146,18 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
         """The components so far, and the members of those buckets that hold several."""
         comp = components(links)
         at = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        open_ = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
-        return comp, written(at.join(open_, "bucket").select("bucket", "cid", "n", "members", "component"), "open")
+        open_ = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("members").alias("members")).filter("low != high")
+        # told to each part of a bucket, so that the join's keys hold some PART rows
+        parts = open_.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / PART) - 1)).alias("part"))
+        return comp, written(at.join(parts, ["bucket", "part"]).select("bucket", "part", "cid", "n", "component"), "open")
 
     first = members.filter("hub != cid").filter(near(F.col("n"), F.col("hub_n"))).select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct()
     links = written(linked(first), "linked")
     comp, apart = joined(links)
 
-    parts = apart.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.ceil(F.col("members") / PART)))
     hub = F.min_by(F.struct("cid", "n", "component"), F.xxhash64("cid", F.lit(2)))
-    hubs = parts.groupBy("bucket", "part").agg(hub.alias("hub"))
-    second = parts.join(hubs, ["bucket", "part"]).filter(F.col("component") != F.col("hub.component")).filter(near(F.col("n"), F.col("hub.n")))
+    hubs = apart.groupBy("bucket", "part").agg(hub.alias("hub"))
+    second = apart.join(hubs, ["bucket", "part"]).filter(F.col("component") != F.col("hub.component")).filter(near(F.col("n"), F.col("hub.n")))
     links = written(links.union(linked(second.select(F.col("cid").alias("u"), F.col("hub.cid").alias("v")).distinct())), "linked")
     comp, apart = joined(links)
 
@@ -174,7 +177,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
 
     of_class = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select(*same, F.coalesce("component", "cid").alias("component_id"))
     of_class = written(of_class, "components")
-    for t in (links, members, sets, apart, lead, classes):
+    for t in (links, members, several, sets, apart, lead, classes):
         discard(t)
     out = signed.drop("bands").join(of_class, same, "left")
     # a row without an id has no class of its own, though its text may have one
@@ -183,6 +186,16 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs that stay: one document of each group, that with the smallest id."""
-    kept = near_groups(docs, id_col=id_col, text_col=text_col, **settings).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that stay, with all their columns: exactly one of each group, that with the smallest id.
+
+    Groups are of rows: of those that repeat an id, each counts by its own text, as does a row without an id, which is
+    larger than any other. Of several rows with the smallest id, one stays. A text without words is in no group and
+    stays. Columns may have any names; an empty table gives an empty result. Each row's number is written once, with the row.
+    """
+    row = "_row" + "_" * max(map(len, docs.columns))  # no column of docs has this name
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    texts = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    groups = near_groups(texts, id_col="row", text_col="text", **settings).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    kept = groups.join(texts.drop("text"), "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return keyed.join(kept, row, "left_semi").select(*docs.columns)

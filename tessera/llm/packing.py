@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, session
+from tessera.llm.common import Words, small
 
 #: Pieces that wait for a place, at most, besides those of one batch.
 POOL = 256
@@ -67,7 +67,7 @@ class WordEncoder:
         return np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.words) > CACHE:
+        if self.words.full(CACHE):
             self.forget()
         numbers = [self.words.numbers(x.split()) for x in texts]
         if fresh := self.words.take():
@@ -174,7 +174,7 @@ def _pack_task(batches: Iterator[pa.RecordBatch], path, end_id: int, limits: tup
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
             rows.clear()
 
-    for batch in batches:
+    for batch in small(batches):
         n_loss = batch.column("n_loss").to_pylist()
         for doc_id, ids, loss in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), n_loss, strict=True):
             packer.add((doc_id, ids), len(ids), len(ids) if loss is None else min(max(loss, 0), len(ids)))
@@ -195,7 +195,6 @@ def pack(docs: DataFrame, max_tokens: int = 2048, max_segments: int = 512, max_l
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-    session(docs.sparkSession)
     fields = [StructField("doc_id", docs.schema[id_col].dataType), *(StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))]
     schema = StructType(fields + [StructField("ids", ArrayType(IntegerType()))] * with_ids)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), (F.col(loss_col) if loss_col else F.lit(None)).cast("long").alias("n_loss"))

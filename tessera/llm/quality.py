@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, session, sums
+from tessera.llm.common import Words, small, sums
 
 MEASURES = (
     "words", "word_length", "distinct_words", "commonest_word", "repeated_next", "odd_ends", "no_letters", "upper_case",
@@ -42,7 +42,7 @@ class Measurer:
         self.words, self.traits = Words(), np.empty((0, 3))
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
-        if len(self.words) > CACHE:
+        if self.words.full(CACHE):
             self.__init__()
         if not texts:
             return np.empty((0, len(MEASURES)))
@@ -170,14 +170,14 @@ def boost(x: np.ndarray, y: np.ndarray) -> Model:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     measure = Measurer()
-    for batch in batches:
+    for batch in small(batches):
         rows = measure(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["quality", "measures"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
     measure = Measurer()
-    for batch in batches:
+    for batch in small(batches):
         p = model.score(measure(batch.column("text").to_pylist()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -212,7 +212,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_out
     are zeros. Rows that repeat an id, or have none, are scored each. Other columns, whatever their names, are not read.
     An empty table gives an empty result.
     """
-    session(docs.sparkSession)
     held = F.lit(False) if held_out is None else held_out
     rows = docs.select("doc_id", held.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     model = fit(rows.filter(~F.col("held_out")).select("doc_id", "text"), labels.select("doc_id", "quality").filter(~held), **bounds)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, session, written
+from tessera.llm.common import Words, small, written
 
 #: Weight of a skipped letter, the furthest that a subsequence reaches, the power that the similarity is raised to.
 DECAY, REACH, DEGREE = 0.6, 5, 4
@@ -224,7 +224,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """toxic, text -> string, texts that have it by label; string: a word (with a mark for its end) or a beginning."""
     reader, index, of_word = Reader(), Words(), []
     totals = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    for batch in batches:
+    for batch in small(batches):
         for toxic, n in zip(batch.column("toxic").to_pylist(), reader(batch.column("text").to_pylist()), strict=True):
             for word in reader.strings[len(of_word) :]:
                 of_word.append(np.unique(index.numbers([x for s in word if len(s) > 3 for x in (s + "$", *(s[: k + 1] for k in BEGINNINGS if k < len(s) and s[0] == "^"))])))
@@ -241,28 +241,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _similar(batches: Iterator[pa.RecordBatch], landmarks: list[str]) -> Iterator[pa.RecordBatch]:
     """Those of the counted words that are similar to a landmark."""
     kernel = Kernel(landmarks)
-    for batch in batches:
+    for batch in small(batches):
         for which, _ in kernel.parts([w.rstrip("$") for w in batch.column("string").to_pylist()]):
             yield batch.take(pa.array(which))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
     scan = Scanner(model)
-    for batch in batches:
+    for batch in small(batches):
         p = scan.score(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names[:2], "score", "predicted"])
 
 
 def _told(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     scan = Scanner(model)
-    for batch in batches:
+    for batch in small(batches):
         x = scan(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "most", "all"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], model: Model, threshold: float, text_at: int) -> Iterator[pa.RecordBatch]:
     scan = Scanner(model)
-    for batch in batches:
+    for batch in small(batches):
         yield batch.filter(pa.array(scan.score([(x or "").encode() for x in batch.column(text_at).to_pylist()]) < threshold))
 
 
@@ -407,7 +407,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
     any word. Rows that repeat an id are scored each; a row without an id too, but is never learnt from. Other columns,
     whatever their names, are not read. An empty table gives an empty result.
     """
-    session(docs.sparkSession)
     held = F.lit(False) if held_out is None else held_out
     rows = docs.select("doc_id", held.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     known = labels.select("doc_id", "toxic")
@@ -418,7 +417,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out=None, **bounds) -> DataFrame:
     """The rows of docs that score under threshold, with all their columns, where they are: nothing is shuffled."""
-    session(docs.sparkSession)
     held = F.lit(False) if held_out is None else held_out
     known = docs.filter(~held).select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     model = fit(known, labels.select("doc_id", "toxic").filter(~held), **bounds)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, session, written
+from tessera.llm.common import discard, written
 
 
 #: Parts that a node's links are dealt out in.
@@ -44,7 +44,6 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (the least node reachable) for every node of `links` (u, v: longs) that isn't its own component."""
-    session(links.sparkSession)
     now, seen = written(links.select("u", "v").mapInArrow(_unite, "u long, v long"), "links"), None
     for _ in range(most_rounds):
         # what the least neighbour of a parent is matters where the parent is a child itself: few nodes, so that these go
