@@ -134,10 +134,11 @@ class Words(dict):
 
 
 def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The sum of each run of `lengths` values (0 for empty runs)."""
-    ends = np.cumsum(lengths)
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[ends] - total[ends - lengths]
+    """The sum of each run of `lengths` values (0 for empty runs), the same wherever a run lies."""
+    out, some = np.zeros(len(lengths)), lengths > 0
+    if some.any():
+        out[some] = np.add.reduceat(values.astype(np.float64), (np.cumsum(lengths) - lengths)[some])
+    return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

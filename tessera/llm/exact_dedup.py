@@ -52,8 +52,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, norm, hashes = batch.column("doc_id"), batch.column("norm").to_pylist(), batch.column("hash").to_pylist()
         last = waiting[-1][0] if waiting else None
         starts = [k for k, text in enumerate(norm) if text != (norm[k - 1] if k else last)]
-        if not starts or starts[0]:
-            waiting[-1][1].append(ids.slice(0, starts[0] if starts else len(norm)))
+        if not starts:
+            waiting[-1][1].append(ids)
+            continue
+        if starts[0]:
+            waiting[-1][1].append(ids.slice(0, starts[0]))
         done: list[pa.RecordBatch] = []
         for a, b in zip(starts, [*starts[1:], len(norm)], strict=True):
             if hashes[a] != hashed:

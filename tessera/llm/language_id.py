@@ -2,7 +2,8 @@
 
 A known word adds its log frequency in each language. For a word not in the list, its n-grams of five letters are
 looked up, and if none of them is known those of four, and so on down to single letters; their mean log frequency
-stands for the word. The language with the largest sum is the text's.
+stands for the word. A run of letters longer than a word, as in scripts without spaces, counts as words one after
+another. The language with the largest sum is the text's.
 """
 
 from __future__ import annotations
@@ -21,15 +22,21 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Words, mix64, small, sums, written
 
 NOT_LETTER = re.compile(r"[\W\d_]+")
-#: The longest n-grams, letters of a word that are looked at, added to every count.
+#: The longest n-grams, letters of a piece that a longer word is cut into, added to every count.
 N, LONGEST, ADDED = 5, 40, 0.5
+#: Table cells (words or n-grams times languages) that a task has in memory at most.
+CELLS = 16_000_000
 CACHE = 400_000
 UNDETERMINED = "und"
 
 
-def bare(word: bytes) -> str:
-    """The letters of a word in lower case."""
-    return NOT_LETTER.sub("", word.decode("utf-8", "replace").lower())[:LONGEST]
+def pieces(word: bytes) -> list[str]:
+    """The letters of a word in lower case; of a long one, pieces that reach to its end and share N - 1 letters, so that
+    each n-gram of N is in one. None for a word without letters."""
+    whole = NOT_LETTER.sub("", word.decode("utf-8", "replace").lower())
+    if len(whole) <= LONGEST:
+        return [whole] if whole else []
+    return [whole[k : k + LONGEST] for k in range(0, len(whole) - N + 1, LONGEST - N + 1)]
 
 
 def grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,9 +62,9 @@ class Model:
     gram_logs: list[np.ndarray]
 
     def vectors(self, words: list[str]) -> np.ndarray:
-        """Log frequencies of the words in each language; zeros for a word without letters."""
+        """Log frequencies of the words in each language."""
         out = np.zeros((len(words), len(self.languages)))
-        place = np.fromiter((self.words.get(w, -1) if w else -2 for w in words), np.int64, len(words))
+        place = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
         known = place >= 0
         out[known] = self.word_logs[place[known]]
         rest = np.flatnonzero(place == -1)
@@ -81,16 +88,16 @@ class Model:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, text -> lang, word, count: words of a partition that is part of a bounded sample."""
     counts: dict[str, Counter] = {}
-    seen: dict[bytes, str] = {}
+    seen: dict[bytes, list[str]] = {}
     for batch in small(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             own = counts.setdefault(lang, Counter())
             for word, n in Counter(text.split()).items():
                 if word not in seen:
-                    seen[word] = bare(word)
-                own[seen[word]] += n
+                    seen[word] = pieces(word)
+                for piece in seen[word]:
+                    own[piece] += n
     for lang, own in counts.items():
-        own.pop("", None)
         words = list(own)
         for k in range(0, len(words), 50_000):
             part = words[k : k + 50_000]
@@ -112,31 +119,38 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequent(counts: DataFrame, by: list[str], langs: list[str], most: int) -> list:
-    """The `most` commonest of counts, with their count in each language."""
-    each = [F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"c{k}") for k, x in enumerate(langs)]
-    return counts.groupBy(*by).agg(*each, F.sum("count").alias("all")).orderBy(F.desc("all"), *by).limit(most).collect()
+    """The `most` commonest of counts, with their counts by the number of the language."""
+    number = F.create_map(*[x for k, lang in enumerate(langs) for x in (F.lit(lang), F.lit(k))])
+    own = F.collect_list(F.struct(F.element_at(number, F.col("lang")).alias("k"), "count"))  # a row for each language at most
+    return counts.groupBy(*by).agg(F.sum("count").alias("all"), own.alias("own")).orderBy(F.desc("all"), *by).limit(most).collect()
 
 
-def fit(docs: DataFrame, most_per_language: int = 2500, most_words: int = 40_000, most_grams: int = 80_000, most_languages: int = 200) -> Model | None:
+def fit(docs: DataFrame, most_per_language: int = 2500, most_words: int = 40_000, most_grams: int = 80_000, most_languages: int = 1000) -> Model | None:
     """Learns from docs (doc_id, text: binary, lang), null languages left out.
 
     From about most_per_language documents of each language, chosen by a hash of the id, and whole texts of those; the
-    commonest words and n-grams make the model. None if no language is known. The commonest most_languages are learnt.
+    commonest words and n-grams make the model, fewer of them where many languages need the room. None if no language is
+    known. Every language is learnt: more than most_languages, for which the tables are laid out, raise a ValueError.
     """
     known = docs.filter("lang IS NOT NULL")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    sizes = known.groupBy("lang").count().limit(most_languages + 1).collect()
     if not sizes:
         return None
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: raise most_languages")
     langs = sorted(r["lang"] for r in sizes)
     share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], float((1 << 20) * most_per_language / r["count"])) for r in sizes], "lang string, part double"))
     sample = known.filter(F.col("text").isNotNull()).join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("part"))
     words = written(sample.select("lang", "text").mapInArrow(_counted, "lang string, word string, count long").groupBy("lang", "word").agg(F.sum("count").alias("count")), "words")
-    top = _frequent(words, ["word"], langs, most_words)
-    pieces = words.mapInArrow(_gram_counts, "lang string, n int, key long, count long").groupBy("lang", "n", "key").agg(F.sum("count").alias("count"))
-    grams_ = _frequent(pieces, ["n", "key"], langs, most_grams)
+    top = _frequent(words, ["word"], langs, min(most_words, CELLS // (2 * len(langs))))
+    parts = words.mapInArrow(_gram_counts, "lang string, n int, key long, count long").groupBy("lang", "n", "key").agg(F.sum("count").alias("count"))
+    grams_ = _frequent(parts, ["n", "key"], langs, min(most_grams, CELLS // (2 * len(langs))))
 
     def logs(rows: list) -> np.ndarray:
-        c = np.array([[r[f"c{k}"] for k in range(len(langs))] for r in rows], float).reshape(-1, len(langs)) + ADDED
+        c = np.full((len(rows), len(langs)), ADDED)
+        for i, r in enumerate(rows):
+            for x in r["own"]:
+                c[i, x["k"]] += x["count"]
         return np.log(c / c.sum(0))
 
     keys, tables = [np.empty(0, np.uint64)], [np.empty((0, len(langs)))]
@@ -156,14 +170,18 @@ def _identified(batches: Iterator[pa.RecordBatch], model: Model | None) -> Itera
         if words.full(CACHE):
             words, table, lettered = Words(), [], np.empty(0, bool)
         numbers = [words.numbers(x.split()) if x else np.empty(0, np.int32) for x in texts]
-        fresh = [bare(w) for w in words.take()]
-        lettered = np.concatenate([lettered, np.fromiter(map(bool, fresh), bool, len(fresh))])
+        fresh = [pieces(w) for w in words.take()]
+        count = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        lettered = np.concatenate([lettered, count > 0])
         flat, sizes = np.concatenate(numbers) if numbers else np.empty(0, np.int32), np.array([len(n) for n in numbers], np.int64)
         has_letter = sums(lettered[flat], sizes) > 0
         if model is None:
             pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         else:
-            table = np.concatenate([table, model.vectors(fresh)]) if len(table) else model.vectors(fresh)
+            each = model.vectors([p for own in fresh for p in own])
+            own = np.zeros((len(fresh), len(model.languages)))
+            np.add.at(own, np.repeat(np.arange(len(fresh)), count), each)
+            table = np.concatenate([table, own]) if len(table) else own
             total = np.stack([sums(table[flat, k], sizes) for k in range(len(model.languages))], 1)
             p = np.exp(total - total.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)

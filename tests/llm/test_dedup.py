@@ -39,8 +39,8 @@ def test_exact_groups_equal_brute_force_over_many_tasks(spark):
     """Groups that go on over several tasks, null and repeated ids, texts with a common beginning."""
     rng = random.Random(7)
     pool = [None, "", *("p" * 60 + str(k) for k in range(5)), *(f"Text {k}" for k in range(40))]
-    docs = [(rng.choice([None, *range(300)]), rng.choice(pool) if rng.random() < 0.6 else rng.choice(["HOT", "hot"])) for _ in range(900)]
-    spark.conf.set("spark.sql.shuffle.partitions", 23)
+    docs = [(rng.choice([None, *range(300)]), rng.choice(pool) if rng.random() < 0.1 else rng.choice(["HOT", "hot"])) for _ in range(9000)]
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
     try:
         rows = exact_dedup.exact_groups(frame(spark, docs).repartition(5)).collect()
         kept = exact_dedup.exact_dedup(frame(spark, docs).repartition(5)).collect()

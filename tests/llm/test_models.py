@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -139,6 +141,60 @@ def test_language_of_unseen_words(spark):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def test_language_of_runs_without_spaces(spark):
+    """Such a run is judged by all of its letters, and each of its n-grams counts once."""
+    rng = random.Random(13)
+    make = {"aa": "abcdef", "bb": "あいうえおか"}
+    docs = [(k, "".join(rng.choices(make[lang], k=300)), lang) for k in range(200) for lang in ("aa", "bb") if (k % 2 == 0) == (lang == "aa")]
+    docs += [(1000, "a" * 45 + "".join(rng.choices(make["bb"], k=400)), None), (1001, "".join(rng.choices(make["bb"], k=45)) + "".join(rng.choices(make["aa"], k=400)), None)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert got[1000] == "bb" and got[1001] == "aa" and all(got[i] == lang for i, _, lang in docs[:200])
+    for n in (39, 40, 41, 44, 76, 77, 500):
+        word = "".join(chr(0x4E00 + k) for k in range(n))
+        cut = language_id.pieces(word.encode())
+        found = [p[k : k + 5] for p in cut for k in range(len(p) - 4)]
+        assert found == [word[k : k + 5] for k in range(n - 4)] and max(map(len, cut)) <= 40
+    with pytest.raises(ValueError):
+        language_id.fit(spark.createDataFrame([(k, b"x", f"l{k}") for k in range(4)], "doc_id long, text binary, lang string"), most_languages=3)
+
+
+def test_language_scores_equal_brute_force(spark):
+    """Word-first backoff by plain counting: known words, else the longest known n-grams' mean; repeated and tied rows agree."""
+    rng = random.Random(21)
+    vocabulary = {"aa": ["tak", "lop", "sin", "taker"], "bb": ["que", "sin", "dado", "dad"]}
+    docs = [(k, " ".join(rng.choices(vocabulary[lang], k=8)), lang) for k in range(80) for lang in [("aa", "bb")[k % 2]]]
+    probes = ["tak que", "takes", "dados sin", "zzz", "lopque", "t", "sin", "tak-que 9", "dado " * 30]
+    rows = [*docs, *((500 + k, t, None) for k, t in enumerate(probes)), (500, probes[0], None)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_words=5).collect()
+    words = {lang: Counter(w for _, t, x in docs if x == lang for w in t.split()) for lang in vocabulary}
+    both = words["aa"] + words["bb"]
+    top = sorted(both, key=lambda w: (-both[w], w))[:5]
+    grams = {lang: Counter() for lang in vocabulary}
+    for lang, own in words.items():
+        for w, n in own.items():
+            for size in range(1, 6):
+                for k in range(len(w) + 3 - size):
+                    grams[lang][f"^{w}$"[k : k + size]] += n
+    logs = lambda table, key, n, lang: math.log((table[lang][key] + 0.5) / sum(table[lang][x] + 0.5 for x in n))
+    known = [{g for own in grams.values() for g in own if len(g) == size} for size in range(6)]
+
+    def value(word, lang):
+        if word in top:
+            return logs(words, word, top, lang)
+        for size in range(5, 0, -1):
+            hit = [g for k in range(len(word) + 3 - size) if (g := f"^{word}$"[k : k + size]) in known[size]]
+            if hit:
+                return sum(logs(grams, g, known[size], lang) for g in hit) / len(hit)
+        return 0.0
+
+    for r in got:
+        text = dict((i, t) for i, t, _ in rows)[r.doc_id]
+        total = {lang: sum(value(w, lang) for w in ("".join(c for c in x if c.isalpha()) for x in text.split()) if w) for lang in ("aa", "bb")}
+        best = max(total, key=lambda x: (total[x], x == "aa"))
+        assert r.lang_pred == best and np.isclose(r.score, 1 / sum(math.exp(v - total[best]) for v in total.values()))
+    assert len({r for r in got if r.doc_id == 500}) == 1
+
+
 def test_quality_finds_interactions_and_odd_texts(spark):
     rng = random.Random(5)
     docs, labels = [], []
