@@ -16,7 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Words, small, written
@@ -33,11 +33,15 @@ HOLDS = 0.95
 EVIDENCE = 11.5
 #: Words whose numbers a task remembers, and those compared at a time.
 CACHE, PART = 250_000, 8192
+#: A text's share of the evidence, in whole numbers, so that sums don't depend on their order; near copies divide it.
+SHARE = 1 << 20
 #: Similarities (of strings with landmarks) in memory at a time in a task, and at most those the machine learns from.
 CELLS, MOST_CELLS = 1 << 21, 1 << 24
 #: The most letters in landmarks for which their subsequences are looked up in a table of all.
 DENSE = 128
 NOT_LETTER = re.compile(r"[\W\d_]+")
+#: Signs that most often stand around a word of letters only.
+SIGNS = ".,;:!?\"'()"
 
 
 def pieces(word: bytes) -> list[str]:
@@ -45,7 +49,11 @@ def pieces(word: bytes) -> list[str]:
 
     Each of these beginnings goes on over the signs after it. Strings that overlap reach to the end of a long word.
     """
-    parts = [p for p in NOT_LETTER.split(word.decode("utf-8", "replace").lower()) if p]
+    text = word.decode("utf-8", "replace").lower()
+    plain = text.strip(SIGNS)
+    if plain.isalpha() and len(plain) <= LONGEST:
+        return ["^" + plain]
+    parts = [p for p in NOT_LETTER.split(text) if p]
     whole, begin = "".join(parts), [0]
     for p in parts[:-1]:
         begin.append(begin[-1] + len(p))
@@ -171,9 +179,11 @@ class Reader:
 
     def _learn(self) -> None:
         fresh = self.words.take()
-        self.strings += map(pieces, fresh)
-        self.total += sum(map(len, self.strings[len(self.size) :]))
-        self.size = np.concatenate([self.size, np.fromiter((len(NOT_LETTER.sub("", w.decode("utf-8", "replace"))) for w in fresh), np.int64, len(fresh))])
+        made = list(map(pieces, fresh))
+        self.strings += made
+        self.total += sum(map(len, made))
+        # letters, without the mark: up to LONGEST of them, but only whether there are SHORT or none matters
+        self.size = np.concatenate([self.size, np.fromiter((len(own[0]) - 1 for own in made), np.int64, len(made))])
 
 
 @dataclass
@@ -221,17 +231,17 @@ class Scanner:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """toxic, text -> string, texts that have it by label; string: a word (with a mark for its end) or a beginning."""
+    """toxic, share, text -> string, shares of the texts that have it by label; string: a word (with a mark for its end) or a beginning."""
     reader, index, of_word = Reader(), Words(), []
     totals = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     for batch in small(batches):
-        for toxic, n in zip(batch.column("toxic").to_pylist(), reader(batch.column("text").to_pylist()), strict=True):
+        for toxic, share, n in zip(batch.column("toxic").to_pylist(), batch.column("share").to_pylist(), reader(batch.column("text").to_pylist()), strict=True):
             for word in reader.strings[len(of_word) :]:
                 of_word.append(np.unique(index.numbers([x for s in word if len(s) > 3 for x in (s + "$", *(s[: k + 1] for k in BEGINNINGS if k < len(s) and s[0] == "^"))])))
             if len(index) > len(totals[0]):
                 totals = [np.concatenate([t, np.zeros(len(index) - len(t) + 100_000, np.int64)]) for t in totals]
             if len(n):
-                totals[toxic][np.unique(np.concatenate([of_word[i] for i in np.unique(n)]))] += 1
+                totals[toxic][np.unique(np.concatenate([of_word[i] for i in np.unique(n)]))] += share
     strings = list(index)
     for k in range(0, len(strings), 50_000):
         part = strings[k : k + 50_000]
@@ -257,7 +267,7 @@ def _told(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
     scan = Scanner(model)
     for batch in small(batches):
         x = scan(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "most", "all"])
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("share"), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "share", "most", "all"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], model: Model, threshold: float, text_at: int) -> Iterator[pa.RecordBatch]:
@@ -320,7 +330,7 @@ def choose_landmarks(counts: list[tuple], n_toxic: int, n_clean: int, most: int)
     return list(chosen)
 
 
-def _taught(landmarks: list[str], words: list[tuple[str, int, int]]) -> tuple[Model, np.ndarray]:
+def _taught(landmarks: list[str], words: list[tuple[str, float, float]]) -> tuple[Model, np.ndarray]:
     """The machine over words: of clean sentences those similar to a landmark, of toxic ones those that hold one.
 
     Virtual examples, each landmark with a sign inserted at each place, are added where they are more like it than any
@@ -353,7 +363,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean:
     """Learns from docs (doc_id, text: binary) that have a label (doc_id, toxic).
 
     From about most_toxic and most_clean labelled rows at most, chosen by a hash of the id: these bound what reaches
-    the driver (words similar to a landmark, with counts). A document with several labels is toxic if one
+    the driver (words similar to a landmark, with counts). All of those are learnt from, near copies with a share of one
+    text's weight each; the same rows give the same model, to the last bit. A document with several labels is toxic if one
     says so; null labels and ids are left out. Without any toxic or any clean row, or any string that sets them apart,
     every text gets the same score. Every string with the evidence is a landmark or covered by one; more than
     most_landmarks, or 20 times as many candidates, which the driver's memory is laid out for, raise a ValueError.
@@ -363,17 +374,19 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     part = F.when(F.col("toxic") == 1, (1 << 20) * most_toxic / max(1, n.get(1, 0))).otherwise((1 << 20) * most_clean / max(1, n.get(0, 0)))
     sample = F.broadcast(own.filter(place < part))  # most_toxic + most_clean rows
-    # copies and near copies of a text, which share their longest words, are no further evidence
+    # texts that share their longest words are taken for copies or near copies: all are learnt from, as one text together
     words = F.array_distinct(F.split(F.lower(F.col("text").cast("string")), "\\s+"))
     longest = F.slice(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), 1, 2)
-    found = docs.join(sample, "doc_id").groupBy(longest.alias("longest"), "toxic").agg(F.first("text").alias("text"))
-    rows = written(found.select("toxic", "text"), "labelled")
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    found = docs.join(sample, "doc_id").select("toxic", "text", longest.alias("longest"))
+    alike = F.count("*").over(Window.partitionBy("longest", "toxic"))  # of the sample's rows
+    rows = written(found.select("toxic", F.floor(F.lit(SHARE) / alike).cast("long").alias("share"), "text"), "labelled")
+    n = {r["toxic"]: r["share"] / SHARE for r in rows.groupBy("toxic").agg(F.sum("share").alias("share")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    alike = Model([], np.empty(0), 0.0, np.zeros(3), (n_toxic + 1) / (n_toxic + n_clean + 2))
+    constant = Model([], np.empty(0), 0.0, np.zeros(3), (n_toxic + 1) / (n_toxic + n_clean + 2))
     if not n_toxic or not n_clean:
-        return alike
-    counts = written(rows.mapInArrow(_counted, "string string, toxic long, clean long").groupBy("string").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "strings")
+        return constant
+    counted = rows.mapInArrow(_counted, "string string, toxic long, clean long").groupBy("string").agg(*[(F.sum(c) / SHARE).alias(c) for c in ("toxic", "clean")])
+    counts = written(counted, "strings")
     # twice as many nats as chance gives the best of some thousand strings
     p, total = n_toxic / (n_toxic + n_clean), F.col("toxic") + F.col("clean")
     nats = F.col("toxic") * F.log(F.col("toxic") / (total * p)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (total * (1 - p)))).otherwise(0.0)
@@ -383,16 +396,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean:
         raise ValueError(f"more than {20 * most_landmarks} strings set toxic texts apart: raise most_landmarks")
     landmarks = choose_landmarks([tuple(r) for r in best], n_toxic, n_clean, most_landmarks)
     if not landmarks:
-        return alike
-    similar = counts.filter("string LIKE '%$'").mapInArrow(partial(_similar, landmarks=landmarks), counts.schema).collect()
-    model, alone = _taught(landmarks, [(r["string"].rstrip("$"), r["toxic"], r["clean"]) for r in similar])
-    told = np.array([tuple(r) for r in rows.mapInArrow(partial(_told, model=model), "toxic int, most double, all double").collect()], float)
-    hit = ~np.isnan(told[:, 1])
-    model.base = (told[~hit, 0].sum() + 1) / ((~hit).sum() + 2)
+        return constant
+    # sorted: sums over them are then the same again
+    similar = sorted(tuple(r) for r in counts.filter("string LIKE '%$'").mapInArrow(partial(_similar, landmarks=landmarks), counts.schema).collect())
+    model, alone = _taught(landmarks, [(string.rstrip("$"), toxic, clean) for string, toxic, clean in similar])
+    told = np.array(sorted(tuple(r) for r in rows.mapInArrow(partial(_told, model=model), "toxic int, share long, most double, all double").fillna(-1e9).collect()), float)
+    hit, share = told[:, 2] > -1e9, told[:, 1] / SHARE
+    model.base = ((told[~hit, 0] * share[~hit]).sum() + 1) / (share[~hit].sum() + 2)
     # texts with one toxic word only, which the labelled ones may lack, weigh as a tenth of the toxic texts
-    x = np.vstack([told[hit, 1:], np.stack([alone, np.log1p(np.maximum(alone, 0))], 1)])
+    x = np.vstack([told[hit, 2:], np.stack([alone, np.log1p(np.maximum(alone, 0))], 1)])
     y = np.concatenate([told[hit, 0], np.ones(len(alone))])
-    weight = np.concatenate([np.ones(hit.sum()), np.full(len(alone), 0.1 * n_toxic / max(1, len(alone)))])
+    weight = np.concatenate([share[hit], np.full(len(alone), 0.1 * n_toxic / max(1, len(alone)))])
     x = np.hstack([x, np.ones((len(x), 1))])
     model.line = odds_line(x, y, weight)
     if model.line[1] < 0:  # more toxic words never speak for a text
@@ -403,8 +417,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out=None, **bounds) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    held_out: a Column over doc_id; those rows' labels aren't learnt from. A null or empty text scores as one without
-    any word. Rows that repeat an id are scored each; a row without an id too, but is never learnt from. Other columns,
+    held_out: a Column over doc_id; those rows' labels aren't learnt from. All texts without a word that is similar to a
+    landmark have one score, the share of toxic ones among such labelled texts; so has a null or empty text. Rows that repeat an id are scored each; a row without an id too, but is never learnt from. Other columns,
     whatever their names, are not read. An empty table gives an empty result.
     """
     held = F.lit(False) if held_out is None else held_out
@@ -416,7 +430,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out=None, **bounds) -> DataFrame:
-    """The rows of docs that score under threshold, with all their columns, where they are: nothing is shuffled."""
+    """The rows of docs that score under threshold, with all their columns, where they are: nothing is shuffled.
+
+    Nulls, empty and long texts, repeated rows and empty tables as in toxicity(); columns may have any names.
+    """
     held = F.lit(False) if held_out is None else held_out
     known = docs.filter(~held).select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     model = fit(known, labels.select("doc_id", "toxic").filter(~held), **bounds)
