@@ -33,20 +33,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, n_runs = TaskContext.get().partitionId(), 0
     hashed: int | None = None  # of the last run
     at_start = True
-    waiting: list[list] = []  # runs of the last hash: text, ids in parts
+    waiting: list[tuple[bytes, list[pa.Array]]] = []  # runs of the last hash: text, ids in parts
 
-    def rows(text: bytes, ids: pa.Array, edge: bool) -> pa.RecordBatch:
+    def closed(runs: list[tuple[bytes, list[pa.Array], bool]]) -> pa.RecordBatch:
+        """The rows of runs (text, ids in parts, whether it may go on elsewhere)."""
         nonlocal n_runs
-        n, n_runs = len(ids), n_runs + 1
-        same = lambda value, kind: pa.array([value], kind).take(pa.array(np.zeros(n, np.int64)))
-        whole = pa.array([text if edge else None] + [None] * (n - 1), pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [ids, ids.take(pa.array(np.zeros(n, np.int64))), same(n, pa.int64()), same(hashlib.sha256(text).hexdigest(), pa.string()), same((task << 32) + n_runs if edge else None, pa.int64()), whole],
-            names=["doc_id", "keep_id", "group_size", "text_sha256", "place", "norm"],
-        )
-
-    def closed(edge: bool) -> pa.RecordBatch:
-        return pa.Table.from_batches([rows(text, pa.concat_arrays(parts), edge) for text, parts in waiting]).combine_chunks().to_batches()[0]
+        sizes = np.array([sum(map(len, ids)) for _, ids, _ in runs])
+        run, begin = np.repeat(np.arange(len(runs)), sizes), np.cumsum(sizes) - sizes
+        ids = pa.concat_arrays([part for _, parts, _ in runs for part in parts])
+        place = [(task << 32) + n_runs + k if edge else None for k, (_, _, edge) in enumerate(runs)]
+        n_runs += len(runs)
+        first = np.zeros(len(run), bool)
+        first[begin] = True
+        whole = pa.array([text if edge else None for text, _, edge in runs], pa.binary()).take(pa.array(run, mask=~first))
+        sha = pa.array([hashlib.sha256(text).hexdigest() for text, _, _ in runs], pa.string())
+        at = pa.array(run)
+        return pa.RecordBatch.from_arrays([ids, ids.take(pa.array(begin[run])), pa.array(sizes[run]), sha.take(at), pa.array(place, pa.int64()).take(at), whole], names=["doc_id", "keep_id", "group_size", "text_sha256", "place", "norm"])
 
     for batch in small(batches):
         ids, norm, hashes = batch.column("doc_id"), batch.column("norm").to_pylist(), batch.column("hash").to_pylist()
@@ -57,18 +59,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if starts[0]:
             waiting[-1][1].append(ids.slice(0, starts[0]))
-        done: list[pa.RecordBatch] = []
+        done: list[tuple[bytes, list[pa.Array], bool]] = []
         for a, b in zip(starts, [*starts[1:], len(norm)], strict=True):
             if hashes[a] != hashed:
                 if waiting:
-                    done.append(closed(at_start))
+                    done += [(*run, at_start) for run in waiting]
                     at_start, waiting = False, []
                 hashed = hashes[a]
-            waiting.append([norm[a], [ids.slice(a, b - a)]])
+            waiting.append((norm[a], [ids.slice(a, b - a)]))
         if done:
-            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+            yield closed(done)
     if waiting:
-        yield closed(True)
+        yield closed([(*run, True) for run in waiting])
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
