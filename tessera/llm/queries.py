@@ -27,7 +27,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    # the first quarter of a document stands for its prompt
+    return packing.pack(table(spark, sf_dir, "documents"), **packing.INSTRUCTIONS)
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

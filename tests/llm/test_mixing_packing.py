@@ -107,3 +107,28 @@ def test_packing_of_repeated_ids_and_nothing(spark):
     assert packing.pack(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, max_tokens=100)
+
+
+def test_loss_limit_binds_and_last_pieces_are_packed_together(spark):
+    """Long examples bear more loss than a sequence may hold: prompts of others fill the rest. Few short sequences for all tasks."""
+    rng = np.random.default_rng(3)
+    docs = [(k, "a b c d " * int(rng.integers(1, 900))) for k in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(16)
+    rows = packing.pack(df, **packing.INSTRUCTIONS).collect()
+    sequences = check_packing(rows, {i: encoder().encode(t, add_special_tokens=False).ids + [1] for i, t in docs})
+    bearing = {k: sum(max(0, r.start + r.length - max(r.start, int(r.doc_tokens * 0.25))) for r in own) for k, own in sequences.items()}
+    full = [k for k, own in sequences.items() if sum(r.length for r in own) == 2048]
+    assert max(bearing.values()) <= 1792 and max(map(len, sequences.values())) <= 64
+    assert sum(bearing[k] == 1792 for k in full) > 0.1 * len(full)
+    assert len(sequences) - len(full) <= 16  # in one task's neighbourhood
+    assert sorted(map(str, rows)) == sorted(map(str, packing.pack(df, **packing.INSTRUCTIONS).collect()))
+
+
+def test_packing_by_a_tokenizer_that_joins_over_white_space(spark, tmp_path):
+    from tokenizers import Tokenizer, models
+
+    path = str(tmp_path / "joins.json")
+    Tokenizer(models.BPE({"a": 0, " ": 2, "b": 3, "a ": 4, "a b": 5}, [("a", " "), ("a ", "b")])).save(path)
+    df = spark.createDataFrame([(1, "a b"), (2, "b a")], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in packing.pack(df, tokenizer=path, with_ids=True).collect()}
+    assert got == {1: [5, 1], 2: [3, 2, 0, 1]}
