@@ -110,6 +110,10 @@ class Packer:
     def add(self, example, start: int, end: int, loss_from: int) -> None:
         """The example's tokens from start to end; those from loss_from on bear loss. Where loss is no limit of its own,
         what fills a sequence by itself is placed at once."""
+        if end - start > self.max_tokens > self.max_loss and start < loss_from < end:
+            # a long example's prompt is by itself: it fills sequences that have no room for loss any more
+            self.add(example, start, loss_from, loss_from)
+            start = loss_from
         while start < end:
             stop = self._reach(start, end, loss_from, self.max_tokens, self.max_loss)
             if stop - start == self.max_tokens <= self.max_loss:
