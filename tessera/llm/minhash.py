@@ -164,9 +164,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
     # what is still apart: near sets share one of their rarest shingles, of as many as may be missing from the other and one more
     who = apart.groupBy("cid").agg(F.first("n").alias("n"), F.first("component").alias("component"))
     each = sets.join(who, "cid").select("cid", "n", "component", F.explode("shingles").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("often"))
-    rare = F.row_number().over(Window.partitionBy("cid").orderBy("often", "s"))  # over one document's shingles
-    lead = each.join(often, "s").withColumn("place", rare).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("often > 1")
+    often = each.groupBy("s").agg(F.count("*").alias("often")).filter("often > 1")
+    # shingles that only one has come first in its order, and are only counted
+    own = Window.partitionBy("cid")  # one document's shingles
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "s"))
+    lead = each.join(often, "s").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     lead = written(lead.select("cid", "n", "component", "s", "place"), "lead")
     a, b = lead.alias("a"), lead.alias("b")
     third = a.join(b, F.col("a.s") == F.col("b.s")).filter("a.cid > b.cid AND a.component != b.component").filter(near(F.col("a.n"), F.col("b.n")))
