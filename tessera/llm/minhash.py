@@ -125,10 +125,10 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
     # the members of buckets of two or more classes
     in_bucket = classes.select("cid", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     several = in_bucket.groupBy("bucket").agg(F.min("cid").alias("hub"), F.min_by("n", "cid").alias("hub_n"), F.count("*").alias("members")).filter("members > 1")
-    # a written table: the join's two sides are then plain shuffles, of which Spark deals out a hot bucket's rows anew
+    # a written table and a merge join: both sides are plain shuffles, of which Spark deals out a hot bucket's rows anew
     several = written(several, "buckets")
     part = F.pmod(F.xxhash64("cid", F.lit(1)), F.ceil(F.col("members") / PART))
-    members = written(in_bucket.join(several, "bucket").withColumn("part", part), "members")
+    members = written(in_bucket.join(several.hint("merge"), "bucket").withColumn("part", part), "members")
     needed = members.select("cid").distinct()
     texts = rows.join(needed, rows["doc_id"] == needed["cid"], "left_semi")
     sets = written(texts.mapInArrow(partial(_sets, size=size), "cid long, shingles array<long>"), "sets")
