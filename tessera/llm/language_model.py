@@ -1,10 +1,11 @@
 """Language-model scoring: a log-bilinear neural model with noise-contrastive estimation, over counts of the whole corpus.
 
-The commonest words, the end of a text and classes of all other words, by their last two bytes, are the symbols. The vector of the next symbol is
-predicted from those of the last two; a symbol's score is the product with its own vector and a bias. Each task trains
-on the symbols of its own texts, from the same start, telling them from noise drawn by frequency; the parameters are
-then averaged by the tokens behind them. Batched matrix products over all contexts give each its normaliser, so token
-probabilities add up to one; "any other word" is shared out by the words' counts in all training texts.
+The commonest words, the end of a text and classes of all other words, by their last two bytes, are the symbols. The
+vector of the next symbol is predicted from those of the last two; a symbol's score is the product with its own vector
+and a bias. Training goes in rounds: in each, every task goes on from the same parameters over the symbols of its own
+texts, telling them from noise drawn by frequency, and the tasks' parameters are averaged by the tokens behind them. So
+more texts mean more steps behind each average. Batched matrix products over all contexts give each its normaliser, so
+token probabilities add up to one; "any other word" is shared out by the words' counts in all training texts.
 """
 
 from __future__ import annotations
@@ -22,16 +23,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, written
+from tessera.llm.common import discard, small, written
 
 #: Symbols: CLASSES of other words, the end of a text (and what precedes its first word), then the commonest words.
 CLASSES = 61
 END = CLASSES
-WIDTH, NOISE, BATCH, EPOCHS, RATE = 24, 96, 4096, 2, 0.15
+WIDTH, NOISE, BATCH, ROUNDS, RATE = 24, 64, 2048, 3, 0.15
 #: Words with at least a HOT-th of all tokens are known to every task: HOT words at most. The others are joined by the word.
 HOT = 1_000_000
 #: Distinct words or symbol triples a task gathers before it hands them on or puts them together.
 GATHER = 600_000
+#: A task's parameters as a row.
+TRAINED = "part long, tokens double, parameters binary"
 
 
 @dataclass
@@ -97,90 +100,126 @@ def vocabulary(counts: DataFrame, n_texts: int, most_symbols: int) -> Vocabulary
 
 
 def start(v: Vocabulary) -> list[np.ndarray]:
-    """Vectors of context symbols and of predicted ones, weights of the last and the last but one, biases."""
+    """Vectors of context symbols and of predicted ones, weights of the last and the last but one, biases; then, for each
+    of these, the sums of squared slopes that its steps are divided by."""
     rng, n = np.random.default_rng(7), len(v.noise)
-    return [rng.normal(0, 0.1, (n, WIDTH)), rng.normal(0, 0.1, (n, WIDTH)), np.ones(WIDTH), np.ones(WIDTH) * 0.5, np.log(v.noise)]
+    p = [rng.normal(0, 0.1, (n, WIDTH)), rng.normal(0, 0.1, (n, WIDTH)), np.ones(WIDTH), np.ones(WIDTH) * 0.5, np.log(v.noise)]
+    return [x.astype(np.float32) for x in (*p, *(np.full_like(x, 1e-3) for x in p))]
 
 
-def train(p: list[np.ndarray], triples: np.ndarray, weight: np.ndarray, noise: np.ndarray, seed: int) -> None:
-    """Noise-contrastive estimation over distinct (last but one, last, next) with their counts; changes p."""
+def _add_rows(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds each of values to its row of `to`; a row may be named several times."""
+    order = np.argsort(rows, kind="stable")
+    begin = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    to[rows[order[begin]]] += np.add.reduceat(values[order], begin, axis=0)
+
+
+def train(state: list[np.ndarray], triples: np.ndarray, weight: np.ndarray, noise: np.ndarray, seed: int) -> None:
+    """Noise-contrastive estimation over distinct (last but one, last, next) with their counts, each once; changes state."""
+    p, size = state[:5], state[5:]
     context, target, near, far, bias = p
-    rng, size = np.random.default_rng(seed), [np.full_like(x, 1e-3) for x in p]
-    log_noise, order = np.log(NOISE * noise), np.arange(len(triples))
-    shares = np.cumsum(noise)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    for _ in range(EPOCHS):
-        rng.shuffle(order)
-        for k in range(0, len(order), BATCH):
-            rows = order[k : k + BATCH]
-            u, v, w = triples[rows].T
-            part = weight[rows] / weight[rows].sum()
-            drawn = np.minimum(np.searchsorted(shares, rng.random(NOISE)), len(noise) - 1)
-            made = context[v] * near + context[u] * far
-            true = np.einsum("ij,ij->i", made, target[w]) + bias[w]
-            false = made @ target[drawn].T + bias[drawn]
-            a = part * (1 - sigmoid(true - log_noise[w]))  # what raises the true scores
-            b = -part[:, None] * sigmoid(false - log_noise[drawn])  # what lowers those of noise
-            of_made = a[:, None] * target[w] + b @ target[drawn]
-            grads = [np.zeros_like(x) for x in p]
-            np.add.at(grads[1], w, a[:, None] * made)
-            np.add.at(grads[1], drawn, b.T @ made)
-            np.add.at(grads[4], w, a)
-            np.add.at(grads[4], drawn, b.sum(0))
-            np.add.at(grads[0], v, of_made * near)
-            np.add.at(grads[0], u, of_made * far)
-            grads[2], grads[3] = (of_made * context[v]).sum(0), (of_made * context[u]).sum(0)
-            for x, s, g in zip(p, size, grads, strict=True):
-                s += g * g
-                x += RATE * g / np.sqrt(s)
-
-
-def _trained(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """text -> one row: the task's parameters, and the tokens behind them."""
-    n, seen, pending = len(v.noise), [], 0
-
-    def put_together() -> None:
-        nonlocal pending
-        code, place = np.unique(np.concatenate([c for c, _ in seen]), return_inverse=True)
-        seen[:] = [(code, np.bincount(place, np.concatenate([w for _, w in seen]), len(code)))]
-        pending = 0
+    rng, grads = np.random.default_rng(seed), [np.zeros_like(x) for x in p]
+    log_noise, shares = np.log(NOISE * noise).astype(np.float32), np.cumsum(noise)
+    order = rng.permutation(len(triples))
+    for k in range(0, len(order), BATCH):
+        rows = order[k : k + BATCH]
+        u, v, w = triples[rows].T
+        part = (weight[rows] / weight[rows].sum()).astype(np.float32)
+        drawn = np.minimum(np.searchsorted(shares, rng.random(NOISE)), len(noise) - 1)
+        of_v, of_u, of_w, of_drawn = context[v], context[u], target[w], target[drawn]
+        made = of_v * near + of_u * far
+        true = np.einsum("ij,ij->i", made, of_w) + bias[w] - log_noise[w]
+        a = part / (1 + np.exp(np.clip(true, -30, 30)))  # what raises the true scores
+        false = made @ of_drawn.T + (bias[drawn] - log_noise[drawn])
+        b = -part[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))  # what lowers those of noise
+        of_made = a[:, None] * of_w + b @ of_drawn
+        for g in grads:
+            g.fill(0)
+        _add_rows(grads[1], np.concatenate([w, drawn]), np.concatenate([a[:, None] * made, b.T @ made]))
+        _add_rows(grads[4], np.concatenate([w, drawn]), np.concatenate([a, b.sum(0)]))
+        _add_rows(grads[0], np.concatenate([v, u]), np.concatenate([of_made * near, of_made * far]))
+        grads[2][:], grads[3][:] = (of_made * of_v).sum(0), (of_made * of_u).sum(0)
+        for x, s, g in zip(p, size, grads, strict=True):
+            s += g * g
+            x += RATE * g / np.sqrt(s)
+
+
+def _together(codes: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, place = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(place, np.concatenate(weights), len(code)).astype(np.int64)
+
+
+def _triples(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """text -> the codes of its (last but one, last, next) symbols with counts; a code may come in several rows."""
+    n, codes, pending = len(v.noise), [], 0
+
+    def out() -> pa.RecordBatch:
+        code, weight = _together(codes, [np.ones(len(c)) for c in codes])
+        codes.clear()
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(weight)], names=["code", "weight"])
 
     for batch in small(batches):
         for text in batch.column("text").to_pylist():
             words = text.lower().split()
             s = np.full(len(words) + 3, END, np.int64)
             s[2:-1] = v.of(words)[1]
-            code = (s[:-2] * n + s[1:-1]) * n + s[2:]
-            seen.append((code, np.ones(len(code))))
-            pending += len(code)
-        if pending > GATHER:
-            put_together()
-    if seen:
-        put_together()
-        code, weight = seen[0]
-        p = start(v)
-        train(p, np.stack([code // (n * n), code // n % n, code % n], 1), weight, v.noise, TaskContext.get().partitionId())
-        flat = np.concatenate([x.ravel() for x in p]).astype("<f4")
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(weight.sum())]), pa.array([flat.tobytes()], pa.binary())], names=["part", "tokens", "parameters"])
+            codes.append((s[:-2] * n + s[1:-1]) * n + s[2:])
+            pending += len(codes[-1])
+        if pending > 4 * GATHER:
+            yield out()
+            pending = 0
+    if codes:
+        yield out()
+
+
+def _trained(batches: Iterator[pa.RecordBatch], state: list[np.ndarray], noise: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
+    """code, weight -> one row: the task's parameters, and the tokens behind them."""
+    n, tokens, codes, weights, pending = len(noise), 0, [], [], 0
+    state, task = [x.copy() for x in state], TaskContext.get().partitionId()
+
+    def learn() -> None:
+        nonlocal pending
+        code, weight = _together(codes, weights)
+        train(state, np.stack([code // (n * n), code // n % n, code % n], 1), weight, noise, seed * 1_000_003 + task)
+        codes.clear()
+        weights.clear()
+        pending = 0
+
+    for batch in batches:
+        codes.append(np.asarray(batch.column("code")))
+        weights.append(np.asarray(batch.column("weight")))
+        pending, tokens = pending + len(codes[-1]), tokens + int(weights[-1].sum())
+        if pending > 4 * GATHER:
+            learn()
+    if pending:
+        learn()
+    if tokens:
+        flat = np.concatenate([x.ravel() for x in state]).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([float(tokens)]), pa.array([flat.tobytes()], pa.binary())], names=["part", "tokens", "parameters"])
 
 
 def _mean(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["part", "tokens"])
     total = sum(t * np.frombuffer(x, "<f4").astype(float) for t, x in zip(rows["tokens"], rows["parameters"], strict=True))
     return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "tokens": [rows["tokens"].sum()], "parameters": [(total / rows["tokens"].sum()).astype("<f4").tobytes()]})
 
 
-def fit(texts: DataFrame, v: Vocabulary) -> list[np.ndarray]:
-    """Averages the tasks' parameters, 64 at a time until few are left."""
-    kind = "part long, tokens double, parameters binary"
-    rows = written(texts.mapInArrow(partial(_trained, v=v), kind), "parameters")
-    while (n := rows.count()) > 64:
-        rows = written(rows.withColumn("part", F.pmod("part", F.lit(max(1, n // 64)))).groupBy("part").applyInPandas(_mean, kind), "parameters")
-    p = start(v)
-    if got := rows.collect():
-        flat = np.frombuffer(_mean(pd.DataFrame([r.asDict() for r in got]))["parameters"][0], "<f4").astype(float)
-        ends = np.cumsum([x.size for x in p])
-        p = [flat[e - x.size : e].reshape(x.shape) for x, e in zip(p, ends, strict=True)]
-    return p
+def fit(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """The parameters after some rounds of training in every task and averaging, 64 tasks' at a time until few are left."""
+    triples = written(texts.mapInArrow(partial(_triples, v=v), "code long, weight long"), "triples")
+    state = start(v)
+    ends = np.cumsum([x.size for x in state])
+    for k in range(rounds):
+        rows = written(triples.mapInArrow(partial(_trained, state=state, noise=v.noise, seed=k), TRAINED), "parameters")
+        while (n := rows.count()) > 64:
+            rows = written(rows.withColumn("part", F.pmod("part", F.lit(max(1, n // 64)))).groupBy("part").applyInPandas(_mean, TRAINED), "parameters")
+        got = rows.collect()
+        if not got:
+            break
+        flat = np.frombuffer(_mean(pd.DataFrame([r.asDict() for r in got]))["parameters"][0], "<f4")
+        state = [flat[e - x.size : e].reshape(x.shape).copy() for x, e in zip(state, ends, strict=True)]
+    discard(triples)
+    return [x.astype(float) for x in state[:5]]
 
 
 @dataclass

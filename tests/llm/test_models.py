@@ -1,6 +1,6 @@
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -255,10 +255,11 @@ def test_symbol_probabilities_add_up_to_one():
     noise = np.array([0.2, 0.1, 0.35, 0.2, 0.15])
     none = np.zeros(0, int)
     v = language_model.Vocabulary({}, none, none, noise, 130, 9, none, none, 10)
-    p = language_model.start(v)
+    state = language_model.start(v)
     triples = np.array([[1, 1, 2], [1, 2, 3], [2, 3, 4], [3, 4, 1], [1, 2, 0]])
-    language_model.train(p, triples, np.array([9.0, 8, 7, 6, 1]), noise, 1)
-    t = language_model.Tables.of(p)
+    for seed in range(4):
+        language_model.train(state, triples, np.array([9.0, 8, 7, 6, 1]), noise, seed)
+    t = language_model.Tables.of([x.astype(float) for x in state[:5]])
     for u in range(5):
         for w in range(5):
             assert np.isclose((10.0 ** (t.near[w] + t.far[u] - t.normal[u, w])).sum(), 1, atol=1e-3)
@@ -271,23 +272,50 @@ def test_word_classes_in_sql_and_python_agree(spark):
     assert [r[0] for r in got] == [language_model.word_class(w) for w in words]
 
 
-def test_probabilities_of_all_words_add_up_to_one(spark):
-    """The next word's over all known words and, in each class, one unseen: from the scores of texts of one word."""
+def test_scores_equal_brute_force_and_probabilities_add_up_to_one(spark):
+    """The softmax over symbols, and the counts within a class, worked out plainly for each token of each text."""
     rng = random.Random(11)
     pool = [a + b for a in ("ka", "lo", "mi", "tu") for b in ("ng", "en", "on", "s")]
-    docs = [(k, " ".join(rng.choices(pool, weights=range(1, 17), k=12))) for k in range(120)]
-    classes = {language_model.word_class(w.encode()) for w in pool}
+    docs = [(k, " ".join(rng.choices(pool, weights=range(1, 17), k=rng.randint(0, 12)))) for k in range(120)] + [(1000, "Ka never"), (1001, None), (1002, "tus lon " * 3), (1002, "tus lon " * 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    rows = language_model.score(df, held_out=F.col("doc_id") >= 1000, most_symbols=6).collect()
+    learnt = [brute.words(t) for i, t in docs if i < 1000]
+    counts = Counter(w for x in learnt for w in x)
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:6]
+    end, classes = language_model.END, language_model.CLASSES
+    symbol = lambda w: end + 1 + top.index(w) if w in top else language_model.word_class(w)
+    others = defaultdict(list)
+    for w in counts:
+        if w not in top:
+            others[symbol(w)].append(w)
+    total = {c: sum(counts[w] + 1 for w in own) + 1 for c, own in others.items()}  # and one that is unseen
+    noise = np.array([sum(counts[w] for w in others[c]) + 1 for c in range(classes)] + [len(learnt) + 1] + [counts[w] + 1 for w in top], float)
+    vocabulary = language_model.vocabulary(spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, c long"), len(learnt), 6)
+    assert np.allclose(vocabulary.noise, noise / noise.sum())
+    texts = df.filter("doc_id < 1000").select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    context, target, near, far, bias = language_model.fit(texts, vocabulary)
+
+    def probability(before, last, word):
+        """word: None for the end, "unseen" parts of a class by their own number."""
+        scores = target @ (context[last] * near + context[before] * far) + bias
+        p = np.exp(scores - scores.max())
+        p /= p.sum()
+        s = end if word is None else symbol(word)
+        return p[s] if s >= end else p[s] * (counts.get(word, 0) + 1) / total.get(s, 1)
+
+    for r in rows:
+        for text in {t for i, t in docs if i == r.doc_id}:
+            s = [end, end, *map(symbol, brute.words(text)), end]
+            want = sum(brute.log10(probability(s[k], s[k + 1], w)) for k, w in enumerate([*brute.words(text), None]))
+            assert np.isclose(r.score, want, atol=1e-3), (r, want)
     unseen = {}
     for a in "bcdfghjklmnpqrstvwxz":
         for b in "abcdefghijklmnopqrstuvwxyz0123456789":
-            unseen.setdefault(language_model.word_class(f"{a}{b}".encode()), f"zz{a}{b}")
-    assert len(unseen) == language_model.CLASSES and classes <= set(unseen)
-    probes = {1000 + k: w for k, w in enumerate([*pool, *unseen.values()])} | {2000: ""}
-    rows = language_model.score(spark.createDataFrame(docs + list(probes.items()), "doc_id long, text string"), held_out=F.col("doc_id") >= 1000, most_symbols=6).collect()
-    got = {r.doc_id: r.score for r in rows}
-    both = {i: 10 ** got[i] for i in probes}  # each word, then the end
-    assert 0 < sum(both.values()) < 1 and both[2000] < 0.2
-    assert all(np.isfinite(list(got.values())))
+            unseen.setdefault(symbol(f"{a}{b}".encode()), f"zz{a}{b}".encode())
+    assert len(unseen) == classes
+    for before, last in ((end, end), (end, symbol(top[0])), (symbol(top[1]), 3)):
+        assert np.isclose(sum(probability(before, last, w) for w in [None, *counts, *unseen.values()]), 1)
+    assert len({r for r in rows if r.doc_id == 1002}) == 1
 
 
 def test_language_model_of_nothing(spark):
