@@ -3,6 +3,7 @@
 Words that occur once in a template and once in a stretch of text are anchors; the longest increasing run of anchors is
 kept, and the gaps between them are aligned in the same way. The share of a template's words that are aligned is its
 coverage. Stretches to align are found by each template's rarest words, so a text without these costs a look-up a word.
+Licenses that share wording cover the same stretch: the one that leaves fewest words over, of its own and the text's, stays.
 """
 
 from __future__ import annotations
@@ -18,35 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small
+from tessera.llm.license_texts import TEMPLATES
 
-#: License notices as their publishers word them.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
-        associated documentation files (the "Software"), to deal in the Software without restriction, including without
-        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
-        Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-        The above copyright notice and this permission notice shall be included in all copies or substantial portions of
-        the Software.""",
-    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee
-        is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "BSD-text": """Redistribution and use in source and binary forms, with or without modification, are permitted
-        provided that the following conditions are met: Redistributions of source code must retain the above copyright
-        notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the
-        above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
-        materials provided with the distribution.""",
-    "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
-        except in compliance with the License. You may obtain a copy of the License at
-        http://www.apache.org/licenses/LICENSE-2.0""",
-    "GPL-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
-        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
-        option) any later version.""",
-    "MPL-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
-        the MPL was not distributed with this file, You can obtain one at""",
-}
 PART = re.compile(rb"[0-9a-z]+(?:[.\-][0-9a-z]+)*")
 
 
@@ -113,11 +87,11 @@ class Template:
         self.keys = sorted(range(n), key=lambda k: (frequency.get(self.words[k], 0), self.words[k], k))[:need]
 
     def best(self, words: list[bytes], places: dict[bytes, list[int]]) -> tuple | None:
-        """(coverage, first word, last word) of the stretch that covers most; the first of equals."""
+        """(coverage, first word, last word, words between that aren't the template's) of the stretch that covers most; the first of equals."""
         n, starts = len(self.words), set()
         for k in self.keys:
             starts.update(p - k for p in places.get(self.words[k], ()))
-        found, done = None, -1
+        found, done = None, -n - self.slack  # a start before the text: its first words are missing
         for s in sorted(starts):
             if s <= done:  # a stretch that the last one's slack takes in
                 continue
@@ -126,7 +100,7 @@ class Template:
             pairs = self.inner(align(self.words, words, 0, n, low, high))
             share = len(pairs) / n
             if share >= self.coverage and (found is None or share > found[0]):
-                found = (share, pairs[0][1], pairs[-1][1])
+                found = (share, pairs[0][1], pairs[-1][1], pairs[-1][1] - pairs[0][1] + 1 - len(pairs))
         return found
 
     def inner(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -138,6 +112,21 @@ class Template:
         return pairs
 
 
+def clearest(found: list[tuple[Template, tuple]]) -> list[tuple[Template, tuple]]:
+    """Of those that share more than half of a stretch, the one that aligns most and leaves least over; the first of equals."""
+
+    def worth(x: tuple[Template, tuple]) -> float:
+        n, (share, first, last, _) = len(x[0].words), x[1]
+        return 3 * share * n - n - (last - first + 1)
+
+    kept: list[tuple[Template, tuple]] = []
+    for t, f in sorted(found, key=lambda x: -worth(x)):
+        shared = [min(f[2], g[2]) - max(f[1], g[1]) + 1 for _, g in kept]
+        if not any(2 * n > min(f[2] - f[1], g[2] - g[1]) + 1 for n, (_, g) in zip(shared, kept, strict=True)):
+            kept.append((t, f))
+    return kept
+
+
 def _scanned(batches: Iterator[pa.RecordBatch], templates: dict[str, str], coverage: float) -> Iterator[pa.RecordBatch]:
     # common words of prose are poor keys: they count as frequent in themselves
     frequency = dict.fromkeys((b"the", b"of", b"to", b"and", b"in", b"is", b"or", b"a", b"this", b"for", b"with", b"that", b"are", b"at", b"be", b"not", b"by", b"as", b"you", b"any", b"was", b"if", b"it", b"on", b"from"), 1000)
@@ -166,25 +155,25 @@ def _scanned(batches: Iterator[pa.RecordBatch], templates: dict[str, str], cover
             for k, w in enumerate(words):
                 if w in keys:
                     places.setdefault(w, []).append(k)
-            for t in all_:
-                if found := t.best(words, places):
-                    rows.append((number, t.name, *found))
+            found = [(t, f) for t in all_ if (f := t.best(words, places))]
+            rows += [(number, t.name, *f) for t, f in clearest(found)]
         if len(seen) > 800_000:
             seen = {}
         if rows:
             number, *columns = zip(*rows, strict=True)
-            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(number)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "license", "coverage", "first_word", "last_word"])
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(number)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "license", "coverage", "first_word", "last_word", "extra_words"])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
-    """A row for each row of docs and license that its text covers: doc_id, license, coverage, first_word, last_word.
+    """A row for each row of docs and license that its text covers: doc_id, license, coverage, first_word, last_word, extra_words.
 
-    Words are counted without the signs around them, from 0. Of several stretches the one with the largest coverage
+    Words are counted without the signs around them, from 0; extra_words lie within the stretch and aren't the license's.
+    Where licenses cover the same stretch, the one that aligns most words and leaves fewest over counts. Of several stretches the one with the largest coverage
     counts, the first of equals. A null, empty or blank text holds no license. Rows that repeat an id, or have none, are
     scanned each. An empty table gives an empty result; columns other than doc_id and text are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     task = partial(_scanned, templates=TEMPLATES if templates is None else templates, coverage=coverage)
-    return rows.mapInArrow(task, f"doc_id {kind}, license string, coverage double, first_word long, last_word long")
+    return rows.mapInArrow(task, f"doc_id {kind}, license string, coverage double, first_word long, last_word long, extra_words long")

@@ -217,6 +217,42 @@ def test_quality_finds_interactions_and_odd_texts(spark):
     assert quality.quality(df, lab.filter("quality = 1")).filter("predicted = 1").count() == len(docs)
 
 
+def plain_measures(text):
+    """MEASURES of a text, worked out word by word."""
+    words, raw = text.split(), text.encode()
+    lines = [x for x in text.split("\n") if x.strip()]
+    share = lambda a, b: a / max(b, 1)
+    of = lambda kind: sum(map(kind, text))
+    n, size = len(words), len(raw)
+    upper, lower = of(lambda c: "A" <= c <= "Z"), of(lambda c: "a" <= c <= "z")
+    stops, signs = of(lambda c: c in ".?!"), of(lambda c: c.isascii() and not c.isalnum() and c not in " \t\n\r.?!")
+    return [
+        math.log1p(n), share(sum(map(len, words)), n), share(len(set(words)), n), share(max(map(words.count, words), default=0), n),
+        share(sum(a == b for a, b in zip(words[1:], words, strict=False)), n), share(sum(not w[-1].isalnum() and w[-1] != "_" and w[-1] not in ".,;:!?'\")]\u2026\u00bb" for w in words), n),
+        share(sum(not any(c.isalpha() for c in w) for w in words), n), share(upper, upper + lower), share(of(str.isdigit), size), share(signs, size),
+        share(size - of(str.isascii), size), share(n, stops), share(n, len(lines)), share(len(lines) - len(set(lines)), len(lines)),
+    ]
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """A score is the sum of the entries that plain measures of the text look up; repeated rows agree."""
+    rng = random.Random(15)
+    docs = [(k, "\n".join(sentences(rng, rng.randint(1, 3)) + (" | # " * (k % 3) + "Zz 12 12") for _ in range(rng.randint(1, 4)))) for k in range(240)]
+    docs += [(1000, None), (1001, "\u00e9t\u00e9 \u00e9t\u00e9 a-"), (1002, "x\nx\n\ny?"), (1002, "x\nx\n\ny?")]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)], "doc_id long, quality int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = quality.quality(df, labels).collect()
+    model = quality.fit(df.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")), labels)
+    for r in rows:
+        for text in {t or "" for i, t in docs if i == r.doc_id}:
+            x = plain_measures(text)
+            bin_ = lambda cuts, k: sum(c <= x[k] for c in cuts[k])  # noqa: B023, E731
+            value = model.base + sum(t[bin_(model.cuts, k)] for k, t in enumerate(model.tables))
+            value += sum(t[bin_(model.pair_cuts, i), bin_(model.pair_cuts, j)] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+            assert np.isclose(r.score, 1 / (1 + math.exp(-value))), (r, text, x)
+    assert len({r for r in rows if r.doc_id == 1002}) == 1 and any(r.predicted for r in rows)
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 3))
@@ -349,6 +385,41 @@ def test_alignment_is_increasing_and_near_the_longest():
     assert len(licenses.align(words, words[:20] + [b"x"] + words[22:])) == 48
 
 
+def test_scan_equals_brute_force(spark):
+    """Every window of every text against every template by longest common subsequence: those well over the coverage are
+    found, those under it are not, and the choice among licenses with shared wording is the plain maximum."""
+    rng = random.Random(17)
+    names = ["MIT", "MIT-text", "MIT-0-text", "ISC-text", "GPL-notice", "LGPL-3.0-notice", "AGPL-3.0-notice", "CC-BY-4.0-notice", "CC-BY-SA-4.0-notice", "reserved"]
+    texts = {n: licenses.TEMPLATES[n] for n in names}
+    parts = {n: licenses.parts(t.encode()) for n, t in texts.items()}
+    docs, planted = [], {}
+    for k, n in enumerate([*names, *names, None, None]):
+        words = texts[n].split() if n else rng.sample(texts["MIT-text"].split(), 40)
+        lost = 0 if k < 10 or len(words) < 12 else 0.06
+        words = [w for w in words if rng.random() >= lost]
+        docs.append((k, f"{sentences(rng, rng.randint(0, 9))} {' '.join(words)} {sentences(rng, rng.randint(0, 9))}"))
+        planted[k] = n
+    got = defaultdict(dict)
+    for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), texts).collect():
+        got[r.doc_id][r.license] = r
+    for k, text in docs:
+        words = licenses.parts(text.encode())
+        share = {}
+        for n, own in parts.items():
+            step = max(1, len(own) // 8)
+            share[n] = max(lcs(own, words[b : b + len(own) + 2 * step]) for b in range(0, max(1, len(words)), step)) / len(own)
+        assert set(got[k]) == ({planted[k]} if planted[k] else set()), (k, planted[k], got[k], share)
+        for n, r in got[k].items():
+            assert r.coverage <= share[n] + 1e-9 and r.coverage > share[n] - 0.05
+            assert r.extra_words == r.last_word - r.first_word + 1 - round(r.coverage * len(parts[n]))
+            assert all(x <= share[n] or x < 0.8 or len(parts[m]) < len(parts[n]) for m, x in share.items())
+
+
+def test_scan_takes_the_first_of_equal_stretches(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License. x " * 2), (1, "All rights reserved"), (None, "all RIGHTS reserved.")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.license, r.first_word, r.extra_words) for r in licenses.scan(df).collect()) == [(0, "reserved", 0, 0), (1, "MIT", 0, 0), (1, "reserved", 0, 0)]
+
+
 def test_scan_finds_reworded_and_repeated_notices(spark):
     rng = random.Random(6)
     filler = lambda: sentences(rng, 20)

@@ -33,3 +33,24 @@ def test_run_equals_its_stages_one_by_one(spark, sf):
             starts[r.doc_id] = starts.get(r.doc_id, 0) + 1
     assert starts == {i: n for i, n in copies.items() if n}
     assert exact_dedup.exact_dedup(docs).columns == minhash.near_dedup(docs).columns == docs.columns
+
+
+def test_stages_of_odd_rows(spark, sf, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, further columns, and nothing at all."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "one two three four five six", "en", "a", 9), (3, "One two three four five six", None, None, 9), (3, "One two three four five six", None, None, 9), (4, long, "en", "b", 1), (5, long + " more", "en", "b", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, kinds).withColumns({"row": F.lit(1), "_row": F.lit(2), "norm": F.lit(3), "task": F.lit(4)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        docs = docs.cache()
+        assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and docs.columns[5:] == ["row", "_row", "norm", "task"], name
+        if name == "exact_dedup":  # the empty text with the largest id, and the short one
+            assert sorted((r.doc_id, r.text[:3] if r.text else "") for r in docs.collect()) == [(2, ""), (3, "One"), (4, "w0 "), (5, "w0 ")]
+        if name == "minhash":
+            assert sorted(r.doc_id for r in docs.collect()) == [2, 3, 4]
+    packed = corpus_pipeline.pack_sequences(spark, docs, sf).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf).count() == 0
