@@ -130,7 +130,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
     part = F.pmod(F.xxhash64("cid", F.lit(1)), F.ceil(F.col("members") / PART))
     members = written(in_bucket.join(several.hint("merge"), "bucket").withColumn("part", part), "members")
     needed = members.select("cid").distinct()
-    texts = rows.join(needed, rows["doc_id"] == needed["cid"], "left_semi")
+    texts = rows.join(needed.hint("merge"), rows["doc_id"] == needed["cid"], "left_semi")  # ids without a size bound: never broadcast
     sets = written(texts.mapInArrow(partial(_sets, size=size), "cid long, shingles array<long>"), "sets")
 
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent  # noqa: E731  else the sizes alone rule it out
