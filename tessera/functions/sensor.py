@@ -173,3 +173,29 @@ def tip_over(mass: Column, distance: Column, height: Column) -> tuple[Column, Co
 def wear_band(compression: Column) -> Column:
     """D-43."""
     return F.when(compression < 5.0, "fail").when(compression < 5.5, "warn").otherwise("good")
+
+
+def counterweight(detent: Column) -> tuple[Column, Column]:
+    """D-26: grams that pull a device back with 1.4 times what holds it, by the motor's detent in mN m, and mm of the rod."""
+    grams = (detent * 14.2857 + 66.0) * 1.4 / (0.07 * 9.81)
+    return grams, grams / 3.85
+
+
+# What holds the device besides the detent, in mN m, by regime.
+REGIMES = (("contact", 48.0), ("taper", 57.0), ("lift", 66.0), ("plateau", 32.0))
+
+
+def safety_margins(detent: Column, bias: float = 247.0) -> Column:
+    """D-26: the bias over what holds the device, for each regime; the least is what limits it."""
+    return F.array(*[F.struct((bias / (detent * 14.2857 + more)).alias("margin"), F.lit(name).alias("regime")) for name, more in REGIMES])
+
+
+def tip_speed(orifice: Column) -> tuple[Column, Column]:
+    """D-27: mm/s of the tip by the orifice's diameter, and whether that is in the band."""
+    v = F.pow(orifice / 0.75, 2) * 23.0 * 300.0 / 70.0
+    return v, F.when(v < 85, "slow").when(v <= 115, "in band").otherwise("fast")
+
+
+def retract_seconds(degrees: Column, speed: Column, radius: float = 300.0, stop: float = 43.0) -> Column:
+    """D-27: the tip's time from an angle to the stop."""
+    return F.radians(stop - degrees) * radius / speed

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +19,23 @@ def rule(value: Column, ok) -> Column:
 
 
 def weighted_rank(df: DataFrame, scores: dict[str, float], key: str) -> DataFrame:
-    """D-29: the weighted sum of scores, and its rank: for a table of candidates, all of which one task ranks."""
+    """D-29: the weighted sum of scores, and its rank, the largest first; equal sums share a rank, a null one is last.
+
+    Distinct sums are dealt out by range, ranked within a range, and moved on by what the ranges before hold: a row for
+    each of 256 ranges is all that one task sees.
+    """
     total = sum((F.col(c) * w for c, w in scores.items()), F.lit(0.0))
-    return df.select(key, total.alias("score")).withColumn("rank", F.rank().over(Window.orderBy(F.desc("score"))))
+    rows = df.select(key, total.alias("score"))
+    distinct = rows.groupBy("score").agg(F.count("*").alias("n"))
+    splits = sorted(set(distinct.approxQuantile("score", [k / 256 for k in range(1, 256)], 0.001)))
+    dealt = Bucketizer(splits=[-float("inf"), *(splits or [0.0]), float("inf")], inputCol="score", outputCol="part", handleInvalid="keep").transform(distinct)
+    dealt = dealt.withColumn("part", F.when(F.col("score").isNull(), -1).otherwise(F.col("part")))
+    within = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    ranked = dealt.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(parts, "part")
+    rank = ranked.select(F.col("score").alias("_score"), (F.col("before") + F.col("above") + 1).alias("rank"))
+    return rows.join(rank, F.col("score").eqNullSafe(F.col("_score"))).drop("_score")
 
 
 def running_total(df: DataFrame, value: str, key: str, order: list[str]) -> DataFrame:

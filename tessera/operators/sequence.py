@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes, as Spark estimates them, of a table that is broadcast.
+MOST_BROADCAST = 10 << 20
+
 
 def _w(key: str, order: list[str]) -> Window:
     return Window.partitionBy(key).orderBy(*order)
@@ -57,7 +61,7 @@ def heartbeat(df: DataFrame, ts: str, most_seconds: float, key: str, order: list
     return df.select(key, F.col(ts).alias("gap_start"), gap.alias("gap_s")).filter(F.col("gap_s") > most_seconds)
 
 
-def blocks(df: DataFrame, ts: str, seconds: int, *by: str) -> DataFrame:
+def blocks(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     """T4: adds block, the number of the tumbling window since 1970."""
     return df.withColumn("block", F.floor(F.unix_micros(ts) / (seconds * 1_000_000)).cast("long"))
 
@@ -91,9 +95,29 @@ def first_fault(df: DataFrame, code: Column, key: str, order: list[str]) -> Data
 
 
 def range_lookup(df: DataFrame, value: Column, table: DataFrame, low: str, high: str, out: str) -> DataFrame:
-    """Joins the one interval (low, high] of a small table that holds the value, else nulls."""
-    t = F.broadcast(table.select(F.col(low).alias("_low"), F.col(high).alias("_high"), out))
-    return df.withColumn("_v", value).join(t, (F.col("_v") > F.col("_low")) & (F.col("_v") <= F.col("_high")), "left").drop("_low", "_high", "_v")
+    """Joins the interval (low, high] of a table that holds the value, else nulls; intervals don't overlap.
+
+    A table within Spark's own limit for a broadcast is joined as it is. Any other is an as-of search by the intervals'
+    beginnings: values and intervals are dealt out by range of the beginnings, each value takes the last before it, and
+    what a range has open at its start is told to it by a row for each range. A null value, or an interval with a null
+    end, meets nothing.
+    """
+    t = table.select(F.col(low).cast("double").alias("_v"), F.col(high).cast("double").alias("_high"), F.col(out).alias("_out")).filter("_v < _high")
+    if int(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= MOST_BROADCAST:
+        v = df.withColumn("_at", value)
+        return v.join(F.broadcast(t), (F.col("_at") > F.col("_v")) & (F.col("_at") <= F.col("_high")), "left").withColumnRenamed("_out", out).drop("_v", "_high", "_at")
+    values = df.select(F.struct("*").alias("_row"), value.cast("double").alias("_v"), F.lit(0).alias("_kind"))
+    both = values.unionByName(t.select("_v", F.lit(1).alias("_kind"), F.struct("_v", "_high", "_out").alias("_begun")), allowMissingColumns=True)
+    splits = sorted(set(t.approxQuantile("_v", [k / 256 for k in range(1, 256)], 0.001)))
+    dealt = Bucketizer(splits=[-float("inf"), *(splits or [0.0]), float("inf")], inputCol="_v", outputCol="_part", handleInvalid="keep").transform(both)
+    last = dealt.filter("_kind = 1").groupBy("_part").agg(F.max_by("_begun", "_v").alias("_last"))
+    parts = dealt.select("_part").distinct().join(last, "_part", "left")
+    parts = parts.select("_part", F.last("_last", True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_last"))  # 256 rows
+    # at one place values come first: an interval begins after its low end
+    before = Window.partitionBy("_part").orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("_begun", F.last("_begun", True).over(before)).filter("_kind = 0").join(parts, "_part", "left")
+    begun = F.coalesce("_begun", "_last")
+    return found.select("_row.*", F.when(F.col("_v") <= begun["_high"], begun["_out"]).alias(out))
 
 
 def candidates(centre: Column, least: float, most: float, step: float) -> Column:
@@ -184,7 +208,15 @@ def last_n(df: DataFrame, n: int, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("back", k).filter(F.col("back") <= n)
 
 
-def sample_ticks(df: DataFrame, ts: str, ms: int, value: str, key: str) -> DataFrame:
-    """The first reading of each tick of ms, for each key."""
+def sample_ticks(df: DataFrame, ts: str, ms: int, value: str, key: str, order: list[str], active: Column | None = None) -> DataFrame:
+    """The first reading, by order, of each tick of ms, for each key; of those only that are taken while it is active."""
+    rows = df if active is None else df.filter(active)
     tick = F.floor(F.unix_micros(ts) / (ms * 1000)).cast("long")
-    return df.groupBy(key, tick.alias("tick")).agg(F.min_by(value, ts).alias("value"))
+    return rows.groupBy(key, tick.alias("tick")).agg(F.min_by(value, F.struct(*order)).alias("value"))
+
+
+def same_tick(left: DataFrame, right: DataFrame, key: str, ts: str, ms: int, value: str) -> DataFrame:
+    """The last values of two signals in the same tick of a key, as left and right; ticks that only one has are left out."""
+    tick = F.floor(F.unix_micros(ts) / (ms * 1000)).cast("long").alias("tick")
+    last = lambda df, name: df.groupBy(key, tick).agg(F.max_by(value, F.struct(ts, value)).alias(name))
+    return last(left, "left").join(last(right, "right"), [key, "tick"])

@@ -36,11 +36,11 @@ def heater_permission(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, user_id, round(value * 1000)::BIGINT - 50000 AS error FROM events WHERE abs(round(value * 1000)::BIGINT - 50000) > 960 AND event_type = 'click'""")
+SELECT event_id, user_id, round(value * 1000)::BIGINT - 50000 AS error FROM events WHERE abs(round(value * 1000)::BIGINT - 50000) > 960""")
 def drift_tolerance(spark, sf_dir):
-    """What is out of its tolerance."""
+    """What is out of its tolerance."""
     error = F.round(F.col("value") * 1000).cast("long") - 50_000
-    return events(spark, sf_dir).filter("event_type = 'click'").select("event_id", "user_id", error.alias("error")).filter(F.abs("error") > 960)
+    return events(spark, sf_dir).select("event_id", "user_id", error.alias("error")).filter(F.abs("error") > 960)
 
 
 @query("""
@@ -82,13 +82,11 @@ def planning_rules(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT user_id, k, err FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, abs(value - 50) AS err FROM events) WHERE k <= 10)
-SELECT user_id, count(*) FILTER (err > 30) AS misses, CASE WHEN count(*) FILTER (err > 30) = 0 THEN 'ok' WHEN count(*) FILTER (err > 30) = 1 THEN 'retry' ELSE 'fault' END AS verdict,
-  round(max(err), 6) AS worst FROM e GROUP BY 1""")
+SELECT user_id, count(*) FILTER (abs(value - 50) > 30) AS misses, CASE WHEN count(*) FILTER (abs(value - 50) > 30) = 0 THEN 'ok' WHEN count(*) FILTER (abs(value - 50) > 30) = 1 THEN 'retry' ELSE 'fault' END AS verdict,
+  round(max(abs(value - 50)), 6) AS worst FROM events GROUP BY 1""")
 def integrity_visits(spark, sf_dir):
-    """Ten visits' errors; one miss is tried again, more are a fault."""
-    k = F.row_number().over(_by_user())
-    rows = events(spark, sf_dir).select("user_id", k.alias("k"), F.abs(F.col("value") - 50).alias("err")).filter("k <= 10")
+    """All visits' errors by device, and a verdict by how many missed."""
+    rows = events(spark, sf_dir).select("user_id", F.abs(F.col("value") - 50).alias("err"))
     misses = F.count_if(F.col("err") > 30)
     return rows.groupBy("user_id").agg(misses.alias("misses"), F.when(misses == 0, "ok").when(misses == 1, "retry").otherwise("fault").alias("verdict"), F.round(F.max("err"), 6).alias("worst"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import process, sensor
-from tessera.operators import profile, sequence
+from tessera.operators import gated, profile, sequence
 from tessera.plans.registry import events, query, table
 from tessera.sources import golden
 
@@ -114,12 +114,10 @@ p AS (
     LATERAL (SELECT 32 + (p.x - 32) * exp(-1.0 / 6) + n.e * (8 * sqrt(1 - exp(-1.0 / 6) * exp(-1.0 / 6))) AS y) y)
 SELECT user_id, k, round(x, 6) AS x FROM p WHERE k > 0""")
 def ou_reflect_path(spark, sf_dir):
-    """A bounded mean-reverting path for each user, driven by the readings."""
-    noise = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda r: (r["value"] - 50) / 10)
-    paths = events(spark, sf_dir).groupBy("user_id").agg(noise.alias("noise"))
-    path = process.ou_path(F.col("noise"), 32.0, 8.0, 6.0, 20.0, 70.0)
-    rows = paths.select("user_id", F.posexplode(path).alias("k", "x"))
-    return rows.select("user_id", (F.col("k") + 1).cast("long").alias("k"), F.round("x", 6).alias("x"))
+    """A bounded mean-reverting path for each user, driven by the readings: a fold, so that a history is never in one place."""
+    noise = (F.col("value") - 50) / 10
+    out = gated.ou_steps(events(spark, sf_dir).select("event_id", "user_id", "ts", noise.alias("noise")), 32.0, 8.0, 6.0, 20.0, 70.0)
+    return out.select("user_id", "k", F.round("x", 6).alias("x"))
 
 
 @query()
@@ -162,7 +160,42 @@ def bench_formulas(spark, sf_dir):
     )
 
 
-@query()
+_BLEND = "list_transform(range(32), lambda i: pow((i + 0.5::DOUBLE) / 32, 3) * (10 - 15 * ((i + 0.5::DOUBLE) / 32) + 6 * pow((i + 0.5::DOUBLE) / 32, 2)))"
+
+
+def _seconds_sql(length: str, v0: str, v1: str) -> str:
+    """F8 in SQL; q: the list of the blend's 32 points."""
+    return f"list_sum(list_transform(q, lambda b: 1 / greatest(0.5::DOUBLE, {v0} + ({v1} - {v0}) * b))) * ({length}) / 32"
+
+
+@query(f"""
+WITH RECURSIVE e AS (
+  SELECT event_id, value % 50 + 20 AS cruise, value % 2 + 0.6::DOUBLE AS ramp, event_id % 7 = 0 AS graze, 300 * 0.01745329::DOUBLE AS k,
+    CASE WHEN event_id % 2 = 0 THEN 43.0::DOUBLE ELSE -38.0::DOUBLE END AS start, {_BLEND} AS q FROM events),
+b AS (
+  SELECT event_id, 0 AS n, 5.0::DOUBLE AS low, 70.0::DOUBLE AS high FROM e
+  UNION ALL
+  SELECT b.event_id, n + 1, CASE WHEN {_seconds_sql("7 * k", "(low + high) / 2", "cruise")} > ramp THEN (low + high) / 2 ELSE low END,
+    CASE WHEN {_seconds_sql("7 * k", "(low + high) / 2", "cruise")} > ramp THEN high ELSE (low + high) / 2 END
+  FROM b JOIN e ON e.event_id = b.event_id WHERE n < 20),
+v AS (
+  SELECT e.*, CASE WHEN ramp >= {_seconds_sql("7 * k", "5.0::DOUBLE", "cruise")} THEN 5.0::DOUBLE WHEN ramp <= {_seconds_sql("7 * k", "70.0::DOUBLE", "cruise")} THEN 70.0::DOUBLE ELSE (low + high) / 2 END AS entry,
+    sign(start) AS side FROM e JOIN b ON e.event_id = b.event_id AND n = 20),
+a AS (
+  SELECT *, abs(side * 19 - start) * k AS c0, abs(-side * 19 - start) * k AS c1, abs(side * 26 - start) * k AS t0, abs(-side * 26 - start) * k AS t1,
+    abs(-side * CASE WHEN graze THEN 22.5::DOUBLE ELSE 38.0::DOUBLE END - start) * k AS far, (5625 - 36) / 400.0::DOUBLE AS slow, (5625 - entry * entry) / 400 AS fast FROM v),
+s AS (
+  SELECT event_id, entry, q, CASE WHEN NOT graze THEN t1 END AS air, unnest(list_concat(
+    CASE WHEN slow + fast >= t0 THEN [[0, t0, 6, entry, 0]] ELSE [[0, slow, 6, 75, 0], [slow, t0 - fast, 75, 75, 1], [t0 - fast, t0, 75, entry, 0]] END,
+    [[t0, c0, entry, cruise, 0], [c0, c1, cruise, cruise, 1]],
+    CASE WHEN graze THEN [[c1, far, cruise, 6, 0]]
+      WHEN slow + fast >= far - t1 THEN [[c1, t1, cruise, entry, 0], [t1, far, entry, 6, 0]]
+      ELSE [[c1, t1, cruise, entry, 0], [t1, t1 + fast, entry, 75, 0], [t1 + fast, far - slow, 75, 75, 1], [far - slow, far, 75, 6, 0]] END)::DOUBLE[][]) AS g FROM a),
+x AS (
+  SELECT event_id, entry, CASE WHEN g[5] = 1 THEN (g[2] - g[1]) / greatest(0.5::DOUBLE, g[3]) ELSE {_seconds_sql("g[2] - g[1]", "g[3]", "g[4]")} END AS t,
+    CASE WHEN air IS NULL OR g[2] - greatest(g[1], air) <= 0.01 THEN 0 WHEN g[5] = 1 THEN (g[2] - greatest(g[1], air)) / greatest(0.5::DOUBLE, g[3])
+      ELSE {_seconds_sql("g[2] - greatest(g[1], air)", "g[3]", "g[4]")} END AS late FROM s WHERE g[2] > g[1] + 0.01)
+SELECT event_id, count(*)::INT AS n_segments, round(sum(t), 6) AS seconds, round(sum(late), 6) AS air_s, round(any_value(entry), 6) AS entry FROM x GROUP BY event_id""")
 def stroke_profiles(spark, sf_dir):
     """Stroke profiles with entry speeds solved for a ramp time; segments, time and air time."""
     v = F.col("value")
@@ -181,12 +214,22 @@ def simple_moves(spark, sf_dir):
     return rows.select("event_id", F.size("s").alias("n_segments"), F.round(F.element_at("s", -1)["s1"], 6).alias("length"))
 
 
-@query()
+@query("""
+WITH m AS (SELECT event_id, value % 40 + 1 AS d, 300 * (0.01745329::DOUBLE / (200.0::DOUBLE * 32.0 * 14.2857 / 360.0)) AS mm FROM events),
+r AS (SELECT *, least(d * 0.2::DOUBLE, 20.0::DOUBLE) AS r FROM m),
+t AS (SELECT *, unnest(range(1, 1 + greatest(1, round(d / mm)::BIGINT))) * mm AS s FROM r),
+g AS (
+  SELECT *, CASE WHEN d <= r * 2 + 0.5::DOUBLE THEN CASE WHEN s <= d * 0.5::DOUBLE THEN [0, d * 0.5::DOUBLE, 6, 26] ELSE [d * 0.5::DOUBLE, d, 26, 6] END
+    WHEN s <= r THEN [0, r, 6, 26] WHEN s <= d - r THEN [r, d - r, 26, 26] ELSE [d - r, d, 26, 6] END AS g FROM t),
+u AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (s - g[1]) / (g[2] - g[1]))) AS u FROM g),
+v AS (SELECT *, greatest(0.5::DOUBLE, least(75.0::DOUBLE, g[3] + (g[4] - g[3]) * (u * u * u * (10 + u * (u * 6 - 15))))) AS v FROM u),
+i AS (SELECT event_id, mm, greatest(240, floor(least(mm * 1e6 / v, 200240.0::DOUBLE))::BIGINT) AS us FROM v)
+SELECT event_id, count(*) AS steps, round(sum(us)::DOUBLE / 1e6, 6) AS seconds, round(max(mm / (us * 1e-6)), 6) AS fastest, min(us) AS least_us FROM i GROUP BY event_id""")
 def expanded_steps(spark, sf_dir):
-    """Every step of each seventieth event's move, summed up: the generator is an explode, the fold partial."""
-    rows = events(spark, sf_dir).filter("event_id % 70 = 0").select("event_id", profile.simple_move(F.col("value") % 40 + 1, F.lit(26.0)).alias("segments"), F.lit(300.0).alias("radius"))
-    steps = profile.expand(rows, "segments", "radius")
-    return steps.groupBy("event_id").agg(F.count("*").alias("steps"), F.round(F.sum("interval_us") / 1e6, 6).alias("seconds"), F.max("realised").alias("fastest"), F.min("interval_us").alias("least_us"))
+    """Every step of every event's move, summed up: the generator is an explode, the fold partial."""
+    rows = events(spark, sf_dir).select("event_id", profile.simple_move(F.col("value") % 40 + 1, F.lit(26.0)).alias("segments"), F.lit(300.0).alias("radius"))
+    steps = profile.expand(rows.repartition("event_id"), "segments", "radius")  # before a row becomes a thousand
+    return steps.groupBy("event_id").agg(F.count("*").alias("steps"), F.round(F.sum("interval_us") / 1e6, 6).alias("seconds"), F.round(F.max("realised"), 6).alias("fastest"), F.min("interval_us").alias("least_us"))
 
 
 @query("""
@@ -207,3 +250,32 @@ def relaxed_radius(spark, sf_dir):
     cur = F.col("value") % 20
     rows = events(spark, sf_dir).select("event_id", cur.alias("cur"), F.lag(cur, 1).over(w).alias("h1"), F.lag(cur, 2).over(w).alias("h2"), (F.col("value") % 1).alias("u"))
     return rows.select("event_id", "cur", "h1", "h2", F.round(sequence.draw_radius(F.col("u"), F.col("cur"), [F.col("h1"), F.col("h2")], -24.0, 24.0, 6.0, 12.0), 6).alias("radius"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, 4 + p_size * 0.25::DOUBLE AS d, 0.5::DOUBLE + p_size / 100 AS o, p_size * 1.0::DOUBLE - 20 AS deg FROM part),
+m AS (SELECT *, [['contact', 247 / (d * 14.2857::DOUBLE + 48)], ['taper', 247 / (d * 14.2857::DOUBLE + 57)], ['lift', 247 / (d * 14.2857::DOUBLE + 66)], ['plateau', 247 / (d * 14.2857::DOUBLE + 32)]] AS r,
+  pow(o / 0.75::DOUBLE, 2) * 23.0::DOUBLE * 300 / 70 AS v FROM p)
+SELECT p_partkey, round((d * 14.2857::DOUBLE + 66) * 1.4::DOUBLE / (0.07::DOUBLE * 9.81::DOUBLE), 6) AS grams, round((d * 14.2857::DOUBLE + 66) * 1.4::DOUBLE / (0.07::DOUBLE * 9.81::DOUBLE) / 3.85::DOUBLE, 6) AS rod_mm,
+  'lift' AS regime, round(247 / (d * 14.2857::DOUBLE + 66), 6) AS margin, round(v, 6) AS speed, CASE WHEN v < 85 THEN 'slow' WHEN v <= 115 THEN 'in band' ELSE 'fast' END AS band,
+  round(radians(43 - deg) * 300 / v, 6) AS retract_s FROM m""")
+def counterweights(spark, sf_dir):
+    """D-26, D-27: counterweight and margin by the detent, retraction by the orifice; a part's size stands for each."""
+    size = F.col("p_size").cast("double")
+    detent, orifice = size * 0.25 + 4, size / 100 + 0.5
+    grams, rod = sensor.counterweight(detent)
+    speed, band = sensor.tip_speed(orifice)
+    least = F.array_min(sensor.safety_margins(detent))
+    r6 = lambda c, n: F.round(c, 6).alias(n)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", r6(grams, "grams"), r6(rod, "rod_mm"), least["regime"].alias("regime"), r6(least["margin"], "margin"), r6(speed, "speed"), band.alias("band"),
+        r6(sensor.retract_seconds(size - 20, speed), "retract_s"),
+    )
+
+
+@query("""
+SELECT event_id, round(-sign(value - 50 + 1e-9) * (20.75::DOUBLE + value % 2), 6) AS far, round(sign(value - 50 + 1e-9) * (20.75::DOUBLE + value % 2), 6) AS same FROM events""")
+def graze_turns(spark, sf_dir):
+    """D-7: where a grazing stroke turns, by either model."""
+    start, degrees = F.col("value") - 50 + 1e-9, F.col("value") % 2 + 20.75
+    return events(spark, sf_dir).select("event_id", *[F.round(profile.graze_turn(start, degrees, m), 6).alias(m) for m in ("far", "same")])

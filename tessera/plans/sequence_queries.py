@@ -155,10 +155,23 @@ def pi_integrator(spark, sf_dir):
 
 
 @query("""
-SELECT user_id, ((epoch_us(ts) // 3600000000))::BIGINT AS tick, arg_min(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2""")
+SELECT user_id, ((epoch_us(ts) // 3600000000))::BIGINT AS tick, arg_min(value, (ts, event_id)) AS value FROM events WHERE event_type <> 'view' GROUP BY 1, 2""")
 def sampled_ticks(spark, sf_dir):
-    """The first reading of each hour."""
-    return sequence.sample_ticks(events(spark, sf_dir), "ts", 3_600_000, "value", "user_id")
+    """The first reading of each hour while a device is active."""
+    return sequence.sample_ticks(events(spark, sf_dir), "ts", 3_600_000, "value", "user_id", ORDER, F.col("event_type") != "view")
+
+
+@query("""
+WITH t AS (SELECT user_id, ts, event_type, value, epoch_us(ts) // 3600000000 AS tick FROM events),
+r AS (SELECT user_id, tick, arg_max(value, (ts, value)) AS rail FROM t WHERE event_type = 'view' GROUP BY 1, 2),
+v AS (SELECT user_id, tick, arg_max(value, (ts, value)) AS supply FROM t WHERE event_type = 'click' GROUP BY 1, 2)
+SELECT user_id, tick::BIGINT AS tick, CASE WHEN rail >= 50 THEN 'alive' WHEN supply >= 50 THEN 'stopped' ELSE 'brown-out' END AS verdict FROM r JOIN v USING (user_id, tick)""")
+def rail_verdicts(spark, sf_dir):
+    """Two signals of a device in one tick: a low rail with a good supply is a pressed stop, with a low one a brown-out."""
+    e = events(spark, sf_dir)
+    both = sequence.same_tick(e.filter("event_type = 'view'"), e.filter("event_type = 'click'"), "user_id", "ts", 3_600_000, "value")
+    verdict = F.when(F.col("left") >= 50, "alive").when(F.col("right") >= 50, "stopped").otherwise("brown-out")
+    return both.select("user_id", "tick", verdict.alias("verdict"))
 
 
 @query("""

@@ -34,7 +34,11 @@ TRANSITIONS = [
     ("AUTOTUNE", "tuned", "HOMING", 0), ("AUTOTUNE", "not_tuned", "FAULT", 3), ("HOMING", "home", "IDLE", 0), ("HOMING", "no_home", "FAULT", 5),
     ("IDLE", "armed", "PREWARM", 0), ("PREWARM", "warm", "RUNNING", 0), ("PREWARM", "integrity", "FAULT", 6), ("PREWARM", "unsafe", "FAULT", 12),
     ("RUNNING", "unsafe", "FAULT", 12), ("RUNNING", "full", "RETREAT", 0), ("RUNNING", "stall", "RETREAT", 8), ("RUNNING", "overtime", "RETREAT", 14),
-    ("RUNNING", "microsteps", "FAULT", 4), ("RETREAT", "parked", "IDLE", 0),
+    ("RUNNING", "microsteps", "FAULT", 4), ("RETREAT", "parked", "IDLE", 0), ("RUNNING", "integrity", "FAULT", 6),
+    ("PREWARM", "ferrule_sensor", "FAULT", 9), ("RUNNING", "ferrule_sensor", "FAULT", 9),
+    ("PREWARM", "cup_sensor", "FAULT", 10), ("RUNNING", "cup_sensor", "FAULT", 10),
+    ("PREWARM", "over_temperature", "FAULT", 11), ("RUNNING", "over_temperature", "FAULT", 11),
+    ("PREWARM", "brown_out", "FAULT", 13), ("RUNNING", "brown_out", "FAULT", 13),
 ]
 
 # Degrees C and reading of a thermistor.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sensor import fnv1a
@@ -14,8 +14,9 @@ SENSOR_TICK = "device_id bigint, ts timestamp, ntc_ferrule int, ntc_cup int, vbu
 
 
 def checksum():
-    """F11 over a record's fields, in order."""
-    return fnv1a(F.concat_ws("|", "device_id", "magic", "sessions", "faults", "last_fault", F.array_join(F.col("errors").cast("array<string>"), ",")))
+    """F11 over a record's fields, in order; a null field or error reads as a dash, so that it isn't the same as none."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("device_id", "magic", "sessions", "faults", "last_fault")]
+    return fnv1a(F.concat_ws("|", *fields, F.coalesce(F.array_join(F.col("errors").cast("array<string>"), ",", "-"), F.lit("-"))))
 
 
 def load_records(spark: SparkSession, path: str) -> DataFrame:
@@ -29,8 +30,9 @@ def load_records(spark: SparkSession, path: str) -> DataFrame:
 
 def save_records(sessions: DataFrame, path: str) -> None:
     """One record for each device after its sessions (device_id, at, fault, error); overwrites."""
-    last5 = F.slice(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("at", "error"))), lambda x: x["error"])), 1, 5)
-    own = sessions.groupBy("device_id").agg(F.count("*").cast("int").alias("sessions"), F.count_if(F.col("fault") != 0).cast("int").alias("faults"), F.max_by("fault", "at").cast("int").alias("last_fault"), F.reverse(last5).cast("array<int>").alias("errors"))
+    back = F.row_number().over(Window.partitionBy("device_id").orderBy(F.desc("at"), F.desc("error")))
+    late = F.array_sort(F.collect_list(F.when(F.col("back") <= 5, F.struct("at", "error"))))  # five at most
+    own = sessions.withColumn("back", back).groupBy("device_id").agg(F.count("*").cast("int").alias("sessions"), F.count_if(F.col("fault") != 0).cast("int").alias("faults"), F.max_by("fault", "at").cast("int").alias("last_fault"), F.transform(late, lambda x: x["error"]).cast("array<int>").alias("errors"))
     own = own.withColumn("magic", F.lit(MAGIC).cast("bigint"))
     own.withColumn("checksum", checksum()).select("device_id", "magic", "sessions", "faults", "last_fault", "errors", "checksum").write.mode("overwrite").parquet(path)
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.gated import ordered_fold
@@ -15,7 +16,7 @@ _NEXT = {(s, signal): (to, fault) for s, signal, to, fault in golden.TRANSITIONS
 OUT = "user_id long, event_id long, ts timestamp, from_state string, to_state string, fault int"
 
 
-def _fold(state: tuple | None, event_id: int, ts: pd.Timestamp, signal: str) -> tuple:
+def _fold(state: tuple | None, event_id: int, ts: int, signal: str | None) -> tuple:
     now, fault = state or ("BOOT", 0)
     to, fault = advance(now, fault, signal)
     return (to, fault), (event_id, ts, now, to, fault)
@@ -29,8 +30,9 @@ def advance(now: str, fault: int, signal: str) -> tuple[str, int]:
 
 def transitions(signals: DataFrame) -> DataFrame:
     """Signals (event_id, user_id, ts, signal) to the transitions they cause."""
-    rows = ordered_fold(signals, _fold, "user_id", ["ts", "event_id"], ["event_id", "ts", "signal"], OUT.removeprefix("user_id long, "))
-    return rows.filter("from_state != to_state")
+    out = OUT.removeprefix("user_id long, ").replace("ts timestamp", "ts long")
+    rows = ordered_fold(signals, _fold, "user_id", ["ts", "event_id"], ["event_id", "ts", "signal"], out)
+    return rows.filter("from_state != to_state").withColumn("ts", F.timestamp_micros("ts"))
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
