@@ -169,7 +169,7 @@ def draw_radius(u: Column, current: Column, history: list[Column], low: float, h
     def room(past: list[Column], most: float) -> Column:
         free = F.array(F.struct(F.greatest(current - most, F.lit(low)).alias("lo"), F.least(current + most, F.lit(high)).alias("hi")))
         for h in [current, *past]:
-            free = F.coalesce(subtract_interval(free, h - apart, h + apart), free)
+            free = F.when(h.isNull(), free).otherwise(subtract_interval(free, h - apart, h + apart))
         return draw_from_intervals(free, u)
 
     return F.coalesce(room(history, cap), room(history[:1], cap), room(history[:1], cap + 4), current)

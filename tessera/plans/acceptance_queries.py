@@ -58,7 +58,11 @@ def seed_checks(spark, sf_dir):
     return each.groupBy("bit").agg(F.round(F.avg("one"), 6).alias("ones"), F.countDistinct("seed").alias("seeds"))
 
 
-@query()
+@query("""
+WITH p(preset, weight, means, sigma, tau, log_mode, gap_low, gap_high, flight, graze, jump_low, jump_high) AS (VALUES %s),
+f AS (SELECT preset, list_sum(means::DOUBLE[]) / len(means) AS mean, sigma::DOUBLE AS sigma, (gap_low + gap_high)::DOUBLE AS gaps, flight::DOUBLE AS flight, 0.040875::DOUBLE * (4785 + 40 * weight) AS force FROM p)
+SELECT f.preset, round(f.mean / b.mean, 6) AS mean, round(f.sigma / b.sigma, 6) AS sigma, round(f.gaps / b.gaps, 6) AS gaps, round(f.flight / b.flight, 6) AS flight, round(f.force / b.force, 6) AS force
+FROM f, f b WHERE b.preset = 'base'""" % _values(golden.PRESETS))
 def preset_ratios(spark, sf_dir):
     """D-15: each preset's figures relative to the first."""
     rows = golden.presets(spark)

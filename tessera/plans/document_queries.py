@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import process
 from tessera.operators import sequence, session
-from tessera.plans.registry import ORDER, events, query
+from tessera.plans.registry import ORDER, events, normals_sql, query, reflect_sql
 from tessera.sources import golden
 
 
@@ -100,16 +100,43 @@ def score_against_figures(spark, sf_dir):
     return j.agg(*[F.corr("score", c).alias(c) for c in ("strokes", "grazes", "path_mm", "v_high", "gap_high")])
 
 
-@query()
+_TIMES = "((({0})::HUGEINT * {1}) & 4294967295)::BIGINT"
+_TURN = "((({0} << {1}) & 4294967295) | ({0} >> {2}))"
+
+
+def _mixed_sql(x: str) -> str:
+    a = f"(({x} + 2654435769) & 4294967295)"
+    b = _TIMES.format(f"xor({a}, {a} >> 16)", 2246822507)
+    c = _TIMES.format(f"xor({b}, {b} >> 13)", 3266489909)
+    return f"xor({c}, {c} >> 16)"
+
+
+@query(f"""
+WITH RECURSIVE s AS (SELECT k AS session_id, (4096 + k * 2654435761) % 4294967296 AS seed FROM range(200) r(k)),
+f AS (SELECT session_id, {", ".join(_mixed_sql(f"((seed + {k}) & 4294967295)") + f" AS s{k}" for k in range(4))} FROM s),
+x AS (
+  SELECT session_id, -1 AS i, NULL::BIGINT AS value, s0, s1, s2, s3 FROM f
+  UNION ALL
+  SELECT session_id, i + 1, ({_TURN.format("((s1 * 5) & 4294967295)", 7, 25)} * 9) & 4294967295, xor(s0, xor(s3, s1)), xor(s1, xor(s2, s0)),
+    xor(xor(s2, s0), (s1 << 9) & 4294967295), {_TURN.format("xor(s3, s1)", 11, 21)} FROM x WHERE i < 7)
+SELECT session_id, i::INT AS i, value FROM x WHERE i >= 0""")
 def generators(spark, sf_dir):
     """D-3: numbers of xoshiro128** from states that SplitMix makes of the seeds."""
     four = F.array(*[process.splitmix32((F.col("seed") + k).bitwiseAND(F.lit(process.MASK))) for k in range(4)])
     return golden.seeds(spark).select("session_id", F.posexplode(process.xoshiro128(four, 8)).alias("i", "value"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {normals_sql(10_000, 50)},
+p AS (
+  SELECT session_id, 0 AS k, 32.0::DOUBLE AS x FROM z WHERE k = 1
+  UNION ALL
+  SELECT p.session_id, z.k, {reflect_sql("32 + (p.x - 32) * exp(-1.0::DOUBLE / 6) + z.z * 10 * (8 * sqrt(1 - exp(-1.0::DOUBLE / 6) * exp(-1.0::DOUBLE / 6)))", 20.0, 70.0)}
+  FROM p JOIN z ON z.session_id = p.session_id AND z.k = p.k + 1)
+SELECT round(min(x), 6) AS least, round(max(x), 6) AS most, round(avg(x), 6) AS mean, count(*) AS n, bool_and(x BETWEEN 20 AND 70) AS in_band FROM p WHERE k > 0""")
 def ou_stress(spark, sf_dir):
-    """A6, D-13: extremes and mean of many paths driven by ten times the noise: none leaves its band."""
+    """A6, D-13: extremes and mean of a million steps under ten times the noise: none leaves its band."""
     z = F.transform(process.normals(process.xorshift_states(F.col("seed"), 100)), lambda v: v * 10)
-    x = golden.seeds(spark, 2000).select(F.explode(process.ou_path(z, 32.0, 8.0, 6.0, 20.0, 70.0)).alias("x"))
-    return x.agg(F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean"), F.count("*").alias("n"), F.bool_and((F.col("x") >= 20) & (F.col("x") <= 70)).alias("in_band"))
+    x = golden.seeds(spark, 10_000).select(F.explode(process.ou_path(z, 32.0, 8.0, 6.0, 20.0, 70.0)).alias("x"))
+    r6 = lambda c, n: F.round(c, 6).alias(n)
+    return x.agg(r6(F.min("x"), "least"), r6(F.max("x"), "most"), r6(F.avg("x"), "mean"), F.count("*").alias("n"), F.bool_and((F.col("x") >= 20) & (F.col("x") <= 70)).alias("in_band"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tessera.functions import process, sensor
 from tessera.operators import gated, profile, sequence
-from tessera.plans.registry import events, query, table
+from tessera.plans.registry import events, normals_sql, query, reflect_sql, table
 from tessera.sources import golden
 
 
@@ -120,14 +122,30 @@ def ou_reflect_path(spark, sf_dir):
     return out.select("user_id", "k", F.round("x", 6).alias("x"))
 
 
-@query()
+def _walk_sql(z: str, x: str, mean: float, sigma: float, tau: float, low: float, high: float) -> str:
+    keep = f"exp(-1.0::DOUBLE / {tau})"
+    return reflect_sql(f"{mean}::DOUBLE + ({x} - {mean}::DOUBLE) * {keep} + {z} * ({sigma} * sqrt(1 - {keep} * {keep}))", low, high)
+
+
+@query(f"""
+WITH RECURSIVE {normals_sql(200, 32)},
+p AS (
+  SELECT session_id, 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, ln(32.0::DOUBLE) AS l, 3200::BIGINT AS w FROM z WHERE k = 1
+  UNION ALL
+  SELECT p.session_id, z.k, {_walk_sql("z", "a", 0.0, 0.5, 16.0, -3.0, 3.0)}, {_walk_sql("z", "b", 0.0, 0.5, 4.0, -3.0, 3.0)}, {_walk_sql("z", "c", 0.0, 0.5, 1.0, -3.0, 3.0)},
+    {_walk_sql("z", "l", math.log(32.0), 0.25, 6.0, math.log(20.0), math.log(70.0))},
+    7000 - abs(((3200 + (((w - 3200) * 55474) >> 16) + ((round(z * 65536)::BIGINT * 800) >> 16) - 2000) % 10000 + 10000) % 10000 - 5000)
+  FROM p JOIN z ON z.session_id = p.session_id AND z.k = p.k + 1)
+SELECT session_id, (k - 1)::INT AS k, round(exp(l), 5) AS log_path, w AS whole, round(a + b + c, 5) AS cascade FROM p WHERE k > 0""")
 def process_variants(spark, sf_dir):
     """R3, D-1, D-2, D-18: log, whole-number and cascaded paths from the seeded generator's own normal deviates."""
     z = process.normals(process.xorshift_states(F.col("seed"), 64))
     rows = golden.seeds(spark).withColumn("z", z)
     slow, mid, fast = (process.ou_path(F.col("z"), 0.0, s, t, -3.0, 3.0) for t, s in ((16.0, 0.5), (4.0, 0.5), (1.0, 0.5)))
     whole = process.integer_ou_path(F.transform("z", lambda v: F.round(v * 65536).cast("long")), 3200, 55474, 800, 2000, 7000)
-    return rows.select("session_id", F.posexplode(F.arrays_zip(process.log_ou_path(F.col("z"), 32.0, 0.25, 6.0, 20.0, 70.0).alias("log_path"), whole.alias("whole"), process.cascade([slow, mid, fast]).alias("cascade"))).alias("k", "x")).select("session_id", "k", "x.*")
+    return rows.select("session_id", F.posexplode(F.arrays_zip(process.log_ou_path(F.col("z"), 32.0, 0.25, 6.0, 20.0, 70.0).alias("log_path"), whole.alias("whole"), process.cascade([slow, mid, fast]).alias("cascade"))).alias("k", "x")).select(
+        "session_id", "k", F.round("x.log_path", 5).alias("log_path"), "x.whole", F.round("x.cascade", 5).alias("cascade"),
+    )
 
 
 @query("""
@@ -241,7 +259,26 @@ def interval_draw(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.round(sequence.draw_from_intervals(free, F.col("value") % 1), 6).alias("at"))
 
 
-@query()
+def _without_sql(free: str, centre: str) -> str:
+    """D-4 in SQL: a list of [low, high] without the places nearer to the centre than 6."""
+    cut = f"list_filter(flatten(list_transform({free}, lambda i: [[i[1], least(i[2], {centre} - 6)], [greatest(i[1], {centre} + 6), i[2]]])), lambda i: i[2] > i[1])"
+    return f"CASE WHEN {centre} IS NULL THEN {free} ELSE {cut} END"
+
+
+def _drawn_sql(free: str) -> str:
+    length = lambda k: f"coalesce({free}[{k}][2] - {free}[{k}][1], 0)"
+    before = lambda k: " + ".join(["0", *(length(j) for j in range(1, k))])
+    at = f"u * list_sum(list_transform({free}, lambda i: i[2] - i[1]))"
+    return "CASE " + " ".join(f"WHEN {at} <= {before(k + 1)} THEN {free}[{k}][1] + ({at} - ({before(k)}))" for k in range(1, 5)) + " END"
+
+
+@query(f"""
+WITH h AS (SELECT event_id, value % 20 AS cur, value % 1 AS u, lag(value % 20, 1) OVER w AS h1, lag(value % 20, 2) OVER w AS h2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+w AS (SELECT *, [[greatest(cur - 12, -24.0), least(cur + 12, 24.0)]]::DOUBLE[][] AS near, [[greatest(cur - 16, -24.0), least(cur + 16, 24.0)]]::DOUBLE[][] AS wide FROM h),
+a AS (SELECT *, {_without_sql("near", "cur")} AS n0, {_without_sql("wide", "cur")} AS w0 FROM w),
+b AS (SELECT *, {_without_sql("n0", "h1")} AS n1, {_without_sql("w0", "h1")} AS w1 FROM a),
+c AS (SELECT *, {_without_sql("n1", "h2")} AS n2 FROM b)
+SELECT event_id, cur, h1, h2, round(coalesce({_drawn_sql("n2")}, {_drawn_sql("n1")}, {_drawn_sql("w1")}, cur), 6) AS radius FROM c""")
 def relaxed_radius(spark, sf_dir):
     """D-5: radii drawn by a hierarchy of rules."""
     from pyspark.sql import Window
