@@ -136,7 +136,9 @@ p AS (
 SELECT round(min(x), 6) AS least, round(max(x), 6) AS most, round(avg(x), 6) AS mean, count(*) AS n, bool_and(x BETWEEN 20 AND 70) AS in_band FROM p WHERE k > 0""")
 def ou_stress(spark, sf_dir):
     """A6, D-13: extremes and mean of a million steps under ten times the noise: none leaves its band."""
-    z = F.transform(process.normals(process.xorshift_states(F.col("seed"), 100)), lambda v: v * 10)
-    x = golden.seeds(spark, 10_000).select(F.explode(process.ou_path(z, 32.0, 8.0, 6.0, 20.0, 70.0)).alias("x"))
+    # a column of their own: within the lambda that pairs them up, states would be worked out for each pair
+    rows = golden.seeds(spark, 10_000).repartition("session_id").withColumn("states", process.xorshift_states(F.col("seed"), 100))
+    z = F.transform(process.normals(F.col("states")), lambda v: v * 10)
+    x = rows.select(F.explode(process.ou_path(z, 32.0, 8.0, 6.0, 20.0, 70.0)).alias("x"))
     r6 = lambda c, n: F.round(c, 6).alias(n)
     return x.agg(r6(F.min("x"), "least"), r6(F.max("x"), "most"), r6(F.avg("x"), "mean"), F.count("*").alias("n"), F.bool_and((F.col("x") >= 20) & (F.col("x") <= 70)).alias("in_band"))

@@ -139,8 +139,7 @@ p AS (
 SELECT session_id, (k - 1)::INT AS k, round(exp(l), 5) AS log_path, w AS whole, round(a + b + c, 5) AS cascade FROM p WHERE k > 0""")
 def process_variants(spark, sf_dir):
     """R3, D-1, D-2, D-18: log, whole-number and cascaded paths from the seeded generator's own normal deviates."""
-    z = process.normals(process.xorshift_states(F.col("seed"), 64))
-    rows = golden.seeds(spark).withColumn("z", z)
+    rows = golden.seeds(spark).withColumn("states", process.xorshift_states(F.col("seed"), 64)).withColumn("z", process.normals(F.col("states")))
     slow, mid, fast = (process.ou_path(F.col("z"), 0.0, s, t, -3.0, 3.0) for t, s in ((16.0, 0.5), (4.0, 0.5), (1.0, 0.5)))
     whole = process.integer_ou_path(F.transform("z", lambda v: F.round(v * 65536).cast("long")), 3200, 55474, 800, 2000, 7000)
     return rows.select("session_id", F.posexplode(F.arrays_zip(process.log_ou_path(F.col("z"), 32.0, 0.25, 6.0, 20.0, 70.0).alias("log_path"), whole.alias("whole"), process.cascade([slow, mid, fast]).alias("cascade"))).alias("k", "x")).select(
