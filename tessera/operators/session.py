@@ -26,7 +26,7 @@ class Draws:
     """The generator with its cached normal deviate, and the six bounded walks."""
 
     def __init__(self, seed: int, axes: dict[str, tuple]) -> None:
-        self.state, self.spare, self.axes = seed or 464371934, None, axes
+        self.state, self.spare, self.axes = seed or golden.FALLBACK_SEED, None, axes
         self.at = {a: v[1] for a, v in axes.items()}
 
     def uniform(self) -> float:
