@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.gated import gate
+
 HITS = "user_id long, event_id long, value double, run long"
 GATED = "user_id long, event_id long, kept double, bad int, credible boolean"
 
@@ -30,16 +32,13 @@ def stream_consecutive(readings: DataFrame, over: float, n: int) -> DataFrame:
     return readings.groupBy("user_id").applyInPandasWithState(partial(_run, over=over, n=n), HITS, "run long", "append", GroupStateTimeout.NoTimeout)
 
 
-def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, low: float, high: float, most_rate: float, most_bad: int) -> Iterator[pd.DataFrame]:
-    seen, kept, bad = state.get if state.exists else (None, None, 0)
-    rows, out = pd.concat(list(batches)).sort_values(["ts", "event_id"]), []
+def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, **limits: float) -> Iterator[pd.DataFrame]:
+    now, out = state.get if state.exists else None, []
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
     for event_id, ts, value in zip(rows["event_id"], rows["ts"], rows["value"], strict=True):
-        us = ts.value // 1000
-        slow = kept is None or us == seen or abs(value - kept) * 1e6 / (us - seen) <= most_rate
-        ok = low <= value <= high and slow
-        seen, kept, bad = us, value if ok else kept, 0 if ok else bad + 1
-        out.append((key[0], event_id, kept, bad, bad < most_bad))
-    state.update((seen, kept, bad))
+        now, found = gate(now, ts.value // 1000, None if pd.isna(value) else value, **limits)
+        out.append((key[0], event_id, *found))
+    state.update(now)
     yield pd.DataFrame(out, columns=["user_id", "event_id", "kept", "bad", "credible"])
 
 
