@@ -16,7 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Words, small, written
@@ -377,9 +377,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean:
     # texts that share their longest words are taken for copies or near copies: all are learnt from, as one text together
     words = F.array_distinct(F.split(F.lower(F.col("text").cast("string")), "\\s+"))
     longest = F.slice(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), 1, 2)
-    found = docs.join(sample, "doc_id").select("toxic", "text", longest.alias("longest"))
-    alike = F.count("*").over(Window.partitionBy("longest", "toxic"))  # of the sample's rows
-    rows = written(found.select("toxic", F.floor(F.lit(SHARE) / alike).cast("long").alias("share"), "text"), "labelled")
+    found = written(docs.join(sample, "doc_id").select("toxic", "text", longest.alias("longest")), "labelled")
+    alike = F.broadcast(found.groupBy("longest", "toxic").agg(F.count("*").alias("alike")))  # of the sample's rows
+    rows = found.join(alike, ["longest", "toxic"]).select("toxic", F.floor(F.lit(SHARE) / F.col("alike")).cast("long").alias("share"), "text")
     n = {r["toxic"]: r["share"] / SHARE for r in rows.groupBy("toxic").agg(F.sum("share").alias("share")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     constant = Model([], np.empty(0), 0.0, np.zeros(3), (n_toxic + 1) / (n_toxic + n_clean + 2))
