@@ -33,6 +33,8 @@ WIDTH, NOISE, BATCH, ROUNDS, RATE = 24, 64, 2048, 3, 0.15
 HOT = 1_000_000
 #: Distinct words or symbol triples a task gathers before it hands them on or puts them together.
 GATHER = 600_000
+#: Triples that are written as one row: as rows of their own they would cost Spark more than the training.
+PACKED = 100_000
 #: A task's parameters as a row.
 TRAINED = "part long, tokens double, parameters binary"
 
@@ -150,13 +152,16 @@ def _together(codes: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.nd
 
 
 def _triples(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """text -> the codes of its (last but one, last, next) symbols with counts; a code may come in several rows."""
+    """text -> codes of its (last but one, last, next) symbols, as steps from the one before, and their counts, PACKED of them
+    in a row; a code may come again."""
     n, codes, pending = len(v.noise), [], 0
 
     def out() -> pa.RecordBatch:
         code, weight = _together(codes, [np.ones(len(c)) for c in codes])
         codes.clear()
-        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(weight)], names=["code", "weight"])
+        parts = range(0, len(code), PACKED)
+        packed = [[np.diff(code[k : k + PACKED], prepend=0).astype("<i8").tobytes() for k in parts], [weight[k : k + PACKED].astype("<i8").tobytes() for k in parts]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in packed], names=["code", "weight"])
 
     for batch in small(batches):
         for text in batch.column("text").to_pylist():
@@ -186,11 +191,12 @@ def _trained(batches: Iterator[pa.RecordBatch], state: list[np.ndarray], noise:
         pending = 0
 
     for batch in batches:
-        codes.append(np.asarray(batch.column("code")))
-        weights.append(np.asarray(batch.column("weight")))
-        pending, tokens = pending + len(codes[-1]), tokens + int(weights[-1].sum())
-        if pending > 4 * GATHER:
-            learn()
+        for code, weight in zip(batch.column("code"), batch.column("weight"), strict=True):
+            codes.append(np.cumsum(np.frombuffer(code.as_py(), "<i8")))
+            weights.append(np.frombuffer(weight.as_py(), "<i8"))
+            pending, tokens = pending + len(codes[-1]), tokens + int(weights[-1].sum())
+            if pending > 4 * GATHER:
+                learn()
     if pending:
         learn()
     if tokens:
@@ -206,7 +212,7 @@ def _mean(rows: pd.DataFrame) -> pd.DataFrame:
 
 def fit(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarray]:
     """The parameters after some rounds of training in every task and averaging, 64 tasks' at a time until few are left."""
-    triples = written(texts.mapInArrow(partial(_triples, v=v), "code long, weight long"), "triples")
+    triples = written(texts.mapInArrow(partial(_triples, v=v), "code binary, weight binary"), "triples")
     state = start(v)
     ends = np.cumsum([x.size for x in state])
     for k in range(rounds):
