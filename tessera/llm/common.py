@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,17 @@ def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, BATCH_ROWS)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most BATCH_ROWS rows and most_bytes of a binary column; a longer value is alone."""
+    for batch in small(batches):
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), dtype=np.int64)
+        k = 0
+        while k < len(ends):
+            upto = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most_bytes, "right")))
+            yield batch.slice(k, upto - k)
+            k = upto
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else one set by SparkContext.setCheckpointDir.
 
