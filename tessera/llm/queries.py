@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, exact_dedup, language_id, language_model, licenses, minhash, mixing, packing, periodic, quality, toxicity
+from tessera.llm import embedding_dedup, exact_dedup, language_id, language_model, licenses, minhash, mixing, packing, periodic, quality, suffix_dedup, toxicity
 from tessera.llm.common import remainder, table
 
 
@@ -72,6 +72,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
