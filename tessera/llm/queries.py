@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, exact_dedup, language_id, language_model, licenses, minhash, mixing, packing, periodic, quality, suffix_dedup, toxicity
-from tessera.llm.common import remainder, table
+from tessera.llm import embedding_dedup, exact_dedup, language_id, language_model, licenses, minhash, mixing, packing, periodic, prefix_trie, quality, suffix_dedup, toxicity
+from tessera.llm.common import remainder, table, written
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,23 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Digested turns of the conversations, each with up to three first turns of one of twenty, by crc32 of the id; all ids."""
+    turns = prefix_trie.digested(conversations)
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "digest"))
+    turns = written(turns.withColumn("turn", place), "placed")
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    ids = turns.filter("turn = 1").select("conv_id")
+    heads = turns.filter("turn <= 3 AND conv_id % 20 = 0").withColumnRenamed("conv_id", "head")
+    given = ids.withColumn("head", F.expr("conv_id - conv_id % 20")).join(heads, "head").filter(F.col("turn") <= h)
+    return turns.filter(F.col("turn") > h).unionByName(given.drop("head")), ids
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trie.trie(*rebuilt(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
