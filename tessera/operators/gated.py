@@ -83,6 +83,27 @@ def pi_control(df: DataFrame, target: float, hysteresis: float, limit: float, kp
     return ordered_fold(df, step, "user_id", ["ts", "event_id"], ["event_id", "value"], "event_id long, integral double, duty int")
 
 
+def _control_state(state: tuple | None, event_id: int, value: float | None, **settings: float) -> tuple:
+    integral, found = _control(state[0] if state else None, event_id, value, **settings)
+    return (integral,), found
+
+
+def _control_map(_event, value: float | None, target: float, hysteresis: float, limit: float, gain: float, most_integral: float) -> tuple:
+    if value is None or target + hysteresis <= value < limit:
+        return 0.0, -math.inf, math.inf
+    return (0.0, 0.0, 0.0) if value >= target + hysteresis else ((target - value) * gain, 0.0, most_integral)
+
+
+def hot_pi_control(df: DataFrame, target: float, hysteresis: float, limit: float, kp: float, ki: float, period_s: float, most_integral: float, most_duty: float, parts: int | None = None) -> DataFrame:
+    """W6 as pi_control() gives it, but for the rounding of sums, where a device may have any share of the readings."""
+    from tessera.operators.blocked import blocked_fold, clamped_shifts
+
+    own = {"target": target, "hysteresis": hysteresis, "limit": limit, "gain": ki * period_s, "most_integral": most_integral}
+    step = partial(_control_state, kp=kp, most_duty=most_duty, **own)
+    maps = clamped_shifts(partial(_control_map, **own))
+    return blocked_fold(df, step, maps, "user_id", ["ts", "event_id"], ["event_id", "value"], "event_id long, integral double, duty int", parts)
+
+
 def _ou(state: tuple[int, float] | None, noise: float | None, mean: float, keep: float, spread: float, low: float, high: float) -> tuple:
     k, x = state or (0, mean)
     x = mean + (x - mean) * keep + (noise or 0.0) * spread

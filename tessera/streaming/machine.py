@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.blocked import blocked_fold, transition_functions
 from tessera.operators.gated import ordered_fold
 from tessera.sources import golden
 
@@ -35,6 +36,19 @@ def transitions(signals: DataFrame) -> DataFrame:
     return rows.filter("from_state != to_state").withColumn("ts", F.timestamp_micros("ts"))
 
 
+def _next(now: str, signal: str | None) -> tuple[str, int]:
+    return _NEXT.get((now, signal), (now, 0))
+
+
+def hot_transitions(signals: DataFrame, parts: int | None = None) -> DataFrame:
+    """T1, T18 as transitions() gives them, where a device may have any share of the signals."""
+    states = sorted({s for s, *_ in golden.TRANSITIONS} | {to for _, _, to, _ in golden.TRANSITIONS})
+    maps = transition_functions(states, "BOOT", _next, "PREWARM")
+    out = OUT.removeprefix("user_id long, ").replace("ts timestamp", "ts long")
+    rows = blocked_fold(signals, _fold, maps, "user_id", ["ts", "event_id"], ["event_id", "ts", "signal"], out, parts)
+    return rows.filter("from_state != to_state").withColumn("ts", F.timestamp_micros("ts"))
+
+
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     now, fault = state.get if state.exists else ("BOOT", 0)
     rows, out = pd.concat(list(batches)).sort_values(["ts", "event_id"]), []
