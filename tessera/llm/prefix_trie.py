@@ -183,7 +183,8 @@ def trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     same = [F.first(c).alias(c) for c in ("parent", "anchor", "depth", "words")]
     nodes = written(steps.groupBy("path").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), *same), "nodes")
     turnless = ids.join(steps.filter("depth = 1").select("conv_id"), "conv_id", "left_anti")
-    of_root = F.lit(ROOT).alias("path")
+    # the root's path, empty, from a column: a join on a constant would have no key
+    of_root = F.substring(F.col("conv_id").cast("string"), 1, 0).cast("binary").alias("path")
     ends = ends_digests(steps.filter("ends").select("path", "conv_id").unionByName(turnless.select(of_root, "conv_id")))
 
     shelves = 1 + nodes.count() // SHELF

@@ -27,6 +27,8 @@ from tessera.llm.common import mix64, portions, small, written
 GRAM, CHUNK, PIECE = 96, 1 << 20, 2048
 #: Bytes of pieces of a key that one task sorts: with more, starts are dealt out one by one. Bytes that are sorted together.
 HOT, SORTED = 1 << 20, 1 << 19
+#: Parts that the places of one string are dealt out in.
+SALTS = 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -256,8 +258,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     strings = windows.filter("prints IS NOT NULL").select("k1", "k2", "key", "start", "alone", F.posexplode("prints").alias("at", "print"))
     strings = strings.select("k1", "k2", "key", "alone", (F.col("start") + F.col("at")).alias("start"), "print")
     place = F.struct("k1", "k2", "start")
-    often = strings.groupBy("key", "print").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("key", "print")
-    dealt = strings.filter("alone").join(often, ["key", "print"], "left_semi").select("k1", "k2", "start", F.lit(1).cast("long").alias("n"))
+    # a string may be at very many places: each of some parts of them learns by one row whether there is another
+    strings = strings.withColumn("salt", F.pmod(F.xxhash64("k1", "k2", "start"), F.lit(SALTS)).cast("int"))
+    parts = strings.groupBy("key", "print", "salt").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    often = parts.groupBy("key", "print").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a < b").select("key", "print")
+    often = parts.join(often, ["key", "print"], "left_semi").select("key", "print", "salt")
+    dealt = strings.filter("alone").join(often, ["key", "print", "salt"], "left_semi").select("k1", "k2", "start", F.lit(1).cast("long").alias("n"))
     found = found.unionByName(dealt).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
     some = texts.filter("asked IS NOT NULL").join(found, ["k1", "k2"], "left")
     some = some.select("id", "text", F.when(F.col("parts").isNull(), F.col("whole")).otherwise(F.concat("whole", "parts")).alias("stretches"))
