@@ -195,3 +195,33 @@ def test_tables_grow_with_a_part_and_miss_few(spark):
         missed = ~(made.parts(x[1500:]) == made.parts(turned[1500:])).any(1)
         assert made.tables >= before and missed.mean() <= 0.01
         before = made.tables
+
+
+def test_rotations_codes_and_tables_are_used_at_the_smallest_size(spark, sf, monkeypatch):
+    """Parts of four bits at least, learnt rotations, a Hamming radius under that of all pairs, and few groups to compare."""
+    made = []
+    monkeypatch.setattr(embedding_dedup, "index", lambda *a, f=embedding_dedup.index: made.append(f(*a)) or made[-1])
+    embedding_dedup.near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")).count()
+    assert made[0].width >= 4 and made[0].rotations and made[0].tables > 1 and made[0].near < 24
+
+
+def test_codes_tell_vectors_apart_and_keep_turned_ones():
+    """Misses are counted on vectors that nothing was learnt from: those of the index and fresh ones agree."""
+    rng = np.random.default_rng(6)
+    x = embedding_dedup.unit(rng.normal(size=(4000, 64)))
+    made = embedding_dedup.index(x[:2000], 0.98, 6)
+    other = embedding_dedup.turned(x[2000:], 0.98, rng)
+    apart = np.bitwise_count(made.codes(x[2000:]) ^ made.codes(other))
+    in_none = ~(made.parts(x[2000:]) == made.parts(other)).any(1)
+    assert (apart > made.near).mean() <= 0.003 and in_none.mean() <= 0.003
+    assert (np.bitwise_count(made.codes(x[:1000]) ^ made.codes(x[1000:2000])) <= made.near).mean() < 0.001
+
+
+def test_large_buckets_and_groups_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CODES", 40)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 30)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=64)
+    rows = [(k, [float(np.float32(v)) for v in base + 0.1 * rng.normal(size=64)], 1) for k in range(150)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sum(r.n_links for r in got) == 2 * len(links_of(rows)) > 0
