@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,8 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a Python stage handles at a time: texts may be long, so few of them are Python objects at once.
 BATCH_ROWS = 512
-#: The folder below the shared one that written() uses, as workspace() sets it.
-_AT: list[str] = []
+#: The folders below the shared one that written() uses, as workspace() sets them: each thread of the driver has its own.
+_AT: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("tessera_workspace", default=())
 
 
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +71,7 @@ def written(df: DataFrame, name: str, above: bool = False) -> DataFrame:
     above: outside the innermost workspace().
     """
     spark = df.sparkSession
-    path = "/".join([shared_folder(spark), "tessera", *(_AT[:-1] if above else _AT), f"{name}-{uuid.uuid4().hex}"])
+    path = "/".join([shared_folder(spark), "tessera", *(_AT.get()[:-1] if above else _AT.get()), f"{name}-{uuid.uuid4().hex}"])
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     again = spark.read.schema(df.schema).parquet(path)
@@ -81,18 +82,17 @@ def written(df: DataFrame, name: str, above: bool = False) -> DataFrame:
 @contextlib.contextmanager
 def workspace(spark: SparkSession) -> Iterator[None]:
     """What is written within, by the driver's thread, is deleted at the end, whatever that is."""
-    _AT.append(uuid.uuid4().hex)
-    path = "/".join([shared_folder(spark), "tessera", *_AT])
+    token = _AT.set((*_AT.get(), uuid.uuid4().hex))
+    path = "/".join([shared_folder(spark), "tessera", *_AT.get()])
     try:
         yield
     finally:
-        _AT.pop()
+        _AT.reset(token)
         _delete(spark, path)
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """The written result of make(), without the tables that it took to make it."""
-    outside = list(_AT)
     with workspace(spark):
         return written(make(), name, above=True)
 
@@ -107,6 +107,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name, beginning with `name`, that none of the columns has, however Spark treats case."""
+    return name + "_" * max(map(len, columns), default=0)
+
+
 def lowered(text: Column) -> Column:
     """A null is an empty text; only A-Z are lower-cased."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lowered, small, written
+from tessera.llm.common import lowered, named, small, unused, written
 
 #: Leading bytes of a text by which the ranges are cut first.
 HEAD_BYTES = 48
@@ -81,7 +81,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count as rows of the group and say the same of it. An empty table gives an empty result; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), lowered(F.col(text_col)).cast("binary").alias("norm"))
+    rows = docs.select(named(id_col).alias("doc_id"), lowered(named(text_col)).cast("binary").alias("norm"))
     rows = rows.withColumns({"head": F.substring("norm", 1, HEAD_BYTES), "hash": F.xxhash64("norm"), "salt": F.xxhash64("doc_id")})
     placed = rows.repartitionByRange("head", "hash", "salt").sortWithinPartitions("head", "hash", "norm", F.desc_nulls_last("doc_id"))
     runs = placed.select("doc_id", "norm", "hash").mapInArrow(_runs, f"doc_id {kind}, keep_id {kind}, group_size long, text_sha256 string, place long, norm binary")
@@ -101,11 +101,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The row with the largest id stays, a null id being the smallest; of several such rows, one. A null text is an empty
     one. Columns may have any names; an empty table gives an empty result. Each row's number is written once, with the row.
     """
-    row = "_row" + "_" * max(map(len, docs.columns))  # no column of docs has this name
+    row = unused(docs.columns, "_row")
     keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = exact_groups(keyed.select(F.struct(F.col(id_col), F.col(row).alias("row")).alias("doc_id"), F.col(text_col).alias("text")))
+    groups = exact_groups(keyed.select(F.struct(named(id_col).alias("id"), F.col(row).alias("row")).alias("doc_id"), named(text_col).alias("text")))
     kept = groups.filter("kept").select(F.col("doc_id.row").alias(row))
-    return keyed.join(kept, row, "left_semi").select(*docs.columns)
+    return keyed.join(kept, row, "left_semi").select(*map(named, docs.columns))
 
 
 SQL_GROUPS = """

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Words, discard, mix64, small, written
+from tessera.llm.common import Words, discard, mix64, named, small, unused, written
 from tessera.llm.union_find import components
 
 #: A pair at the threshold of 0.8 shares none of 24 bands of 4 with a chance of (1 - 0.8 ** 4) ** 24, 3 in a million.
@@ -116,7 +116,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
     row without an id is linked with nothing and stays. Rows that repeat an id are one document, linked by any of their
     texts. Equal texts are linked through their class. An empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).cast("binary").alias("text"))
     signed = written(rows.mapInArrow(partial(_signed, size=size, bands=bands, band_rows=band_rows), "doc_id long, n_shingles long, print1 long, print2 long, bands array<long>"), "signed")
     same = ["n_shingles", "print1", "print2"]
     classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"))
@@ -194,10 +194,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     larger than any other. Of several rows with the smallest id, one stays. A text without words is in no group and
     stays. Columns may have any names; an empty table gives an empty result. Each row's number is written once, with the row.
     """
-    row = "_row" + "_" * max(map(len, docs.columns))  # no column of docs has this name
+    row = unused(docs.columns, "_row")
     keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    texts = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = keyed.select(F.col(row).alias("row"), named(id_col).cast("long").alias("id"), named(text_col).alias("text"))
     groups = near_groups(texts, id_col="row", text_col="text", **settings).select(F.col("doc_id").alias("row"), "component_id")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     kept = groups.join(texts.drop("text"), "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(row))
-    return keyed.join(kept, row, "left_semi").select(*docs.columns)
+    return keyed.join(kept, row, "left_semi").select(*map(named, docs.columns))

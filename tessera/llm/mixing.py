@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, written
+from tessera.llm.common import WORD, named, unused, written
 
 #: The hash has LEVELS digits of BITS bits: a boundary bucket of the last level holds one in 2**48 documents.
 BITS, LEVELS = 12, 4
@@ -47,12 +47,12 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, mos
 
 
 def _hash(id_col: str) -> Column:
-    digits = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, BITS * LEVELS // 4)
+    digits = F.substring(F.md5(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary")), 1, BITS * LEVELS // 4)
     return F.conv(digits, 16, 10).cast("long")
 
 
 def _key(source_col: str) -> Column:
-    return F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
+    return F.coalesce(F.concat(F.lit("s"), named(source_col)), F.lit("n"))
 
 
 def thresholds(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -79,7 +79,7 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...], share: float, most: f
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _hash(id_col).alias("h"), _key(source_col).alias("source_key")), "sized")
+    return written(docs.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), n_words(named(text_col)).alias("size"), _hash(id_col).alias("h"), _key(source_col).alias("source_key")), "sized")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -89,21 +89,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     threshold once more, so that a source takes its target at most, and less than it by no more than the document at the
     boundary. The hash is md5 of the id: reruns agree. A null or blank text has size 0 and takes nothing; a null source is a
     source of its own, after the others; a null id hashes as the empty text; rows that repeat an id are taken alike. An
-    empty table gives an empty result; other columns are not read.
+    empty table gives an empty result; other columns are not read. most is a whole number, else a ValueError.
     """
+    _whole(most)
     sized = _sized(docs, id_col, text_col, source_col)
     out = sized.join(thresholds(sized, weights, share, most), "source_key")
     copies = F.least(F.col("whole") + (F.col("h") < F.col("low")).cast("long"), F.lit(int(most)))
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def _whole(most: float) -> None:
+    if most != int(most) or most < 1:
+        raise ValueError("most is a whole number of times, 1 at least: a document is taken whole or not at all")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, with all their columns, each as often as mix() takes it."""
+    """The rows of docs, with all their columns, each as often as mix() takes it. Columns may have any names."""
+    _whole(most)
     goal = thresholds(_sized(docs, id_col, text_col, source_col), weights, share, most)
-    goal = goal.select(*[F.col(c).alias(f"_mix_{c}") for c in ("source_key", "whole", "low")])
-    out = docs.join(goal, _key(source_col) == F.col("_mix_source_key"))
-    copies = F.least(F.col("_mix_whole") + (_hash(id_col) < F.col("_mix_low")).cast("long"), F.lit(int(most)))
-    return out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    own = {c: unused(docs.columns, f"_mix_{c}") for c in ("source_key", "whole", "low", "copy")}
+    goal = goal.select(*[F.col(c).alias(own[c]) for c in ("source_key", "whole", "low")])
+    out = docs.join(goal, _key(source_col) == F.col(own["source_key"]))
+    copies = F.least(F.col(own["whole"]) + (_hash(id_col) < F.col(own["low"])).cast("long"), F.lit(int(most)))
+    return out.withColumn(own["copy"], F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*map(named, docs.columns))
 
 
 SQL_MIX = """

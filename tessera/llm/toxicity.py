@@ -437,4 +437,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, he
     held = F.lit(False) if held_out is None else held_out
     known = docs.filter(~held).select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     model = fit(known, labels.select("doc_id", "toxic").filter(~held), **bounds)
-    return docs.mapInArrow(partial(_cleaned, model=model, threshold=threshold, text_at=docs.columns.index("text")), docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # mapInArrow can't quote every name
+    kept = plain.mapInArrow(partial(_cleaned, model=model, threshold=threshold, text_at=docs.columns.index("text")), plain.schema)
+    return kept.toDF(*docs.columns)

@@ -9,8 +9,8 @@ from tests.llm import brute
 
 def test_names_and_sql():
     names = entry.queries()
-    assert {n for n in names if n.startswith("op")} == set(queries.queries()) and len(queries.queries()) == 10 and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert {n for n in names if n.startswith("op")} == set(queries.queries()) and len(queries.queries()) == 13 and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "minhash", "mixing", "packing"]
 
 
@@ -54,3 +54,43 @@ def test_stages_of_odd_rows(spark, sf, tmp_path):
     nothing = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, sf).count() == 0
+
+
+def test_columns_of_any_name_keep_their_values(spark, tmp_path, sf):
+    """Through run's stages: dots, quotes and names that operators use themselves."""
+    odd = {"a.b": 3, "_mix_copy": 7, "_mix_low": 8, "_mix_whole": 9, "_mix_source_key": 10, "_row": 11, "norm": 12, "q`t": 13, "copies": 14, "row": 15}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    for c, v in odd.items():
+        docs = docs.withColumn(c, F.lit(v) + F.col("doc_id"))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == names, name
+        rows = docs.collect()
+        assert rows and all(r[names.index(c)] == v + r["doc_id"] for r in rows for c, v in odd.items()), name
+    assert corpus_pipeline.pack_sequences(spark, docs, sf).count() > 0
+
+
+def test_a_fraction_of_times_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    for most in (1.5, 0):
+        for f in (mixing.mix, mixing.mixed):
+            try:
+                f(docs, most=most)
+            except ValueError:
+                continue
+            raise AssertionError(most)
+
+
+def test_workspaces_of_threads_are_their_own(spark):
+    """What another thread writes while a workspace is open here stays when it is closed."""
+    import threading
+
+    from tessera.llm.common import workspace, written
+
+    made = []
+    with workspace(spark):
+        other = threading.Thread(target=lambda: made.append(written(spark.range(5).toDF("x"), "t")))
+        other.start()
+        other.join()
+    assert made[0].count() == 5
