@@ -35,7 +35,8 @@ EVIDENCE = 11.5
 CACHE, PART = 250_000, 8192
 #: A text's share of the evidence, in whole numbers, so that sums don't depend on their order; near copies divide it.
 SHARE = 1 << 20
-#: Similarities (of strings with landmarks) in memory at a time in a task, and at most those the machine learns from.
+#: Similarities (of strings with landmarks) in memory at a time in a task, and at most those the machine learns from:
+#: where there would be more, from the words that are most like a landmark.
 CELLS, MOST_CELLS = 1 << 21, 1 << 24
 #: The most letters in landmarks for which their subsequences are looked up in a table of all.
 DENSE = 128
@@ -339,8 +340,12 @@ def _taught(landmarks: list[str], words: list[tuple[str, float, float]]) -> tupl
     """
     kernel = Kernel(landmarks)
     forms = [(k, s[:i] + "\0" + s[i:]) for k, s in enumerate(landmarks) for i in range(1, len(s) + 1)]
-    if (cells := (len(words) + len(forms)) * len(landmarks)) > MOST_CELLS:
-        raise ValueError(f"{len(words)} words and {len(forms)} examples with {len(landmarks)} landmarks: {cells} similarities, more than {MOST_CELLS}")
+    room = max(1, MOST_CELLS // len(landmarks) - len(forms))
+    if len(words) > room:
+        like = np.zeros(len(words))
+        for which, rows in kernel.parts([w for w, _, _ in words]):
+            like[which] = rows.max(1)
+        words = [words[k] for k in sorted(np.argsort(-like, kind="stable")[:room])]
     which, rows = kernel([w for w, _, _ in words])
     toxic, clean = (np.array([words[k][c] for k in which], float) for c in (1, 2))
     holds = rows.max(1, initial=0) >= HOLDS**DEGREE
@@ -366,8 +371,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean:
     the driver (words similar to a landmark, with counts). All of those are learnt from, near copies with a share of one
     text's weight each; the same rows give the same model, to the last bit. A document with several labels is toxic if one
     says so; null labels and ids are left out. Without any toxic or any clean row, or any string that sets them apart,
-    every text gets the same score. Every string with the evidence is a landmark or covered by one; more than
-    most_landmarks, or 20 times as many candidates, which the driver's memory is laid out for, raise a ValueError.
+    every text gets the same score. Every string with the evidence is a landmark or covered by one, up to most_landmarks
+    of them, the clearest first, from 20 times as many candidates; beyond MOST_CELLS similarities the machine learns from
+    the words that are most like a landmark. Strings that fewer labelled texts show than EVIDENCE asks for aren't known.
     """
     own = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
@@ -391,10 +397,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean:
     p, total = n_toxic / (n_toxic + n_clean), F.col("toxic") + F.col("clean")
     nats = F.col("toxic") * F.log(F.col("toxic") / (total * p)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (total * (1 - p)))).otherwise(0.0)
     apart = counts.filter((F.col("toxic") > 0) & (F.col("toxic") / n_toxic > 30 * (F.col("clean") + 0.5) / (n_clean + 1)) & (nats >= EVIDENCE))
-    best = apart.limit(20 * most_landmarks + 1).collect()
-    if len(best) > 20 * most_landmarks:
-        raise ValueError(f"more than {20 * most_landmarks} strings set toxic texts apart: raise most_landmarks")
-    landmarks = choose_landmarks([tuple(r) for r in best], n_toxic, n_clean, most_landmarks)
+    best = apart.orderBy(F.col("clean") * 40 - F.col("toxic"), -F.length("string"), "string").limit(20 * most_landmarks).collect()
+    landmarks = choose_landmarks([tuple(r) for r in best], n_toxic, n_clean, len(best))[:most_landmarks]
     if not landmarks:
         return constant
     # sorted: sums over them are then the same again

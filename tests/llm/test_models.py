@@ -92,6 +92,17 @@ def test_toxicity_knows_every_stem_that_the_labels_show(spark):
         toxicity.choose_landmarks(counts, 1800, 1800, 89)
 
 
+def test_more_insults_than_landmarks_are_no_error(spark, monkeypatch):
+    """The clearest are known, also where the machine can't learn from all words."""
+    monkeypatch.setattr(toxicity, "MOST_CELLS", 2000)
+    rng = random.Random(6)
+    stems = sorted({"".join(rng.choices("bdfghjkpqvwxz", k=7)) for _ in range(40)})
+    docs = [(k, sentences(rng, 2) + (f" {stems[k // 2 % 40]}" if k % 2 else "")) for k in range(1600)]
+    lab = spark.createDataFrame([(k, k % 2) for k, _ in docs], "doc_id long, toxic int")
+    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), lab, most_landmarks=15).collect()
+    assert sum(r.predicted for r in got if r.doc_id % 2) >= 300 and not sum(r.predicted for r in got if r.doc_id % 2 == 0)
+
+
 def test_toxicity_without_labels_of_a_kind(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     lab = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
