@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-#: Bytes, as Spark estimates them, of a table that is broadcast.
-MOST_BROADCAST = 10 << 20
+#: Rows and bytes of a table that every task is given.
+MOST_INTERVALS, MOST_BROADCAST = 200_000, 10 << 20
 
 
 def _w(key: str, order: list[str]) -> Window:
@@ -94,18 +97,35 @@ def first_fault(df: DataFrame, code: Column, key: str, order: list[str]) -> Data
     return rows.groupBy(key).agg(F.min_by("fault", F.struct(*order)).alias("fault"), F.min(F.struct(*order)).alias("at"), F.count("*").alias("faults"))
 
 
+def _searched(table: pa.Table, kind: DataType, value: Column) -> Column:
+    """The _out of the interval (_v, _high] of a small table that holds a value: the last one that begins below it."""
+    held = table.combine_chunks().sort_by("_v")
+    low, high = (held.column(c).to_numpy() for c in ("_v", "_high"))
+    outs = held.column("_out").combine_chunks()
+
+    def search(values: pa.Array) -> pa.Array:
+        v = values.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(low, v, "left") - 1
+        found = (at >= 0) & ~np.isnan(v)
+        found[found] = v[found] <= high[at[found]]
+        return outs.take(pa.array(np.where(found, at, 0), mask=~found)) if len(outs) else pa.nulls(len(v), outs.type)
+
+    return F.arrow_udf(search, kind)(value)
+
+
 def range_lookup(df: DataFrame, value: Column, table: DataFrame, low: str, high: str, out: str) -> DataFrame:
     """Joins the interval (low, high] of a table that holds the value, else nulls; intervals don't overlap.
 
-    A table within Spark's own limit for a broadcast is joined as it is. Any other is an as-of search by the intervals'
+    A table of MOST_INTERVALS rows and MOST_BROADCAST bytes at most, which is read to find out, goes to every task, sorted,
+    and is searched by bisection, a batch of values at a time. Any other is an as-of search by the intervals'
     beginnings: values and intervals are dealt out by range of the beginnings, each value takes the last before it, and
     what a range has open at its start is told to it by a row for each range. A null value, or an interval with a null
     end, meets nothing.
     """
     t = table.select(F.col(low).cast("double").alias("_v"), F.col(high).cast("double").alias("_high"), F.col(out).alias("_out")).filter("_v < _high")
-    if int(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= MOST_BROADCAST:
-        v = df.withColumn("_at", value)
-        return v.join(F.broadcast(t), (F.col("_at") > F.col("_v")) & (F.col("_at") <= F.col("_high")), "left").withColumnRenamed("_out", out).drop("_v", "_high", "_at")
+    held = t.limit(MOST_INTERVALS + 1).toArrow()
+    if held.num_rows <= MOST_INTERVALS and held.nbytes <= MOST_BROADCAST:
+        return df.withColumn(out, _searched(held, t.schema["_out"].dataType, value.cast("double")))
     values = df.select(F.struct("*").alias("_row"), value.cast("double").alias("_v"), F.lit(0).alias("_kind"))
     both = values.unionByName(t.select("_v", F.lit(1).alias("_kind"), F.struct("_v", "_high", "_out").alias("_begun")), allowMissingColumns=True)
     splits = sorted(set(t.approxQuantile("_v", [k / 256 for k in range(1, 256)], 0.001)))

@@ -85,7 +85,7 @@ def planning_rules(spark, sf_dir):
 SELECT user_id, count(*) FILTER (abs(value - 50) > 30) AS misses, CASE WHEN count(*) FILTER (abs(value - 50) > 30) = 0 THEN 'ok' WHEN count(*) FILTER (abs(value - 50) > 30) = 1 THEN 'retry' ELSE 'fault' END AS verdict,
   round(max(abs(value - 50)), 6) AS worst FROM events GROUP BY 1""")
 def integrity_visits(spark, sf_dir):
-    """All visits' errors by device, and a verdict by how many missed."""
+    """All visits' errors by device, and a verdict by how many missed; integrity_retries is T12 and T13."""
     rows = events(spark, sf_dir).select("user_id", F.abs(F.col("value") - 50).alias("err"))
     misses = F.count_if(F.col("err") > 30)
     return rows.groupBy("user_id").agg(misses.alias("misses"), F.when(misses == 0, "ok").when(misses == 1, "retry").otherwise("fault").alias("verdict"), F.round(F.max("err"), 6).alias("worst"))

@@ -20,13 +20,13 @@ def query(sql: str | None = None) -> Callable:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; times without a zone are those of UTC, whatever the session's zone is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     ntz = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
+    return df.withColumns({c: F.concat(F.col(c).cast("string"), F.lit("Z")).cast("timestamp") for c in ntz}) if ntz else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return table(spark, sf_dir, "events")
 
 
