@@ -1,35 +1,38 @@
-"""The device's state machine on a stream, in order of event time, with state that expires."""
+"""Folds on a stream, in order of event time, with state that expires: the device's state machine, triggers and gates."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.operators.gated import gate
 from tessera.streaming.machine import OUT, advance
 
-COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 #: Rows that are taken from or put into the state at a time.
 ROWS = 4096
 
 
-class DeviceMachine(StatefulProcessor):
-    """Signals wait in a list until the watermark has passed them; then they are taken in order of (ts, event_id).
+class InOrder(StatefulProcessor):
+    """A fold over each key's rows in order of event time: step(state, *values) -> (state, results or None).
 
-    A timer stands at the first signal that waits; it is the only work of a batch that has no signal of the device. When
-    none waits, it stands where the device counts as idle: its state goes then, and a later signal finds it in BOOT.
+    Rows wait in a list until the watermark has passed them; then they are taken in order of (ts, event_id). A timer stands
+    at the first row that waits; it is the only work of a batch that has no row of the key. When none waits, it stands where
+    the key counts as idle: its state goes then, and a later row begins with state None.
     """
 
-    def __init__(self, idle_ms: int) -> None:
-        self.idle_ms = idle_ms
+    def __init__(self, step: Callable, state: str, columns: list[str], kinds: list[str], out: list[str], idle_ms: int) -> None:
+        self.step, self.state, self.columns, self.out, self.idle_ms = step, state, columns, out, idle_ms
+        self.row = ", ".join(["us long", "event_id long", *(f"v{k} {kind}" for k, kind in enumerate(kinds))])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "state string, fault int, last long")
+        self.now = handle.getValueState("now", f"last long, {self.state}")
         self.timer = handle.getValueState("timer", "at long")
-        self.waiting = handle.getListState("waiting", "us long, event_id long, signal string")
+        self.waiting = handle.getListState("waiting", self.row)
 
     def _stand(self, at: int) -> None:
         """Sets the timer, to the earlier of two."""
@@ -50,12 +53,13 @@ class DeviceMachine(StatefulProcessor):
             if part.empty:
                 continue
             first = int(us.min()) if first is None else min(first, int(us.min()))
-            for a in range(0, len(part), ROWS):
-                some = slice(a, a + ROWS)
-                self.waiting.appendList(list(zip(us[some].tolist(), part["event_id"][some].tolist(), [s if isinstance(s, str) else None for s in part["signal"][some]], strict=True)))
+            values = [[None if pd.isna(x) else x for x in part[c].tolist()] for c in self.columns]
+            made = list(zip(us.tolist(), part["event_id"].tolist(), *values, strict=True))
+            for a in range(0, len(made), ROWS):
+                self.waiting.appendList(made[a : a + ROWS])
         if first is not None:
             self._stand(max(first // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame(columns=COLUMNS)
+        yield pd.DataFrame(columns=self.out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.timer.clear()
@@ -63,22 +67,26 @@ class DeviceMachine(StatefulProcessor):
         ready, later = [], []
         for row in self.waiting.get():
             (ready if row[0] <= upto * 1000 else later).append(tuple(row))
-        state, fault, last = self.now.get() if self.now.exists() else ("BOOT", 0, None)
+        last, *state = self.now.get() if self.now.exists() else (None,)
+        state = tuple(state) if last is not None else None
         if not ready and not later and last is not None and last + self.idle_ms <= upto:
             self.now.clear()
             self.waiting.clear()
-            yield pd.DataFrame(columns=COLUMNS)
+            yield pd.DataFrame(columns=self.out)
             return
         out = []
-        for us, event_id, signal in sorted(ready, key=lambda r: r[:2]):
-            to, fault = ("BOOT", 0) if last is not None and us // 1000 > last + self.idle_ms else (state, fault)
-            state = to
-            to, fault = advance(state, fault, signal)
-            if to != state:
-                out.append((key[0], event_id, us, state, to, fault))
-            state, last = to, us // 1000
+        for us, event_id, *values in sorted(ready, key=lambda r: r[:2]):
+            if last is not None and us // 1000 > last + self.idle_ms:
+                state = None
+            state, found = self.step(state, event_id, us, *values)
+            last = us // 1000
+            if found is not None:
+                out.append((key[0], *found))
+            if len(out) == ROWS:
+                yield self._frame(out)
+                out = []
         if ready:
-            self.now.update((state, fault, last))
+            self.now.update((last, *state))
             self.waiting.clear()
             for a in range(0, len(later), ROWS):
                 self.waiting.appendList(later[a : a + ROWS])
@@ -86,22 +94,67 @@ class DeviceMachine(StatefulProcessor):
             self._stand(max(min(later)[0] // 1000 + 1, upto + 1))
         elif last is not None:
             self._stand(max(last + self.idle_ms, upto + 1))
-        found = pd.DataFrame(out, columns=COLUMNS)
-        yield found.assign(ts=pd.to_datetime(found["ts"], unit="us"))
+        yield self._frame(out)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        found = pd.DataFrame(rows, columns=self.out)
+        return found.assign(ts=pd.to_datetime(found["ts"], unit="us")) if "ts" in self.out else found
 
     def close(self) -> None:
         pass
 
 
+def fold_in_order(rows: DataFrame, step: Callable, state: str, key: str, columns: list[str], out: str, late: str, idle_ms: int) -> DataFrame:
+    """A fold over a stream of rows (key, event_id, ts, columns), whatever files or batches they come in.
+
+    step(state, event_id, microseconds, *columns) -> (state, values of the out columns or None); a state is a tuple of the
+    schema `state`, None at a key's first row. Rows later than `late` behind the newest are dropped; a row counts when the
+    watermark has passed it, so the last ones of a stream wait for newer ones of any key. A key that is silent for more
+    than idle_ms begins anew, and its state goes. Nulls are None, rows without ts are dropped, a null key is a key. State per
+    key: one row, one timer, and the rows that wait. Needs RocksDB as the state store
+    (spark.sql.streaming.stateStore.providerClass).
+    """
+    kinds = dict(rows.dtypes)
+    placed = rows.select(key, "event_id", "ts", *columns).filter("ts IS NOT NULL").withWatermark("ts", late)
+    schema = f"{key} {kinds[key]}, {out}"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return placed.groupBy(key).transformWithStateInPandas(InOrder(step, state, columns, [kinds[c] for c in columns], names, idle_ms), schema, "append", "eventTime")
+
+
+def _moved(state: tuple | None, event_id: int, us: int, signal: str | None) -> tuple:
+    now, fault = state or ("BOOT", 0)
+    to, fault = advance(now, fault, signal)
+    return (to, fault), (event_id, us, now, to, fault) if to != now else None
+
+
 def transitions_in_order(signals: DataFrame, late: str, idle_ms: int) -> DataFrame:
     """T1, T18 over a stream of signals (event_id, user_id, ts, signal), whatever files or batches they come in.
 
-    The transitions are those of machine.transitions() over all signals that are no later than `late` behind the newest;
-    later ones are dropped. A signal counts when the watermark has passed it, so the last ones of a stream wait for newer
-    ones of any device. A device that is silent for more than idle_ms has been turned off: its state goes, and its next
-    signal finds it in BOOT. A null signal changes nothing; rows without ts are dropped; a null device is a device. State
-    per device: one row, one timer, and the signals that wait. Needs RocksDB as the state store
-    (spark.sql.streaming.stateStore.providerClass).
+    The transitions are those of machine.transitions() over all signals that are no later than `late` behind the newest. A
+    device that is silent for more than idle_ms has been turned off: its next signal finds it in BOOT. A null signal
+    changes nothing. Lateness, waiting and state as fold_in_order() says.
     """
-    rows = signals.select("user_id", "event_id", "ts", "signal").filter("ts IS NOT NULL").withWatermark("ts", late)
-    return rows.groupBy("user_id").transformWithStateInPandas(DeviceMachine(idle_ms), OUT, "append", "eventTime")
+    out = OUT.removeprefix("user_id long, ")
+    return fold_in_order(signals, _moved, "state string, fault int", "user_id", ["signal"], out, late, idle_ms)
+
+
+def _hit(state: tuple | None, event_id: int, us: int, value: float | None, over: float, n: int) -> tuple:
+    run = (state[0] if state else 0) + 1 if value is not None and value > over else 0
+    return (run,), (event_id, value, run) if run >= n else None
+
+
+def consecutive_in_order(readings: DataFrame, over: float, n: int, late: str, idle_ms: int) -> DataFrame:
+    """W2, P3 over a stream of readings (event_id, user_id, ts, value): those at least the n-th in a row over a threshold."""
+    return fold_in_order(readings, partial(_hit, over=over, n=n), "run long", "user_id", ["value"], "event_id long, value double, run long", late, idle_ms)
+
+
+def _gated(state: tuple | None, event_id: int, us: int, value: float | None, **limits: float) -> tuple:
+    state, found = gate(state, us, value, **limits)
+    return state, (event_id, *found)
+
+
+def credibility_in_order(readings: DataFrame, low: float, high: float, most_rate: float, most_bad: int, late: str, idle_ms: int) -> DataFrame:
+    """P1 over a stream of readings: kept, bad and credible as gated.credibility() gives them."""
+    step = partial(_gated, low=low, high=high, most_rate=most_rate, most_bad=most_bad)
+    out = "event_id long, kept double, bad int, credible boolean"
+    return fold_in_order(readings, step, "seen long, kept double, bad int", "user_id", ["value"], out, late, idle_ms)

@@ -99,6 +99,32 @@ def test_idle_state_goes_and_late_rows_are_dropped(rocks, tmp_path):
     assert states[-1]["customMetrics"].get("numValueStateVars", 0) >= 0 and states[-1]["numRowsTotal"] <= 4
 
 
+def test_folds_in_order_of_one_key_and_a_large_batch(rocks, tmp_path):
+    """All rows of one device in shuffled files, one of them large, and a restart: what the batch operators give."""
+    from tessera.operators import gated, sequence
+
+    spark, rng = rocks, random.Random(8)
+    day = datetime.datetime(2024, 1, 1)
+    schema = "event_id long, user_id long, ts timestamp, value double"
+    rows = [(k, 1, day + datetime.timedelta(seconds=k // 2), rng.choice([None, *(rng.uniform(0, 100) for _ in range(9))])) for k in range(14_000)]
+    want = spark.createDataFrame(rows, schema)
+    shuffled = rng.sample(rows, len(rows))
+    for name, make, batch, key in (
+        ("gate", lambda s: device.credibility_in_order(s, 2.0, 98.0, 30.0, 3, "1 day", 10**15), gated.credibility(want, 2.0, 98.0, 30.0, 3), ["event_id", "kept", "bad", "credible"]),
+        ("runs", lambda s: device.consecutive_in_order(s, 60.0, 3, "1 day", 10**15), sequence.consecutive(want, F.col("value") > 60, 3, "user_id", ["ts", "event_id"]), ["event_id", "run"]),
+    ):
+        folder = tmp_path / name
+        folder.mkdir()
+        path = write_parts(spark, [spark.createDataFrame(r, schema) for r in (shuffled[:12_000], shuffled[12_000:])], folder)
+        go = lambda make=make, path=path, folder=folder: drain(make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)), str(folder / "out"), str(folder / "check"))
+        go()
+        spark.createDataFrame([(10**9, 2, FAR, 1.0)], schema).coalesce(1).write.parquet(str(folder / "more"))
+        os.rename(glob.glob(str(folder / "more/*.parquet"))[0], f"{path}/part-9.parquet")
+        go()
+        got = spark.read.parquet(str(folder / "out"))
+        assert sorted(map(str, got.filter("user_id = 1").select(*key).collect())) == sorted(map(str, batch.select(*key).collect()))
+
+
 def tick_streams(spark, rows, folder):
     schema = "event_id long, user_id long, ts timestamp, event_type string, value double"
     path = write_parts(spark, [spark.createDataFrame(r, schema) for r in rows], folder)
