@@ -14,7 +14,7 @@ from functools import partial
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -154,6 +154,20 @@ def clamped_shifts(of: Callable[..., tuple[float, float, float]]) -> Maps:
     return Maps("shift double, low double, high double", (0.0, -inf, inf), of, then, apply, "x double")
 
 
+def _run_step(state: tuple | None, event_id: int, hit: bool | None) -> tuple:
+    run = (state[0] if state else 0) + 1 if hit else 0
+    return (run,), (event_id, run)
+
+
+def hot_runs(df: DataFrame, hit: Column, key: str, order: list[str], parts: int | None = None) -> DataFrame:
+    """event_id and run (how many rows in a row have had `hit`, 0 where this one hasn't), with any key spread over tasks."""
+    maps = Maps(
+        "begins boolean, n long", (False, 0), lambda _, hit: (False, 1) if hit else (True, 0),
+        lambda f, g: g if g[0] else (f[0], f[1] + g[1]), lambda f, state: (f[1] if f[0] or not state else state[0] + f[1],), "run long",
+    )
+    return blocked_fold(df.withColumn("hit", hit), _run_step, maps, key, order, ["event_id", "hit"], "event_id long, run long", parts)
+
+
 def affine(of: Callable[..., tuple[int, int]], prime: int) -> Maps:
     """States (x, n) of a number modulo prime and a count: a row makes them (a * x + b, n + 1), of(*values) -> (a, b)."""
     then = lambda f, g: (f[0] * g[0] % prime, (f[1] * g[0] + g[1]) % prime, f[2] + g[2])

@@ -27,6 +27,16 @@ def hot_state_machine(spark, sf_dir):
     return machine.hot_transitions(rows).select("event_id", "user_id", "from_state", "to_state", "fault")
 
 
+@query(f"""
+WITH h AS (SELECT event_id, value > 60 AS hit, row_number() OVER (ORDER BY ts, event_id) AS k FROM {ONE_DEVICE}),
+b AS (SELECT *, max(CASE WHEN NOT hit THEN k ELSE 0 END) OVER (ORDER BY k) AS reset FROM h)
+SELECT event_id, k - reset AS run FROM b WHERE k - reset >= 3""")
+def hot_consecutive(spark, sf_dir):
+    """W2, P3 with all readings those of one device: runs of three or more over the threshold."""
+    rows = events(spark, sf_dir).withColumn("user_id", F.lit(0).cast("long"))
+    return blocked.hot_runs(rows, F.col("value") > 60, "user_id", ORDER).filter("run >= 3").select("event_id", "run")
+
+
 @query("""
 WITH o AS (SELECT user_id, event_type, row_number() OVER w AS n, string_agg(event_type, ',') OVER w AS prefix FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.registry import QUERIES, events, query
 from tessera.plans.session_queries import _signals
-from tessera.sources import binary
+from tessera.sources import binary, records
 from tessera.sources.scratch import new_folder
 from tessera.streaming import device, pairs, sinks
 
@@ -79,6 +79,17 @@ def stream_rail_verdicts(spark, sf_dir):
     return both.select("user_id", F.floor(F.unix_micros("tick") / 3_600_000_000).cast("long").alias("tick"), verdict.alias("verdict"))
 
 
+@query("""
+WITH n AS (SELECT user_id, event_id, epoch_us(ts) AS us, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS after FROM events)
+SELECT user_id, event_id, us AS silent_since FROM n WHERE after IS NULL OR after > us + 172800000000""")
+def watchdog_silences(spark, sf_dir):
+    """T6 on a stream: devices that a timer finds silent for two days, the last time at the stream's end too."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type")
+    folder = staged(rows)
+    found = with_rocksdb(spark, lambda: result(device.watchdog(source(spark, folder, rows), 2 * 86_400_000, "1 hour")))
+    return found.filter(F.col("user_id") < 10**12)  # without the row that ends the stream
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     fault = F.when(F.col("event_type") == "error", F.col("event_id") % 17).otherwise(0)
     return rows.select(F.col("user_id").alias("device_id"), "event_id", F.col("ts").alias("at"), fault.cast("int").alias("fault"), (F.col("event_id") * 37 % 201 - 100).cast("int").alias("error"))
@@ -114,6 +125,23 @@ def session_lines(spark, sf_dir):
     return log.read().select("device_id", "event_id", F.unix_micros("at").alias("us"), "fault", "error")
 
 
+@query(f"""
+WITH {_LINES_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, error DESC) AS back FROM l),
+r AS (SELECT device_id, count(*) AS sessions, count(*) FILTER (fault <> 0) AS faults, arg_max(fault, ts) AS last_fault, string_agg(error, ',' ORDER BY back DESC) FILTER (back <= 5) AS errors FROM b GROUP BY device_id)
+SELECT device_id, device_id % 5 <> 0 AND device_id % 7 <> 0 AS valid, CASE WHEN device_id % 5 = 0 OR device_id % 7 = 0 THEN 0 ELSE sessions END::INT AS sessions,
+  CASE WHEN device_id % 5 = 0 OR device_id % 7 = 0 THEN 0 ELSE faults END::INT AS faults, CASE WHEN device_id % 5 = 0 OR device_id % 7 = 0 THEN 0 ELSE last_fault END::INT AS last_fault,
+  CASE WHEN device_id % 5 = 0 OR device_id % 7 = 0 THEN '' ELSE errors END AS errors FROM r""")
+def stored_records(spark, sf_dir):
+    """Records written with magic and checksum; of some a bit is changed, and those give way to the defaults."""
+    path, broken = new_folder(spark, "store"), new_folder(spark, "broken")
+    records.save_records(_lines(events(spark, sf_dir)), path)
+    rows = spark.read.schema(records.RECORD).parquet(path)
+    rows = rows.withColumn("checksum", F.when(F.col("device_id") % 5 == 0, F.col("checksum").bitwiseXOR(F.lit(4))).otherwise(F.col("checksum")))
+    rows.withColumn("magic", F.when(F.col("device_id") % 7 == 0, F.col("magic") + 1).otherwise(F.col("magic"))).write.parquet(broken)
+    back = records.load_records(spark, broken)
+    return back.select("device_id", "valid", "sessions", "faults", "last_fault", F.array_join(F.col("errors").cast("array<string>"), ",").alias("errors"))
+
+
 @query("SELECT event_id, user_id, epoch_us(ts) AS us, event_type, value, props FROM events")
 def binary_events(spark, sf_dir):
     """Readings as packed binary records with magic numbers and checksums, written and read back in ranges."""

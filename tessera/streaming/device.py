@@ -24,13 +24,13 @@ class InOrder(StatefulProcessor):
     the key counts as idle: its state goes then, and a later row begins with state None.
     """
 
-    def __init__(self, step: Callable, state: str, columns: list[str], kinds: list[str], out: list[str], idle_ms: int) -> None:
-        self.step, self.state, self.columns, self.out, self.idle_ms = step, state, columns, out, idle_ms
+    def __init__(self, step: Callable, state: str, columns: list[str], kinds: list[str], out: list[str], idle_ms: int, idle: Callable | None = None) -> None:
+        self.step, self.state, self.columns, self.out, self.idle_ms, self.idle = step, state, columns, out, idle_ms, idle
         self.row = ", ".join(["us long", "event_id long", *(f"v{k} {kind}" for k, kind in enumerate(kinds))])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", f"last long, {self.state}")
+        self.now = handle.getValueState("now", f"last_us long, {self.state}")
         self.timer = handle.getValueState("timer", "at long")
         self.waiting = handle.getListState("waiting", self.row)
 
@@ -69,31 +69,37 @@ class InOrder(StatefulProcessor):
             (ready if row[0] <= upto * 1000 else later).append(tuple(row))
         last, *state = self.now.get() if self.now.exists() else (None,)
         state = tuple(state) if last is not None else None
-        if not ready and not later and last is not None and last + self.idle_ms <= upto:
-            self.now.clear()
-            self.waiting.clear()
-            yield pd.DataFrame(columns=self.out)
-            return
-        out = []
+        limit, out = self.idle_ms * 1000, []
+
+        def fallen_idle() -> None:
+            if self.idle is not None and (found := self.idle(state, last)) is not None:
+                out.append((key[0], *found))
+
         for us, event_id, *values in sorted(ready, key=lambda r: r[:2]):
-            if last is not None and us // 1000 > last + self.idle_ms:
+            if last is not None and us > last + limit:
+                fallen_idle()
                 state = None
             state, found = self.step(state, event_id, us, *values)
-            last = us // 1000
+            last = us
             if found is not None:
                 out.append((key[0], *found))
             if len(out) == ROWS:
                 yield self._frame(out)
                 out = []
-        if ready:
-            self.now.update((last, *state))
+        if not later and last is not None and last + limit < upto * 1000:
+            fallen_idle()
+            self.now.clear()
             self.waiting.clear()
-            for a in range(0, len(later), ROWS):
-                self.waiting.appendList(later[a : a + ROWS])
-        if later:
-            self._stand(max(min(later)[0] // 1000 + 1, upto + 1))
-        elif last is not None:
-            self._stand(max(last + self.idle_ms, upto + 1))
+        else:
+            if ready:
+                self.now.update((last, *state))
+                self.waiting.clear()
+                for a in range(0, len(later), ROWS):
+                    self.waiting.appendList(later[a : a + ROWS])
+            if later:
+                self._stand(max(min(later)[0] // 1000 + 1, upto + 1))
+            elif last is not None:
+                self._stand(max((last + limit) // 1000 + 2, upto + 1))
         yield self._frame(out)
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
@@ -104,13 +110,13 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def fold_in_order(rows: DataFrame, step: Callable, state: str, key: str, columns: list[str], out: str, late: str, idle_ms: int) -> DataFrame:
+def fold_in_order(rows: DataFrame, step: Callable, state: str, key: str, columns: list[str], out: str, late: str, idle_ms: int, idle: Callable | None = None) -> DataFrame:
     """A fold over a stream of rows (key, event_id, ts, columns), whatever files or batches they come in.
 
     step(state, event_id, microseconds, *columns) -> (state, values of the out columns or None); a state is a tuple of the
     schema `state`, None at a key's first row. Rows later than `late` behind the newest are dropped; a row counts when the
     watermark has passed it, so the last ones of a stream wait for newer ones of any key. A key that is silent for more
-    than idle_ms begins anew, and its state goes. Nulls are None, rows without ts are dropped, a null key is a key. State per
+    than idle_ms begins anew, and its state goes; idle(state, last microsecond) may say so. Nulls are None, rows without ts are dropped, a null key is a key. State per
     key: one row, one timer, and the rows that wait. Needs RocksDB as the state store
     (spark.sql.streaming.stateStore.providerClass).
     """
@@ -118,7 +124,7 @@ def fold_in_order(rows: DataFrame, step: Callable, state: str, key: str, columns
     placed = rows.select(key, "event_id", "ts", *columns).filter("ts IS NOT NULL").withWatermark("ts", late)
     schema = f"{key} {kinds[key]}, {out}"
     names = [c.split()[0] for c in schema.split(", ")]
-    return placed.groupBy(key).transformWithStateInPandas(InOrder(step, state, columns, [kinds[c] for c in columns], names, idle_ms), schema, "append", "eventTime")
+    return placed.groupBy(key).transformWithStateInPandas(InOrder(step, state, columns, [kinds[c] for c in columns], names, idle_ms, idle), schema, "append", "eventTime")
 
 
 def _moved(state: tuple | None, event_id: int, us: int, signal: str | None) -> tuple:
@@ -158,3 +164,17 @@ def credibility_in_order(readings: DataFrame, low: float, high: float, most_rate
     step = partial(_gated, low=low, high=high, most_rate=most_rate, most_bad=most_bad)
     out = "event_id long, kept double, bad int, credible boolean"
     return fold_in_order(readings, step, "seen long, kept double, bad int", "user_id", ["value"], out, late, idle_ms)
+
+
+def _seen(state: tuple | None, event_id: int, us: int) -> tuple:
+    return (event_id,), None
+
+
+def _silent(state: tuple, last: int) -> tuple:
+    return state[0], last
+
+
+def watchdog(readings: DataFrame, ms: int, late: str) -> DataFrame:
+    """Each time that a device is silent for more than ms: its last event and when that was, told by a timer on the
+    watermark, or by the next event if that comes first."""
+    return fold_in_order(readings, _seen, "id long", "user_id", [], "event_id long, silent_since long", late, ms, _silent)
