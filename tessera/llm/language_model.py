@@ -32,7 +32,7 @@ WIDTH, NOISE, BATCH, ROUNDS, RATE = 24, 64, 2048, 3, 0.15
 #: Words with at least a HOT-th of all tokens are known to every task: HOT words at most. The others are joined by the word.
 HOT = 1_000_000
 #: Distinct words or symbol triples a task gathers before it hands them on or puts them together.
-GATHER = 600_000
+GATHER = 400_000
 #: Triples that are written as one row: as rows of their own they would cost Spark more than the training.
 PACKED = 100_000
 #: A task's parameters as a row.
@@ -185,9 +185,13 @@ def _trained(batches: Iterator[pa.RecordBatch], state: list[np.ndarray], noise:
     def learn() -> None:
         nonlocal pending
         code, weight = _together(codes, weights)
-        train(state, np.stack([code // (n * n), code // n % n, code % n], 1), weight, noise, seed * 1_000_003 + task)
-        codes.clear()
+        codes.clear()  # before what training takes itself
         weights.clear()
+        triples = np.empty((len(code), 3), np.int32)
+        for c, own in enumerate((code // (n * n), code // n % n, code % n)):
+            triples[:, c] = own
+        del code, own
+        train(state, triples, weight, noise, seed * 1_000_003 + task)
         pending = 0
 
     for batch in batches:
@@ -195,7 +199,7 @@ def _trained(batches: Iterator[pa.RecordBatch], state: list[np.ndarray], noise:
             codes.append(np.cumsum(np.frombuffer(code.as_py(), "<i8")))
             weights.append(np.frombuffer(weight.as_py(), "<i8"))
             pending, tokens = pending + len(codes[-1]), tokens + int(weights[-1].sum())
-            if pending > 4 * GATHER:
+            if pending > 2 * GATHER:
                 learn()
     if pending:
         learn()
