@@ -166,3 +166,15 @@ def test_order_is_kept_for_ties(spark):
     df = spark.createDataFrame(pdf).withColumn("ts", F.timestamp_seconds(F.lit(0)))
     a, b = (keyed(x, "event_id", "integral", "duty") for x in (gated.hot_pi_control(df, **CONTROL, parts=3), gated.pi_control(df, **CONTROL)))
     assert a == b and ORDER == ["ts", "event_id"]
+
+
+def test_hot_runs_equal_counting(spark, small_blocks):
+    rng = random.Random(11)
+    hits = [rng.choice([True, True, True, False, None]) for _ in range(600)]
+    df = spark.createDataFrame([(k, None, k // 2, h) for k, h in enumerate(hits)], "event_id long, user_id long, s long, hit boolean").withColumn("ts", F.timestamp_seconds("s"))
+    want, run = [], 0
+    for k, h in enumerate(hits):
+        run = run + 1 if h else 0
+        want.append((k, run))
+    got = blocked.hot_runs(df.drop("hit").join(df.select("event_id", "hit"), "event_id"), F.col("hit"), "user_id", ORDER, parts=7)
+    assert sorted((r["event_id"], r["run"]) for r in got.collect()) == want
