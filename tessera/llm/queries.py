@@ -95,9 +95,31 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+#: CRC-32 of a number's decimal text, bit by bit, modulo 4.
+_CRC4 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda z, i: xor(z >> 1, CASE WHEN z & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4"""
+SQL_TRIE = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+d AS (SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS digest, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words FROM c),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS k FROM d),
+i AS (SELECT conv_id, {_CRC4.format("conv_id")} AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT t.conv_id, k, digest, words FROM t JOIN i USING (conv_id) WHERE k > h
+  UNION ALL SELECT i.conv_id, k, digest, words FROM i JOIN t ON t.conv_id = i.conv_id - i.conv_id % 20 WHERE k <= h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, words, string_agg(digest, '') OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM i),
+n AS (SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS cost FROM p GROUP BY path),
+k AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children, left(path, greatest(0, length(path) - 64)) AS up FROM n LEFT JOIN k USING (path)),
+s AS (SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.cost)::BIGINT AS saved_tokens FROM m a JOIN m b ON starts_with(b.path, a.path) GROUP BY 1),
+e AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(path, depth) AS path FROM p GROUP BY conv_id) GROUP BY path)
+SELECT m.conv_id, m.depth::BIGINT AS depth, CASE WHEN m.depth > 0 THEN u.conv_id END AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM m JOIN s USING (path) LEFT JOIN n u ON u.path = m.up LEFT JOIN e ON e.path = m.path
+"""
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.SQL_GROUPS, "op9_mixing": mixing.SQL_MIX}
+    return {"op8_exact_dedup": exact_dedup.SQL_GROUPS, "op9_mixing": mixing.SQL_MIX, "op13_prefix_trie": SQL_TRIE}
