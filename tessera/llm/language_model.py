@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import compress, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, small, written
+from tessera.llm.common import discard, portions, small, sums, written
 
 #: Symbols: CLASSES of other words, the end of a text (and what precedes its first word), then the commonest words.
 CLASSES = 61
@@ -54,12 +54,29 @@ class Vocabulary:
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The words' numbers (-1: not known to every task) and symbols."""
         number = np.fromiter(map(self.hot.get, words, repeat(-1)), np.int64, len(words))
-        symbol = np.append(self.symbols, 0)[number]
+        symbol = np.append(self.symbols, np.int32(0))[number]
         rare = np.flatnonzero(number < 0)
         symbol[rare] = np.fromiter((word_class(words[k]) for k in rare), np.int32, len(rare))
         return number, symbol
 
 
+def _laid_out(texts: list[bytes], v: Vocabulary) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of some texts together: words, how many each text has, their numbers and symbols, and the (last but one, last, next)
+    symbols of all tokens, a row each; a text has one token more than words."""
+    words: list[bytes] = []
+    n = np.empty(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        own = text.lower().split()
+        words += own
+        n[k] = len(own)
+    number, symbol = v.of(words)
+    begin = np.cumsum(n + 3) - (n + 3)  # two ends before a text and one after it
+    s = np.full(int((n + 3).sum()), END, np.int64)
+    s[np.arange(len(words)) + np.repeat(begin + 2 - (np.cumsum(n) - n), n)] = symbol
+    at = np.arange(int((n + 1).sum())) + np.repeat(begin + 2 - (np.cumsum(n + 1) - (n + 1)), n + 1)
+    return words, n, number, symbol, np.stack([s[at - 2], s[at - 1], s[at]])
+
+
 def word_class(word: bytes) -> int:
     return int.from_bytes(word[-2:], "big") % CLASSES
 
@@ -163,13 +180,10 @@ def _triples(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.Re
         packed = [[np.diff(code[k : k + PACKED], prepend=0).astype("<i8").tobytes() for k in parts], [weight[k : k + PACKED].astype("<i8").tobytes() for k in parts]]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in packed], names=["code", "weight"])
 
-    for batch in small(batches):
-        for text in batch.column("text").to_pylist():
-            words = text.lower().split()
-            s = np.full(len(words) + 3, END, np.int64)
-            s[2:-1] = v.of(words)[1]
-            codes.append((s[:-2] * n + s[1:-1]) * n + s[2:])
-            pending += len(codes[-1])
+    for batch in portions(batches, "text"):
+        u, last, w = _laid_out(batch.column("text").to_pylist(), v)[-1]
+        codes.append((u * n + last) * n + w)
+        pending += len(w)
         if pending > 4 * GATHER:
             yield out()
             pending = 0
@@ -258,18 +272,18 @@ def _scored(batches: Iterator[pa.RecordBatch], v: Vocabulary, t: Tables) -> Iter
     shared = np.zeros(len(v.noise))  # what a class's words share its probability by
     shared[:CLASSES] = np.log10(v.other_tokens + v.other_types + 1.0)
     row = TaskContext.get().partitionId() << 36
-    for batch in small(batches):
-        out: list[tuple] = []
-        for text in batch.column("text").to_pylist():
-            words = text.lower().split()
-            s = np.full(len(words) + 3, END, np.int64)
-            number, s[2:-1] = v.of(words)
-            score = float((t.near[s[1:-1], s[2:]] + t.far[s[:-2], s[2:]] - t.normal[s[:-2], s[1:-1]]).sum(dtype=np.float64))
-            score += float(logs[number[s[2:-1] < CLASSES]].sum()) - float(shared[s[2:]].sum())
-            base = float(logs[number].sum()) + np.log10(v.texts + 1.0)
-            rare = Counter(compress(words, (number < 0).tolist()))
-            row += 1
-            out.append((row, len(words) + 1, int((number >= 0).sum()) + (v.texts > 0), base, score, list(rare), list(rare.values())))
+    for batch in portions(batches, "text"):
+        words, n, number, symbol, (u, last, w) = _laid_out(batch.column("text").to_pylist(), v)
+        score = sums(t.near[last, w] + t.far[u, w] - t.normal[u, last], n + 1) - sums(shared[w], n + 1)
+        score += sums(np.where(symbol < CLASSES, logs[number], 0.0), n)
+        base = sums(logs[number], n) + np.log10(v.texts + 1.0)
+        known = sums(number >= 0, n).astype(np.int64) + (v.texts > 0)
+        ends = np.cumsum(n)
+        unknown = np.flatnonzero(number < 0)
+        cut = np.searchsorted(unknown, np.append(0, ends)).tolist()
+        rare = [Counter([words[i] for i in unknown[a:b].tolist()]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        out = [(row + 1 + k, *x, list(r), list(r.values())) for k, (*x, r) in enumerate(zip((n + 1).tolist(), known.tolist(), base.tolist(), score.tolist(), rare, strict=True))]
+        row += len(out)
         if out:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
