@@ -29,3 +29,9 @@ def against_sql(spark, tmp_path):
 def test_reading_just_on_the_baseline_limit(against_sql):
     rows = [(u, 1000 * k, v / 100) for u, values in enumerate(ON_THE_LIMIT) for k, v in enumerate(values)]
     against_sql("over_baseline", rows)
+
+
+def test_duty_whose_share_of_the_period_is_whole(against_sql):
+    rows = [(1, ms, v) for v in (64.6, 23.0, 100.0, 250.0, 0.2) for ms in range(320, 326)]
+    heating = against_sql("patterns", rows).set_index("event_id").heating
+    assert heating[2] and not heating[3]  # 64.6 % of 500 ms is 323
