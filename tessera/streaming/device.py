@@ -7,6 +7,7 @@ from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.gated import gate
@@ -14,23 +15,28 @@ from tessera.streaming.machine import OUT, advance
 
 #: Rows that are taken from or put into the state at a time.
 ROWS = 4096
+#: Groups that keys are dealt out to, each with one state: a call on the state costs much more than a row of it.
+GROUPS = 512
+WITHOUT_KEY = -1
 
 
 class InOrder(StatefulProcessor):
     """A fold over each key's rows in order of event time: step(state, *values) -> (state, results or None).
 
-    Rows wait in a list until the watermark has passed them; then they are taken in order of (ts, event_id). A timer stands
-    at the first row that waits; it is the only work of a batch that has no row of the key. When none waits, it stands where
-    the key counts as idle: its state goes then, and a later row begins with state None.
+    A group of keys has one state. Rows wait in a list until the watermark has passed them; then they are taken in order of
+    (ts, event_id). Its timer stands at the first row that waits or where the first of its keys counts as idle, whichever is
+    earlier; it is the only work of a batch that has no row of the group. The state of a key that is idle goes, and a later
+    row begins with state None.
     """
 
-    def __init__(self, step: Callable, state: str, columns: list[str], kinds: list[str], out: list[str], idle_ms: int, idle: Callable | None = None) -> None:
-        self.step, self.state, self.columns, self.out, self.idle_ms, self.idle = step, state, columns, out, idle_ms, idle
-        self.row = ", ".join(["us long", "event_id long", *(f"v{k} {kind}" for k, kind in enumerate(kinds))])
+    def __init__(self, step: Callable, state: str, key: str, columns: list[str], kinds: list[str], out: list[str], idle_ms: int, idle: Callable | None = None) -> None:
+        self.step, self.columns, self.out, self.idle_ms, self.idle = step, columns, out, idle_ms, idle
+        self.state = f"own_key {key}, last_us long, {state}"
+        self.row = ", ".join([f"own_key {key}", "us long", "event_id long", *(f"v{k} {kind}" for k, kind in enumerate(kinds))])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", f"last_us long, {self.state}")
+        self.known = handle.getListState("known", self.state)
         self.timer = handle.getValueState("timer", "at long")
         self.waiting = handle.getListState("waiting", self.row)
 
@@ -44,21 +50,25 @@ class InOrder(StatefulProcessor):
         self.handle.registerTimer(at)
         self.timer.update((at,))
 
+    @staticmethod
+    def _append(into, rows: list[tuple]) -> None:
+        for a in range(0, len(rows), ROWS):
+            into.appendList(rows[a : a + ROWS])
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first, passed = None, timerValues.getCurrentWatermarkInMs() * 1000
+        first, upto = None, timerValues.getCurrentWatermarkInMs()
         for part in rows:  # a part of the micro-batch at a time
             us = part["ts"].astype("datetime64[us]").astype("int64")
             # Spark lets rows through that only the newest watermark has passed; later ones may have been taken already
-            part, us = part[us > passed], us[us > passed]
+            part, us = part[us > upto * 1000], us[us > upto * 1000]
             if part.empty:
                 continue
             first = int(us.min()) if first is None else min(first, int(us.min()))
-            values = [[None if pd.isna(x) else x for x in part[c].tolist()] for c in self.columns]
-            made = list(zip(us.tolist(), part["event_id"].tolist(), *values, strict=True))
-            for a in range(0, len(made), ROWS):
-                self.waiting.appendList(made[a : a + ROWS])
+            keys = [None] * len(part) if key[0] == WITHOUT_KEY else part["own_key"].tolist()
+            values = [part[c].astype(object).where(part[c].notna(), None).tolist() for c in self.columns]
+            self._append(self.waiting, list(zip(keys, us.tolist(), part["event_id"].tolist(), *values, strict=True)))
         if first is not None:
-            self._stand(max(first // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+            self._stand(max(first // 1000 + 1, upto + 1))
         yield pd.DataFrame(columns=self.out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -66,40 +76,42 @@ class InOrder(StatefulProcessor):
         upto = timerValues.getCurrentWatermarkInMs()
         ready, later = [], []
         for row in self.waiting.get():
-            (ready if row[0] <= upto * 1000 else later).append(tuple(row))
-        last, *state = self.now.get() if self.now.exists() else (None,)
-        state = tuple(state) if last is not None else None
+            (ready if row[1] <= upto * 1000 else later).append(tuple(row))
+        known = {k: (last, tuple(state)) for k, last, *state in self.known.get()}
         limit, out = self.idle_ms * 1000, []
 
-        def fallen_idle() -> None:
+        def fallen_idle(k, last: int, state: tuple) -> None:
             if self.idle is not None and (found := self.idle(state, last)) is not None:
-                out.append((key[0], *found))
+                out.append((k, *found))
 
-        for us, event_id, *values in sorted(ready, key=lambda r: r[:2]):
+        for k, us, event_id, *values in sorted(ready, key=lambda r: r[1:3]):
+            last, state = known.get(k, (None, None))
             if last is not None and us > last + limit:
-                fallen_idle()
+                fallen_idle(k, last, state)
                 state = None
             state, found = self.step(state, event_id, us, *values)
-            last = us
+            known[k] = us, state
             if found is not None:
-                out.append((key[0], *found))
-            if len(out) == ROWS:
+                out.append((k, *found))
+            if len(out) >= ROWS:
                 yield self._frame(out)
-                out = []
-        if not later and last is not None and last + limit < upto * 1000:
-            fallen_idle()
-            self.now.clear()
+                out.clear()
+        kept, next_idle = [], None
+        for k, (last, state) in known.items():
+            if last + limit < upto * 1000:
+                fallen_idle(k, last, state)
+            else:
+                kept.append((k, last, *state))
+                next_idle = last if next_idle is None else min(next_idle, last)
+        self.known.clear()
+        self._append(self.known, kept)
+        if ready:
             self.waiting.clear()
-        else:
-            if ready:
-                self.now.update((last, *state))
-                self.waiting.clear()
-                for a in range(0, len(later), ROWS):
-                    self.waiting.appendList(later[a : a + ROWS])
-            if later:
-                self._stand(max(min(later)[0] // 1000 + 1, upto + 1))
-            elif last is not None:
-                self._stand(max((last + limit) // 1000 + 2, upto + 1))
+            self._append(self.waiting, later)
+        at = [min(row[1] for row in later) // 1000 + 1] if later else []
+        at += [(next_idle + limit) // 1000 + 2] if kept else []
+        if at:
+            self._stand(max(min(at), upto + 1))
         yield self._frame(out)
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
@@ -110,21 +122,27 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def fold_in_order(rows: DataFrame, step: Callable, state: str, key: str, columns: list[str], out: str, late: str, idle_ms: int, idle: Callable | None = None) -> DataFrame:
+def fold_in_order(rows: DataFrame, step: Callable, state: str, key: str, columns: list[str], out: str, late: str, idle_ms: int, idle: Callable | None = None, groups: int = GROUPS) -> DataFrame:
     """A fold over a stream of rows (key, event_id, ts, columns), whatever files or batches they come in.
 
     step(state, event_id, microseconds, *columns) -> (state, values of the out columns or None); a state is a tuple of the
     schema `state`, None at a key's first row. Rows later than `late` behind the newest are dropped; a row counts when the
     watermark has passed it, so the last ones of a stream wait for newer ones of any key. A key that is silent for more
     than idle_ms begins anew, and its state goes; idle(state, last microsecond) may say so. Nulls are None, rows without ts are dropped, a null key is a key. State per
-    key: one row, one timer, and the rows that wait. Needs RocksDB as the state store
+    key: one row, and the rows that wait; per group of keys: one timer. A task holds one group's rows in memory: `groups`
+    should be a few for each shuffle partition, and more where a group's waiting rows are many. Needs RocksDB as the state store
     (spark.sql.streaming.stateStore.providerClass).
     """
     kinds = dict(rows.dtypes)
     placed = rows.select(key, "event_id", "ts", *columns).filter("ts IS NOT NULL").withWatermark("ts", late)
+    # a null among whole numbers would make pandas hold them as floating-point ones
+    own = F.coalesce(key, F.lit(0).cast(kinds[key])) if kinds[key] in ("tinyint", "smallint", "int", "bigint") else F.col(key)
+    group = F.when(F.col(key).isNull(), WITHOUT_KEY).otherwise(F.pmod(F.xxhash64(key), F.lit(groups)))
+    placed = placed.select(group.alias("key_group"), own.alias("own_key"), "event_id", "ts", *columns)
     schema = f"{key} {kinds[key]}, {out}"
     names = [c.split()[0] for c in schema.split(", ")]
-    return placed.groupBy(key).transformWithStateInPandas(InOrder(step, state, columns, [kinds[c] for c in columns], names, idle_ms, idle), schema, "append", "eventTime")
+    fold = InOrder(step, state, kinds[key], columns, [kinds[c] for c in columns], names, idle_ms, idle)
+    return placed.groupBy("key_group").transformWithStateInPandas(fold, schema, "append", "eventTime")
 
 
 def _moved(state: tuple | None, event_id: int, us: int, signal: str | None) -> tuple:
