@@ -20,6 +20,8 @@ START_SPEED, FLIGHT_SPEED, FLIGHT_ACCELERATION = 6.0, 75.0, 200.0
 CONTACT_DEG, TAPER_DEG = 19.0, 26.0
 ENTRY_LEAST, ENTRY_MOST = 5.0, 70.0
 MOST_SEGMENTS, SHORTEST = 10, 0.01
+#: Profiles that a task expands at most, on average.
+PROFILES = 20_000
 
 
 def segment(s0: Column, s1: Column, v0: Column, v1: Column, constant: bool = False) -> Column:
@@ -160,6 +162,11 @@ def _last_step(mm: Column, s: Column) -> Column:
     return F.when((i + 1) * mm <= s, i + 1).when(i * mm > s, i - 1).otherwise(i)
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks to expand the profiles of df: as many as there are cores, and more with their number."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PROFILES))
+
+
 def expand(df: DataFrame, segments: str, radius: str) -> DataFrame:
     """A row for each microstep: i, s, speed, interval_us, realised. Rows of a profile stay in its task.
 
