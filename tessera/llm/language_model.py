@@ -126,11 +126,18 @@ def start(v: Vocabulary) -> list[np.ndarray]:
     return [x.astype(np.float32) for x in (*p, *(np.full_like(x, 1e-3) for x in p))]
 
 
-def _add_rows(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+def _by_row(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal rows together, where each begins in it, and which row that is; most: over the largest."""
+    order = np.argsort(rows.astype(np.int16) if most <= 1 << 15 else rows, kind="stable")  # short numbers are sorted by digit
+    own = rows[order]
+    begin = np.flatnonzero(np.diff(own, prepend=-1))
+    return order, begin, own[begin]
+
+
+def _add_rows(to: np.ndarray, by: tuple[np.ndarray, np.ndarray, np.ndarray], values: np.ndarray) -> None:
     """Adds each of values to its row of `to`; a row may be named several times."""
-    order = np.argsort(rows, kind="stable")
-    begin = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    to[rows[order[begin]]] += np.add.reduceat(values[order], begin, axis=0)
+    order, begin, rows = by
+    to[rows] += np.add.reduceat(values[order], begin, axis=0)
 
 
 def train(state: list[np.ndarray], triples: np.ndarray, weight: np.ndarray, noise: np.ndarray, seed: int) -> None:
@@ -150,13 +157,17 @@ def train(state: list[np.ndarray], triples: np.ndarray, weight: np.ndarray, nois
         true = np.einsum("ij,ij->i", made, of_w) + bias[w] - log_noise[w]
         a = part / (1 + np.exp(np.clip(true, -30, 30)))  # what raises the true scores
         false = made @ of_drawn.T + (bias[drawn] - log_noise[drawn])
-        b = -part[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))  # what lowers those of noise
+        b = np.negative(np.clip(false, -30, 30, out=false), out=false)
+        np.exp(b, out=b)
+        b += 1
+        np.divide(-part[:, None], b, out=b)  # what lowers those of noise
         of_made = a[:, None] * of_w + b @ of_drawn
         for g in grads:
             g.fill(0)
-        _add_rows(grads[1], np.concatenate([w, drawn]), np.concatenate([a[:, None] * made, b.T @ made]))
-        _add_rows(grads[4], np.concatenate([w, drawn]), np.concatenate([a, b.sum(0)]))
-        _add_rows(grads[0], np.concatenate([v, u]), np.concatenate([of_made * near, of_made * far]))
+        predicted = _by_row(np.concatenate([w, drawn]), len(noise))
+        _add_rows(grads[1], predicted, np.concatenate([a[:, None] * made, b.T @ made]))
+        _add_rows(grads[4], predicted, np.concatenate([a, b.sum(0)]))
+        _add_rows(grads[0], _by_row(np.concatenate([v, u]), len(noise)), np.concatenate([of_made * near, of_made * far]))
         grads[2][:], grads[3][:] = (of_made * of_v).sum(0), (of_made * of_u).sum(0)
         for x, s, g in zip(p, size, grads, strict=True):
             s += g * g
