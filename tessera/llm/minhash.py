@@ -4,8 +4,10 @@ SuperMinHash draws, for each shingle, a permutation of the signature's places an
 [j, j + 1). Places of one shingle are so correlated, which lowers the variance, and once the largest value of a
 signature is under j no later draw can change it: few draws are made. Documents with equal sets are one class from then
 on. Classes that share a band are compared on their sets, first with one hub of the bucket, then with random hubs of
-parts of it, and only those of a bucket that are still apart by their rarest shingles: a bucket of n near copies costs
-some n comparisons, and no pair is left out.
+parts of it, and only those of a bucket that are still apart by their rarest shingles. Where all of these are shared by
+many, as in a large group of copies of a text that isn't there itself, sets are compared by what they differ in from the
+group: first with the one nearest to it, of all and of those that share a difference, then by their rarest differences. A
+bucket of n near copies costs some n comparisons, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BANDS, BAND_ROWS = 24, 4
 CACHE, CHUNK = 250_000, 150_000
 #: Members of a part of a bucket that share a random hub, about.
 PART = 64
+#: Sets of those still apart that may share a shingle for it to be compared by; what more share is compared by differences.
+OFTEN = 64
 
 
 class Shingler:
@@ -108,6 +112,64 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["cid", "shingles"])
 
 
+def _differences(apart: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """Members of a bucket, (bucket, part, cid, n, component), with the shingles by which theirs in `common` differ from the bucket's core.
+
+    The core is what more than half of the members have. Two sets that share shingles of `common` only are near where
+    2 * (100 + percent) times the number of differences that they share is the sum of their `far` at least. So two sets
+    whose `far` is 0 or less together are near, and near to the one whose `far` is least; any other near ones share a difference.
+    """
+    inside = apart.join(common, "cid")
+    per_part = inside.groupBy("bucket", "part").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    several = per_part.groupBy("bucket").agg(F.sum("m").alias("m"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high").select("bucket", "m")
+    told = per_part.select("bucket", "part").join(several, "bucket")  # to each part of a bucket
+    inside = written(inside.join(told, ["bucket", "part"]), "inside")
+    core = inside.select("bucket", "m", F.explode("common").alias("s")).groupBy("bucket", "s").agg(F.count("*").alias("has"), F.first("m").alias("m"))
+    core = core.filter("2 * has > m").groupBy("bucket").agg(F.collect_list("s").alias("core"))
+    told = told.drop("m").join(core, "bucket", "left")
+    inside = inside.join(told, ["bucket", "part"]).withColumn("core", F.coalesce("core", F.expr("CAST(array() AS array<bigint>)")))
+    inside = inside.withColumn("differ", F.concat(F.array_except("common", "core"), F.array_except("core", "common"))).withColumn("size", F.size("differ"))
+    far = (F.col("size") - F.size("common")) * (100 + percent) + 2 * percent * F.col("n")
+    inside = written(inside.select("bucket", "part", "cid", "n", "component", "differ", "size", far.alias("far")), "far")
+    # who shares all of its differences with another is near to it only up to this
+    most = inside.groupBy("bucket").agg(F.max(F.col("size") * 2 * (100 + percent) - F.col("far")).alias("most"))
+    told = inside.select("bucket", "part").distinct().join(most, "bucket")
+    return inside.join(told, ["bucket", "part"]).filter("far <= most").drop("most")
+
+
+def _with_nearest(differ: DataFrame, percent: int) -> DataFrame:
+    """Sets with the `hub` that is nearest to the core, of their bucket and of those that share each of their differences, if they may be near."""
+    hub = F.min(F.struct("far", "cid", "n", "component", "size")).alias("hub")
+    parts = differ.select("bucket", "part").distinct()
+    of_bucket = differ.join(parts.join(differ.groupBy("bucket").agg(hub), "bucket"), ["bucket", "part"]).drop("differ", "part")
+    each = differ.withColumn("s", F.explode("differ")).drop("differ", "part")
+    of_difference = each.join(each.groupBy("bucket", "s").agg(hub), ["bucket", "s"]).drop("s")
+    may = F.least("size", "hub.size") * 2 * (100 + percent) >= F.col("far") + F.col("hub.far")
+    return of_bucket.unionByName(of_difference).filter("component != hub.component").filter(may)
+
+
+def _rarest_differences(differ: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Those of each set's differences, rarest of its bucket first, one of which any near set shares that isn't in its component.
+
+    `main` are the sets in the component of the one nearest to the core: no two of these are to be compared.
+    """
+    now = differ.drop("component").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    per_part = now.groupBy("bucket", "part").agg(F.min(F.struct("far", "component")).alias("first"))
+    parts = per_part.select("bucket", "part")
+    now = now.join(parts.join(per_part.groupBy("bucket").agg(F.min("first").alias("first")), "bucket"), ["bucket", "part"])
+    now = now.withColumn("main", F.col("component") == F.col("first.component"))
+    other = now.filter("NOT main").groupBy("bucket").agg(F.min("far").alias("other"))
+    now = now.join(parts.join(other, "bucket"), ["bucket", "part"]).withColumn("least", F.when(F.col("main"), F.col("other")).otherwise(F.col("first.far")))
+    shared = lambda place: (F.col("size") - place + 1) * 2 * (100 + percent) >= F.col("far") + F.col("least")
+    each = now.filter(shared(F.lit(1))).withColumn("s", F.explode("differ")).drop("differ", "part")
+    # what sets of one component only have comes first, and is only counted
+    often = each.groupBy("bucket", "s").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    own = Window.partitionBy("bucket", "cid")  # one document's differences
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "s"))
+    each = each.join(often, ["bucket", "s"]).withColumn("place", place).filter(shared(F.col("place")))
+    return each.select("bucket", "s", "cid", "n", "component", "main", "size", "far", "place")
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id (long), n_shingles, component_id, kept.
 
@@ -168,18 +230,35 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
     # shingles that only one has come first in its order, and are only counted
     own = Window.partitionBy("cid")  # one document's shingles
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "s"))
-    lead = each.join(often, "s").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    lead = written(lead.select("cid", "n", "component", "s", "place"), "lead")
-    a, b = lead.alias("a"), lead.alias("b")
+    least = F.ceil(F.col("n") * percent / 100)  # what a near set shares with it
+    crowded = F.count_if(F.col("often") > OFTEN).over(own) >= least
+    lead = each.join(often, "s").withColumn("place", place).withColumn("crowded", crowded)
+    lead = lead.filter((F.col("place") <= F.col("n") - least + 1) & (F.col("often") <= OFTEN) | F.col("crowded") & (F.col("often") > OFTEN))
+    lead = written(lead.select("cid", "n", "component", "s", "often", "place"), "lead")
+    rare = lead.filter(F.col("often") <= OFTEN)
+    a, b = rare.alias("a"), rare.alias("b")
     third = a.join(b, F.col("a.s") == F.col("b.s")).filter("a.cid > b.cid AND a.component != b.component").filter(near(F.col("a.n"), F.col("b.n")))
     # the first shingle that a near pair shares leaves enough after it in both
     rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    third = third.filter((rest + 1) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
-    comp = components(links.union(linked(third.select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v")).distinct())))
+    third = third.filter((rest + 1) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent).select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v"))
+
+    # near sets that share none of those share shingles only that more than OFTEN have: they are compared by what they differ in
+    # from what most of their bucket have
+    common = written(lead.filter(F.col("often") > OFTEN).groupBy("cid").agg(F.collect_list("s").alias("common")), "common")
+    differ = written(_differences(apart, common, percent), "differ")
+    fourth = _with_nearest(differ, percent).filter(near(F.col("n"), F.col("hub.n"))).select(F.col("cid").alias("u"), F.col("hub.cid").alias("v"))
+    links = written(links.union(linked(third.union(fourth).distinct())), "linked")
+    comp = components(links)
+    tokens = written(_rarest_differences(differ, comp, percent), "tokens")
+    a, b = tokens.filter("NOT main").alias("a"), tokens.alias("b")
+    fifth = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.s") == F.col("b.s"))).filter("(b.main OR a.cid > b.cid) AND a.component != b.component").filter(near(F.col("a.n"), F.col("b.n")))
+    rest = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+    fifth = fifth.filter((rest + 1) * 2 * (100 + percent) >= F.col("a.far") + F.col("b.far"))
+    comp = components(links.union(linked(fifth.select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v")).distinct())))
 
     of_class = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select(*same, F.coalesce("component", "cid").alias("component_id"))
     of_class = written(of_class, "components")
-    for t in (links, members, several, sets, apart, lead, classes):
+    for t in (links, members, several, sets, apart, lead, common, differ, tokens, classes):
         discard(t)
     out = signed.drop("bands").join(of_class, same, "left")
     # a row without an id has no class of its own, though its text may have one
